@@ -88,24 +88,31 @@ def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame
     return todo.select("blob", each.alias("e")).select("blob", "e.kind", "e.version", "e.spans")
 
 
-def join_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Every row of versions (path, text columns kept out) with all its spans by start, then kind as listed."""
+def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """The current rules' findings of each blob that has any: (blob, spans), by start, then kind as listed."""
     current = ledger.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
     found = current.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    found = found.select("blob", F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+    return found.select("blob", F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
+
+
+def join_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """Every row of versions (path, text) as (path, blob, spans)."""
     paths = versions.select("path", address(F.col("text")).alias("blob"))
-    return paths.join(found, "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    return paths.join(findings(ledger, rules), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+
+
+def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
+    """The text with each span (sorted by start) replaced by a mark; overlapping spans share one."""
+    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
+    def step(acc: Column, s: Column) -> Column:
+        more = F.concat(acc["out"], F.substr(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
 
-def redacted(text: Column, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRET]") -> Column:
-    """The text with every secret replaced by a mark; overlapping spans of several kinds are one."""
-    for r in rules:
-        short = {"hex": f"[0-9a-f]{{{r.least},}}", "access": f"AKIA[A-Z0-9]{{{r.least - 4},}}"}.get(r.kind)
-        pattern = short or r.pattern.removesuffix("+)") + f"{{{r.least},}})"
-        text = F.when(text.rlike(pattern), F.regexp_replace(text, pattern, ("$1" if r.group == 2 else "") + mark)).otherwise(text)
-    return text
+    whole = F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substr(text, acc["at"] + 1, F.char_length(text))))
+    return F.when(F.size(spans) > 0, whole).otherwise(text)
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
