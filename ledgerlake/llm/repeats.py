@@ -4,9 +4,10 @@ Removed is every byte covered by a string of LENGTH bytes that also starts earli
 same document). Instead of all suffixes of the corpus, only those at anchors are sorted: in every window of LENGTH bytes the
 GRAM bytes of least hash are the window's anchor, so equal windows have equal anchors, and each window has one.
 
-1. Anchors of all texts are counted by hash; only those that occur twice matter.
-2. Such an anchor is cut out with the bytes of all windows that it is the anchor of. Of equal cuttings the
-   earliest stands for all, any other is removed whole; this is done within a batch before the shuffle.
+1. Anchors of all texts are counted by hash; only those that occur twice matter. The bytes of all windows of an anchor
+   are its cutting; the least and largest 64-bit hash of its cuttings tell whether they are all equal.
+2. Of equal cuttings the earliest stands for all, any other is removed whole; this is done within a batch before the
+   shuffle. Bytes are sent only of anchors with several cuttings, that is where shared passages begin, end or differ.
 3. Cuttings are grouped by anchor and sorted from the anchor on: a sparse suffix array with common prefixes. A stack scan
    gives its interval tree: each interval is a set of suffixes with a common prefix. Within one, the same scan over what
    precedes the anchor, backwards, gives the sets that share a left extension until it becomes diverse: with at
@@ -33,7 +34,9 @@ from .common import sized, table, written
 LENGTH, GRAM, CHUNK, SLICE = 100, 24, 500, 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MASK = np.uint64((1 << 20) - 1)  # positions in a slice; a slice with its overlap stays under this
-CUTTINGS = pa.schema([("anchor", pa.int64()), ("rk", pa.int64()), ("ord", pa.int64()), ("pos", pa.int64()), ("left", pa.binary()), ("right", pa.binary()), ("done", pa.bool_())])
+#: A cutting: its anchor's place and the bytes before (backwards) and from it; left and right are null if all of the anchor are equal.
+CUTTINGS = pa.schema([("anchor", pa.int64()), ("ord", pa.int64()), ("rk", pa.int64()), ("pos", pa.int64()), ("n_left", pa.int32()), ("n_right", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
+CUTTING = "anchor long, ord long, rk long, pos long, n_left int, n_right int, left binary, right binary"
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -46,10 +49,12 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 _UP, _DOWN = _powers(2 * SLICE + 4096)
 
 
-def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
-    h = np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], dtype=np.uint64)])
-    h = (h[gram:] - h[:-gram]) * _DOWN[: len(data) - gram + 1]
-    h ^= h >> np.uint64(31)
+def _prefix_hashes(data: np.ndarray) -> np.ndarray:
+    return np.concatenate([[np.uint64(0)], np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _UP[: len(data)], dtype=np.uint64)])
+
+
+def _mixed(h: np.ndarray) -> np.ndarray:
+    h = h ^ (h >> np.uint64(31))
     h *= np.uint64(0xBF58476D1CE4E5B9)
     h ^= h >> np.uint64(29)
     return h
@@ -65,11 +70,12 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
-    """For each anchor: hash, text, position, first and last window start; positions within the text."""
+    """For each anchor: hash, hash of its cutting, text, position, first and last window start; positions within the text."""
     for first, skip, data, cut in _slices(texts, length):
         if len(data) < length:
             continue
-        h = _gram_hashes(data, gram)
+        sums = _prefix_hashes(data)
+        h = _mixed((sums[gram:] - sums[:-gram]) * _DOWN[: len(data) - gram + 1])
         key = (h & ~_MASK) | np.arange(len(h), dtype=np.uint64)
         best = (_sliding_min(key, length - gram + 1) & _MASK).astype(np.int64)
         start = np.arange(len(best))
@@ -82,7 +88,10 @@ def anchors(texts: list[bytes], length: int = LENGTH, gram: int = GRAM):
         last = np.append(new[1:], len(start)) - 1
         own = owner[new]
         base = cut[own] - np.where(own == 0, skip, 0)
-        yield h[best[new]].view(np.int64), first + own, best[new] - base, start[new] - base, start[last] - base
+        lo, hi, at = start[new], start[last], best[new]
+        shape = ((at - lo) * 4096 + hi + length - lo).astype(np.uint64)  # where in the cutting the anchor lies, and how long it is
+        cutting = _mixed((sums[hi + length] - sums[lo]) * _DOWN[lo] ^ _mixed(shape * BASE))
+        yield h[at].view(np.int64), cutting.view(np.int64), first + own, at - base, lo - base, hi - base
 
 
 def _slices(texts: list[bytes], length: int):
@@ -114,51 +123,53 @@ def _texts(column: pa.Array) -> list[bytes]:
 
 
 def _anchor_rows(batches, with_key: bool):
+    """Anchors of (rk, text): with the key of their text, or with their cutting's hash."""
     for b in batches:
         keys = b.column(0).to_numpy(zero_copy_only=False)
-        for h, text, *_ in anchors(_texts(b.column(1))):
-            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[text])][: 1 + with_key], ["anchor", "rk"][: 1 + with_key])
+        for h, cutting, text, *_ in anchors(_texts(b.column(1))):
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[text] if with_key else cutting)], ["anchor", "rk" if with_key else "cutting"])
 
 
 def _cut(batches):
-    """(rk, text, ord, repeated anchors) to cuttings; of equal cuttings in a batch, all but the earliest are done."""
+    """(rk, text, ord, repeated, alike) to cuttings of the repeated anchors; a row without anchor is a run to remove, n_right bytes from pos.
+
+    alike holds those of the repeated anchors whose cuttings are all equal.
+    """
     for b in batches:
-        keys, order = b.column(0).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
-        texts, sets = _texts(b.column(1)), b.column(3)
-        flat, at = sets.flatten().to_numpy(zero_copy_only=False), np.concatenate([[0], np.cumsum(np.diff(sets.offsets.to_numpy()))])
-        wanted: dict[int, set] = {}
+        keys, order = b.column(0).to_pylist(), b.column(2).to_pylist()
+        texts, repeated, alike = _texts(b.column(1)), b.column(3), b.column(4)
+        now, wanted, same = -1, set(), set()
         rows: dict[tuple, tuple] = {}
-        done = []
-        for h, text, pos, lo, hi in anchors(texts):
+        done: dict[int, list] = {}
+        held = 0
+        for h, _, text, pos, lo, hi in anchors(texts):
             for a, t, p, x, y in zip(h.tolist(), text.tolist(), pos.tolist(), lo.tolist(), hi.tolist(), strict=True):
-                if t not in wanted:
-                    wanted = {t: set(flat[at[t] : at[t + 1]].tolist())}
-                if a not in wanted[t]:
+                if t != now:
+                    now, wanted, same = t, set(repeated[t].as_py()), set(alike[t].as_py())
+                if a in same:
+                    cutting, n = (a, None, None), (p - x, y + LENGTH - p)
+                elif a in wanted:
+                    cutting, n = (a, texts[t][x:p][::-1], texts[t][p : y + LENGTH]), (p - x, y + LENGTH - p)
+                else:
                     continue
-                left, right = texts[t][x:p][::-1], texts[t][p : y + LENGTH]
-                mine = (order[t], keys[t], p)
-                other = rows.get((a, left, right))
-                if other is None or mine < other:
-                    rows[a, left, right] = mine
-                    mine = other
-                if mine is not None and mine != rows[a, left, right]:
-                    done.append((mine[1], mine[2], len(left), len(right)))
-            if len(rows) > 100_000 or len(done) > 100_000:
+                mine, other = (order[t], keys[t], p, *n), rows.get(cutting)
+                if other is None:
+                    rows[cutting] = mine
+                elif mine[:3] != other[:3]:
+                    rows[cutting], later = (mine, other) if mine < other else (other, mine)
+                    done.setdefault(later[1], []).append((later[2] - n[0], later[2] + n[1]))
+                    held += 1
+            if len(rows) + held > 300_000:
                 yield _cuttings(rows, done)
-                rows, done = {}, []
+                rows, done, held = {}, {}, 0
         if rows or done:
             yield _cuttings(rows, done)
 
 
-def _cuttings(rows: dict, done: list) -> pa.RecordBatch:
-    n, m = len(rows), len(done)
-    spot = list(rows.values())
-    return pa.RecordBatch.from_arrays([
-        pa.array([k[0] for k in rows] + [0] * m, pa.int64()), pa.array([int(s[1]) for s in spot] + [int(d[0]) for d in done], pa.int64()),
-        pa.array([int(s[0]) for s in spot] + [None] * m, pa.int64()), pa.array([s[2] for s in spot] + [d[1] for d in done], pa.int64()),
-        pa.array([k[1] for k in rows] + [b"\0" * d[2] for d in done], pa.binary()), pa.array([k[2] for k in rows] + [b"\0" * d[3] for d in done], pa.binary()),
-        pa.array([False] * n + [True] * m),
-    ], schema=CUTTINGS)
+def _cuttings(rows: dict, done: dict) -> pa.RecordBatch:
+    out = [(k[0], *spot, k[1], k[2]) for k, spot in rows.items()]
+    out += [(None, None, rk, x, 0, y - x, None, None) for rk, runs in done.items() for x, y in merged(*zip(*runs, strict=True))]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), CUTTINGS.types, strict=True)], schema=CUTTINGS)
 
 
 def common(a: bytes, b: bytes) -> int:
@@ -180,10 +191,10 @@ def intervals(lcp: list[int], least: int):
             stack.append((v, start))
 
 
-def repeats(spots: list[tuple], lefts: list[bytes], rights: list[bytes], length: int = LENGTH):
-    """Maximal repeats around one anchor: yield (left, right, rows) with left + right >= length; rights are sorted.
+def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH):
+    """Maximal repeats around one anchor: yield (left, right, all rows that have it), left + right >= length.
 
-    lefts are reversed; rows hold all occurrences. spots aren't looked at, but rows index them.
+    rights are sorted, lefts are reversed.
     """
     reach = max(map(len, lefts))
     for right, a, b in intervals([common(x, y) for x, y in zip(rights, rights[1:], strict=False)], length - reach):
@@ -194,18 +205,26 @@ def repeats(spots: list[tuple], lefts: list[bytes], rights: list[bytes], length:
 
 
 def _scan(batches):
-    """Cuttings sorted by group and right to removed runs (rk, start, stop)."""
+    """Cuttings sorted by group and right to runs to remove (rk, start, stop)."""
     out: list[list] = [[], [], []]
 
+    def remove(spot, left, right):
+        for held, x in zip(out, (spot[1], spot[2] - left, spot[2] + right), strict=True):
+            held.append(x)
+
     def solve(rows):
-        spots = [(r[1], r[2], r[3]) for r in rows]
-        for left, right, members in repeats(spots, [r[4] for r in rows], [r[5] for r in rows]):
+        spots = [r[1:4] for r in rows]
+        if rows[0][6] is None:
+            first = min(spots)
+            for r, spot in zip(rows, spots, strict=True):
+                if spot != first:
+                    remove(spot, r[4], r[5])
+            return
+        for left, right, members in repeats([r[6] for r in rows], [r[7] for r in rows]):
             first = min(spots[m] for m in members)
             for m in members:
                 if spots[m] != first:
-                    out[0].append(spots[m][1])
-                    out[1].append(spots[m][2] - left)
-                    out[2].append(spots[m][2] + right)
+                    remove(spots[m], left, right)
 
     def batch():
         made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rk", "start", "stop"])
@@ -239,11 +258,17 @@ def merged(starts, stops) -> list[tuple[int, int]]:
     return out
 
 
+def _merge(batches):
+    for b in batches:
+        runs = [[{"start": x, "stop": y} for x, y in merged([r["start"] for r in rs], [r["stop"] for r in rs])] for rs in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(runs, pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])))], ["rk", "runs"])
+
+
 def _apply(batches):
     for b in batches:
         out = []
         for doc_id, text, runs in zip(b.column(0).to_pylist(), _texts(b.column(1)), b.column(2).to_pylist(), strict=True):
-            runs = merged([r["start"] for r in runs or ()], [r["stop"] for r in runs or ()])
+            runs = [(r["start"], r["stop"]) for r in runs or ()]
             kept, at = hashlib.sha256(), 0
             for x, y in runs:
                 kept.update(text[at:x])
@@ -259,33 +284,34 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def removed_runs(docs: DataFrame) -> DataFrame:
-    """keyed() documents to (rk, runs), runs an array of (start, stop), not yet merged."""
+    """keyed() documents to (rk, runs), runs a sorted array of (start, stop)."""
     texts = docs.select("rk", "text")
-    often = texts.mapInArrow(lambda it: _anchor_rows(it, False), "anchor long").groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
-    often = written(often, "often")
-    found = texts.mapInArrow(lambda it: _anchor_rows(it, True), "anchor long, rk long").join(sized(often, often.count() * 16), "anchor", "left_semi")
-    sets = written(found.groupBy("rk").agg(F.collect_set("anchor").alias("anchors")), "sets")
-    size = sets.agg(F.sum(F.size("anchors") * 8 + 48)).first()[0] or 0
+    counted = texts.mapInArrow(lambda it: _anchor_rows(it, False), "anchor long, cutting long").groupBy("anchor")
+    often = counted.agg(F.count("*").alias("n"), F.min("cutting").alias("a"), F.max("cutting").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("alike"))
+    # neither side has a size bound: both are shuffled
+    found = texts.mapInArrow(lambda it: _anchor_rows(it, True), "anchor long, rk long").join(often.hint("merge"), "anchor")
+    sets = found.groupBy("rk").agg(F.collect_set("anchor").alias("repeated"), F.collect_set(F.when(F.col("alike"), F.col("anchor"))).alias("alike"))
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    marked = docs.select("rk", "text", order.alias("ord")).join(sized(sets, size), "rk").select("rk", "text", "ord", "anchors")
-    cuttings = written(marked.mapInArrow(_cut, "anchor long, rk long, ord long, pos long, left binary, right binary, done boolean"), "cuttings")
-    done = cuttings.where("done").select("rk", (F.col("pos") - F.length("left")).alias("start"), (F.col("pos") + F.length("right")).alias("stop"))
-    todo = cuttings.where("not done").drop("done")
+    marked = docs.select("rk", "text", order.alias("ord")).join(sets.hint("merge"), "rk").select("rk", "text", "ord", "repeated", "alike")
+    cuttings = written(marked.mapInArrow(_cut, CUTTING), "cuttings")
+    done = cuttings.where("anchor is null").select("rk", F.col("pos").alias("start"), (F.col("pos") + F.col("n_right")).alias("stop"))
+    todo = cuttings.where("anchor is not null")
     hot = written(todo.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
     s = F.ceil(F.col("n") / CHUNK).cast("int")
     own = F.pmod(F.xxhash64("rk", "pos"), s).cast("int")
     cells = F.transform(F.sequence(F.lit(0), s - 1), lambda d: F.xxhash64("anchor", F.least(own, d), F.greatest(own, d)))
     dealt = todo.join(sized(hot, hot.count() * 32), "anchor", "left")
-    dealt = dealt.select(F.explode(F.when(F.col("n").isNull(), F.array("anchor")).otherwise(cells)).alias("group"), "ord", "rk", "pos", "left", "right")
+    dealt = dealt.select(F.explode(F.when(F.col("n").isNull(), F.array("anchor")).otherwise(cells)).alias("group"), *CUTTINGS.names[1:])
     found = dealt.repartition("group").sortWithinPartitions("group", "right").mapInArrow(_scan, "rk long, start long, stop long")
-    return found.unionByName(done).groupBy("rk").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    runs = found.unionByName(done).groupBy("rk").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    return runs.mapInArrow(_merge, "rk long, runs array<struct<start:long,stop:long>>")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each row of docs."""
     rows = keyed(docs)
     runs = written(removed_runs(rows), "runs")
-    size = runs.agg(F.sum(F.size("runs") * 24 + 48)).first()[0] or 0
+    size = runs.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0
     whole = rows.join(sized(runs, size), "rk", "left").select("doc_id", "text", "runs")
     return whole.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
