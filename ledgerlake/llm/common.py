@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
         p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of plans that nothing refers to any more; it does so when the driver's JVM collects garbage."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def sized(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFrame:
     """df with a broadcast hint if n_bytes, measured by the caller, is under the limit; else Spark shuffles and splits skew."""
     return F.broadcast(df) if n_bytes <= limit else df

@@ -29,9 +29,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table, written
+from .common import release, sized, table, written
 
-LENGTH, GRAM, CHUNK, SLICE = 100, 24, 500, 1 << 19
+LENGTH, GRAM, CHUNK, SLICE = 100, 24, 4000, 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MASK = np.uint64((1 << 20) - 1)  # positions in a slice; a slice with its overlap stays under this
 #: A cutting: its anchor's place and the bytes before (backwards) and from it; left and right are null if all of the anchor are equal.
@@ -127,6 +127,11 @@ def _anchor_rows(batches, with_key: bool):
     for b in batches:
         keys = b.column(0).to_numpy(zero_copy_only=False)
         for h, cutting, text, *_ in anchors(_texts(b.column(1))):
+            if with_key:  # once a text
+                order = np.lexsort((h, text))
+                h, text = h[order], text[order]
+                new = np.concatenate([[True], (h[1:] != h[:-1]) | (text[1:] != text[:-1])])
+                h, text = h[new], text[new]
             yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(keys[text] if with_key else cutting)], ["anchor", "rk" if with_key else "cutting"])
 
 
@@ -220,11 +225,15 @@ def _scan(batches):
                 if spot != first:
                     remove(spot, r[4], r[5])
             return
+        mine: list[list] = [[] for _ in rows]
         for left, right, members in repeats([r[6] for r in rows], [r[7] for r in rows]):
             first = min(spots[m] for m in members)
             for m in members:
                 if spots[m] != first:
-                    remove(spots[m], left, right)
+                    mine[m].append((-left, right))
+        for spot, runs in zip(spots, mine, strict=True):
+            for x, y in merged(*zip(*runs, strict=True)) if runs else ():
+                remove(spot, -x, y)
 
     def batch():
         made = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["rk", "start", "stop"])
@@ -288,12 +297,16 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     texts = docs.select("rk", "text")
     counted = texts.mapInArrow(lambda it: _anchor_rows(it, False), "anchor long, cutting long").groupBy("anchor")
     often = counted.agg(F.count("*").alias("n"), F.min("cutting").alias("a"), F.max("cutting").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("alike"))
-    # neither side has a size bound: both are shuffled
+    # neither side has a size bound: both are shuffled; a table between lets Spark split the partition of a hot anchor
+    often = written(often, "often")
+    release(docs.sparkSession)
     found = texts.mapInArrow(lambda it: _anchor_rows(it, True), "anchor long, rk long").join(often.hint("merge"), "anchor")
     sets = found.groupBy("rk").agg(F.collect_set("anchor").alias("repeated"), F.collect_set(F.when(F.col("alike"), F.col("anchor"))).alias("alike"))
     order = F.coalesce("doc_id", F.lit((1 << 63) - 1))
     marked = docs.select("rk", "text", order.alias("ord")).join(sets.hint("merge"), "rk").select("rk", "text", "ord", "repeated", "alike")
     cuttings = written(marked.mapInArrow(_cut, CUTTING), "cuttings")
+    del counted, found, sets, marked
+    release(docs.sparkSession)
     done = cuttings.where("anchor is null").select("rk", F.col("pos").alias("start"), (F.col("pos") + F.col("n_right")).alias("stop"))
     todo = cuttings.where("anchor is not null")
     hot = written(todo.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK), "hot")
