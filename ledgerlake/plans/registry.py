@@ -2,6 +2,24 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 FLAGSHIP = "pooled_conformal"
+
+
+def query(oracle: str | None = None):
+    """Register a function (spark, sf_dir) under its name, with DuckDB SQL for the same rows."""
+
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+from ledgerlake.operators import aggregates, conformal, joins, kernels, ranking, scalar, sets, statistics  # noqa: E402, F401
+from ledgerlake.streaming import batches  # noqa: E402, F401
