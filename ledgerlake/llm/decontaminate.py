@@ -22,7 +22,7 @@ from .common import ascii_lower, sized, table, written
 
 WINDOW, GRAM = 10, 6  # words in a window; words in a hash
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"  # before lower-casing
+WORD = r"[0-9A-Za-z\x80-\x{10FFFF}]+"  # before lower-casing; a negated class says the same but is matched twenty times slower
 
 
 def words(text: Column) -> Column:
