@@ -3,8 +3,12 @@
 Vectors are dealt into shards; in a shard, list j holds the rows in the order of component j. For a query, the lists are
 read in step, each from the end that its component's sign prefers. What was read gives every row a lower bound (unread
 components at their list's least contribution) and an upper bound (unread components at the contribution last read). A row
-whose upper bound is under the k-th best lower bound is out; reading stops when at most RESOLVED rows are left, or the
-lists are at their end, and the final scores of the rows left are summed. The shards' best k meet in one ranking a query.
+whose upper bound is under the k-th best lower bound is out; reading stops when at most RESOLVED rows a query are left, or
+the lists are at their end, and the final scores of the rows left are summed. The shards' best k meet in one ranking a query.
+
+What a query has read of list j depends on the sign of its component j alone. So the bounds of all rows for a block of
+queries are one matrix product: positive parts of the queries with lists read from the top, negative parts with lists
+read from the bottom. The first shard's k-th best scores hold as lower bounds in all others.
 
 Queries against all rows go in blocks: a task gets one shard and one block of queries, both of bounded size.
 
@@ -23,8 +27,9 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SHARD, QUERIES, RESOLVED, STEPS = 8192, 256, 64, (1 / 4, 1 / 2, 3 / 4)
-SCHEMA = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
+SHARD, QUERIES, RESOLVED, STEPS = 8192, 1024, 64, (1 / 2, 3 / 4)
+PAIRS = 1 << 16  # rows left whose final scores are summed at once
+SCHEMA = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
 def quantized(embedding: Column) -> Column:
@@ -33,8 +38,14 @@ def quantized(embedding: Column) -> Column:
     return F.when(fine, F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
-def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int):
-    """Best k of a shard for each query: (query_id, vec_id, score)."""
+def _read(lists: np.ndarray, rank: np.ndarray, rows: np.ndarray, depth: int, unread_top: np.ndarray, unread_bottom: np.ndarray) -> np.ndarray:
+    """Rows as read depth deep from the top, beside rows as read from the bottom; what is unread has the value given."""
+    n = len(rows)
+    return np.hstack([np.where(rank >= n - depth, rows, unread_top), np.where(rank < depth, rows, unread_bottom)])
+
+
+def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
+    """Best k of a shard for each query: (number of the query, vec_id, score), flat. floors: scores that k other rows reach."""
     n, m = rows.shape
     bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(m, 1)
     kind = np.float64 if bound < 2**53 else np.int64  # doubles are exact here
@@ -43,36 +54,36 @@ def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
     lists = np.take_along_axis(rows, order, 0)
     rank = np.empty_like(order, dtype=np.int32)
     np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
-    for own, q in zip(query_ids, queries, strict=True):
-        left = np.flatnonzero(ids != own)
-        up, used = q > 0, np.flatnonzero(q)
-        up, w = up[used], q[used]
-        least = np.where(up, lists[0, used], lists[-1, used]) * w  # a list's worst contribution
-        for depth in (max(1, int(n * s)) for s in STEPS):
-            if len(left) <= max(k, RESOLVED) or not len(used):
-                break
-            last = np.where(up, lists[n - depth, used], lists[depth - 1, used]) * w
-            seen = np.where(up, rank[np.ix_(left, used)] >= n - depth, rank[np.ix_(left, used)] < depth)
-            read = rows[np.ix_(left, used)] * w
-            lower = np.where(seen, read, least).sum(1)
-            upper = np.where(seen, read, last).sum(1)
-            left = left[upper >= np.partition(lower, len(lower) - k)[len(lower) - k]]
-        final = rows[left] @ q
-        if len(left) > k:
-            some = final >= np.partition(final, len(final) - k)[len(final) - k]
-            left, final = left[some], final[some]
-        first = np.lexsort((ids[left], -final))[:k]
-        yield own, ids[left[first]], final[first].astype(np.int64)
+    signs = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
+    own = ids[None, :] == query_ids[:, None]
+    floor = np.full(len(queries), np.iinfo(np.int64).min, np.float64) if floors is None else floors.astype(np.float64)
+    left = ~own
+    for depth in (max(1, int(n * s)) for s in STEPS):
+        if left.sum() <= RESOLVED * len(queries) or n <= k:
+            break
+        lower = signs @ _read(lists, rank, rows, depth, lists[0], lists[-1]).T
+        lower[own] = np.iinfo(np.int64).min
+        floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
+        del lower
+        left &= signs @ _read(lists, rank, rows, depth, lists[n - depth], lists[depth - 1]).T >= floor[:, None]
+    q, r = np.nonzero(left)
+    final = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + PAIRS]], rows[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)] or [np.zeros(0, kind)])
+    best = np.lexsort((ids[r], -final, q))
+    q, r, final = q[best], r[best], final[best]
+    first = np.arange(len(q)) - np.searchsorted(q, q) < k
+    return q[first], ids[r[first]], final[first].astype(np.int64)
 
 
 def _group(group: pa.Table, k: int) -> pa.Table:
     dim = group["dim"][0].as_py()
     ids, values = group["vec_id"].to_numpy(), group["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
-    query = group["is_query"].to_numpy()
-    found = list(shard_top(ids[~query], values[~query], ids[query], values[query], k)) if query.any() and not query.all() else []
-    if not found:
+    asked = group["query"].is_valid().to_numpy()
+    if not asked.any() or asked.all() or not dim:
         return SCHEMA.empty_table()
-    return pa.table([np.repeat([f[0] for f in found], [len(f[1]) for f in found]), np.concatenate([f[1] for f in found]), np.concatenate([f[2] for f in found])], schema=SCHEMA)
+    query, own = group["query"].filter(pa.array(asked)).to_numpy(), ids[asked]
+    floors = group["floor"].filter(pa.array(asked)).fill_null(np.iinfo(np.int64).min).to_numpy()
+    q, vec_id, score = shard_top(ids[~asked], values[~asked], own, values[asked], k, floors)
+    return pa.table([query[q], own[q], vec_id, score], schema=SCHEMA)
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
@@ -84,11 +95,22 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
 
     vectors, queries = written(made(vectors), "vectors"), written(made(queries), "queries")
     shards, blocks = max(1, -(-vectors.count() // SHARD)), max(1, -(-queries.count() // QUERIES))
-    rows = vectors.select("*", F.lit(False).alias("is_query"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
-    asked = queries.select("*", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long"))).alias("shard"), F.pmod(F.xxhash64("vec_id", "v"), F.lit(blocks)).cast("int").alias("block"))
-    found = rows.unionByName(asked).groupBy("dim", "shard", "block").applyInArrow(lambda g: _group(g, k), "query_id long, vec_id long, score long")
+    no = lambda: F.lit(None).cast("long")
+    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)))
+    asked = queries.withColumn("query", F.xxhash64("vec_id", "v")).withColumn("block", F.pmod("query", F.lit(blocks)).cast("int"))
+
+    def found(shard_rows: DataFrame, asked: DataFrame, first: int, last: int) -> DataFrame:
+        rows = shard_rows.select("vec_id", "v", "dim", no().alias("query"), no().alias("floor"), "shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+        each = asked.select("vec_id", "v", "dim", "query", "floor", F.explode(F.sequence(F.lit(first).cast("long"), F.lit(last).cast("long"))).alias("shard"), "block")
+        return rows.unionByName(each).groupBy("dim", "shard", "block").applyInArrow(lambda g: _group(g, k), "query long, query_id long, vec_id long, score long")
+
+    out = written(found(dealt.where("shard = 0"), asked.withColumn("floor", no()), 0, 0), "first")
+    if shards > 1:
+        floors = out.groupBy("query").agg(F.collect_list("score").alias("s")).where(F.size("s") >= k).select("query", F.array_min("s").alias("floor"))
+        rest = found(dealt.where("shard > 0"), asked.join(floors, "query", "left"), 1, shards - 1)
+        out = out.unionByName(rest)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return out.drop("query").distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op10_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
