@@ -35,7 +35,7 @@ def n_words(text: Column) -> Column:
 
 def _after(array: Column, n: int) -> Column:
     """The array without its first n elements; zip_with() fills up with nulls, which neither a hash nor least() counts."""
-    return F.slice(array, n + 1, 2147483647)
+    return F.slice(array, F.lit(n + 1), F.size(array))
 
 
 def fingerprints(df: DataFrame) -> DataFrame:
@@ -66,7 +66,7 @@ def item_windows(items: DataFrame) -> DataFrame:
     """(item_id, text) to (print, span, n, items): every distinct window with its fingerprint and the ids of its items."""
     told = fingerprints(items.select(F.col("item_id").cast("string").alias("item"), words(F.col("text")).alias("words")).where(F.size("words") > 0))
     long = told.where(F.size("words") >= WINDOW)
-    long = long.select("item", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.struct(F.get("prints", i).alias("print"), _span(i, WINDOW).alias("span"), F.lit(WINDOW).alias("n")))).alias("w"))
+    long = long.select("item", F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.struct(F.get("prints", i).alias("print"), _span(i, WINDOW).alias("span"), F.lit(WINDOW).alias("n")))).alias("w"))
     short = told.where(F.size("words") < WINDOW)
     whole = F.concat(F.size("words").cast("string"), F.lit(":"), F.array_join("words", " "))
     short = short.select("item", F.struct(F.xxhash64(whole).alias("print"), whole.alias("span"), F.size("words").alias("n")).alias("w"))
@@ -85,14 +85,15 @@ def find(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     key = [F.col("doc_id"), F.xxhash64("text").alias("text_hash")]
     told = docs.select(*key, words(F.col("text")).alias("words"))
-    # pass 1: which texts share a fingerprint with a test
-    prints = fingerprints(told.where(F.size("words") >= WINDOW)).select("doc_id", "text_hash", F.explode(F.array_distinct("prints")).alias("print"))
+    # pass 1: which texts share a fingerprint with a test; explode() would have Spark infer a filter on the arrays' size and
+    # push it down through fingerprints(), which then runs many times over; explode_outer() does not
+    prints = fingerprints(told).select("doc_id", "text_hash", F.explode_outer(F.array_distinct("prints")).alias("print")).where("print is not null")
     maybe = prints.join(sized(tests.select("print").distinct(), size), "print", "left_semi").select("doc_id", "text_hash").distinct()
     maybe = written(maybe, "maybe")
     again = told.join(sized(maybe, maybe.count() * 32), told["doc_id"].eqNullSafe(maybe["doc_id"]) & (told["text_hash"] == maybe["text_hash"]), "left_semi")
     # pass 2: extend the hits
     at = fingerprints(again.where(F.size("words") >= WINDOW))
-    at = at.select("doc_id", "text_hash", F.explode(F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.struct(i.alias("start"), F.lit(WINDOW).alias("n"), F.get("prints", i).alias("print"), _span(i, WINDOW).alias("span")))).alias("s"))
+    at = at.select("doc_id", "text_hash", F.explode_outer(F.transform(F.sequence(F.lit(0), F.size("words") - WINDOW), lambda i: F.struct(i.alias("start"), F.lit(WINDOW).alias("n"), F.get("prints", i).alias("print"), _span(i, WINDOW).alias("span")))).alias("s"))
     at = at.select("doc_id", "text_hash", "s.*")
     found = [at.join(sized(tests, size), ["print", "span", "n"]).select("doc_id", "text_hash", "start", "n", "items")]
     for n in short:
