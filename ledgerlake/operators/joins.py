@@ -5,11 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.functions.text import ascii_upper
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import LEDGER_SQL, ledger, load
 
 
-@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS pos, l_partkey AS ref, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber) AS nth FROM lineitem),
+@query("""WITH r AS (SELECT l_orderkey AS k, l_linenumber AS pos, l_partkey AS ref, row_number() OVER (PARTITION BY l_orderkey, l_linenumber % 3 ORDER BY l_linenumber, l_partkey) AS nth FROM lineitem),
 m AS (SELECT l_orderkey AS k, l_linenumber AS pos, l_partkey % 25 AS aa FROM lineitem)
 SELECT r.k, count(*) AS aligned, count(*) FILTER (r.ref % 25 = aa) AS identical FROM r JOIN m USING (k, pos) WHERE nth = 1 GROUP BY r.k""")
 def first_match(spark, sf_dir):
@@ -68,9 +69,9 @@ def version_comparison(spark, sf_dir):
 
 @query(f"""WITH {LEDGER_SQL}, {_CORRECTED}
 SELECT CASE WHEN b.accession IS NULL THEN 'only_original' WHEN a.accession IS NULL THEN 'only_corrected' WHEN abs(a.label - b.label) > 1e-12 THEN 'changed' ELSE 'same' END AS kind, count(*) AS n, round(max(abs(a.label - b.label)), 9) AS largest
-FROM ledger a FULL JOIN corrected b ON a.accession = b.accession AND a.entry = b.entry AND a.pos = b.pos GROUP BY kind""")
+FROM (SELECT accession, entry, pos, max(label) AS label FROM ledger GROUP BY ALL) a FULL JOIN (SELECT accession, entry, pos, max(label) AS label FROM corrected GROUP BY ALL) b ON a.accession = b.accession AND a.entry = b.entry AND a.pos = b.pos GROUP BY kind""")
 def row_key_diff(spark, sf_dir):
-    """Keys of one version only, and the change of those of both, in one shuffle: a union grouped by key, not two joins."""
+    """Keys of one version only (rows that share a key count as one, with the largest label), and the change of those of both, in one shuffle: a union grouped by key, not two joins."""
     d = ledger(spark, sf_dir)
     each = d.select("accession", "entry", "pos", F.col("label").alias("a"), F.lit(None).cast("double").alias("b")).unionByName(corrected(d).select("accession", "entry", "pos", F.lit(None).cast("double").alias("a"), F.col("label").alias("b")))
     g = each.groupBy("accession", "entry", "pos").agg(F.max("a").alias("a"), F.max("b").alias("b"))
@@ -108,12 +109,12 @@ def leakage(spark, sf_dir):
 
 def sequence_units(items: DataFrame) -> DataFrame:
     """H2: one unit a distinct sequence, with its sorted members."""
-    seq = F.upper(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))
+    seq = ascii_upper(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s", ""))
     return items.select(seq.alias("seq"), "item_id").groupBy("seq").agg(F.sort_array(F.collect_set("item_id")).alias("members"))
 
 
 K, JACCARD, LEAST_LENGTH = 6, 0.10, 100
-_UNITS = "u AS (SELECT seq, min(item_id) AS unit, count(DISTINCT item_id) AS n FROM (SELECT upper(regexp_replace(coalesce(text, ''), '\\s', '', 'g')) AS seq, item_id FROM benchmark) GROUP BY seq)"
+_UNITS = "u AS (SELECT seq, min(item_id) AS unit, count(DISTINCT item_id) AS n FROM (SELECT translate(regexp_replace(coalesce(text, ''), '\\s', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS seq, item_id FROM benchmark) GROUP BY seq)"
 
 
 @query(f"WITH {_UNITS} SELECT unit, n AS n_members, length(seq) AS n_chars, md5(seq) AS md5 FROM u")

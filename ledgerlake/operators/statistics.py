@@ -1,0 +1,44 @@
+"""Regression and isotonic statistics."""
+
+from __future__ import annotations
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import functions as F
+
+from ledgerlake.plans.registry import query
+from ledgerlake.sources.tables import LEDGER_SQL, ledger
+
+
+@query(f"""WITH {LEDGER_SQL} SELECT chain, count(*) AS n, round(regr_slope(ln(label), feature), 6) AS slope, round(regr_intercept(ln(label), feature), 6) AS intercept FROM ledger WHERE label > 0 GROUP BY chain""")
+def log_regression(spark, sf_dir):
+    """Least squares of log label on the feature, from sums that are partial before the shuffle."""
+    d = ledger(spark, sf_dir).where("label > 0")
+    return d.groupBy("chain").agg(F.count("*").alias("n"), F.round(F.regr_slope(F.log("label"), "feature"), 6).alias("slope"), F.round(F.regr_intercept(F.log("label"), "feature"), 6).alias("intercept"))
+
+
+def pava(y: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted least-squares fit that never falls: blocks that violate the order are pooled."""
+    level, weight, size = [], [], []
+    for a, b in zip(y, w, strict=True):
+        level.append(a)
+        weight.append(b)
+        size.append(1)
+        while len(level) > 1 and level[-2] > level[-1]:
+            b, n, a = weight.pop(), size.pop(), level.pop()
+            level[-1] = (level[-1] * weight[-1] + a * b) / (weight[-1] + b)
+            weight[-1] += b
+            size[-1] += n
+    return np.repeat(level, size)
+
+
+@query()
+def isotonic_fit(spark, sf_dir):
+    """M4: isotonic regression of the label on the feature, by chain; rows shrink to one a distinct feature before the fit."""
+    points = ledger(spark, sf_dir).groupBy("chain", "feature").agg(F.avg("label").alias("y"), F.count("*").alias("n"))
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("feature")
+        return pdf[["chain", "feature"]].assign(fit=pava(pdf["y"].to_numpy(), pdf["n"].to_numpy(float)))
+
+    return points.groupBy("chain").applyInPandas(fit, "chain string, feature double, fit double")
