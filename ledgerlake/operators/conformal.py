@@ -1,7 +1,7 @@
 """Split-conformal evaluation: splits by group, order statistics, coverage over seeds, decisions.
 
 Roles come from hash order, so that any engine draws the same split. A split needs one row for each seed and accession,
-never one for each seed and ledger row in a shuffle of its own: residuals are ranked within (seed, level).
+never one for each seed and ledger row in a shuffle of its own: medians and residual ranks come from counts of ranges.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.orderstats import digest_order, medians, select_ranks
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import BINS_SQL, LEDGER_SQL, bins, ledger
 
@@ -18,11 +19,9 @@ SEEDS, LEVELS, LEAST = 20, (0.9, 0.95), 30
 def roles(accessions: DataFrame, seeds: int = SEEDS) -> DataFrame:
     """(seed, accession, role): 0 train (half), 1 calibration, 2 test, by hash order within a seed."""
     each = accessions.select("accession").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    w = Window.partitionBy("seed")
-    at = F.row_number().over(w.orderBy(F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col("accession").cast("string")), 256), "accession")) - 1
-    ranked = each.select("seed", "accession", at.alias("i"), F.count("*").over(w).alias("n"))
-    half, quarter = F.expr("n div 2"), F.expr("(n - n div 2) div 2")
-    return ranked.select("seed", "accession", F.when(F.col("i") < half, 0).when(F.col("i") < half + quarter, 1).otherwise(2).alias("role"))
+    ranked = digest_order(each, ["seed"], F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col("accession").cast("string")), 256), "accession")
+    half, quarter = F.expr("_n div 2"), F.expr("(_n - _n div 2) div 2")
+    return ranked.select("seed", "accession", F.when(F.col("_i") < half, 0).when(F.col("_i") < half + quarter, 1).otherwise(2).alias("role"))
 
 
 def rank_needed(n: Column, level: Column) -> Column:
@@ -33,12 +32,11 @@ def rank_needed(n: Column, level: Column) -> Column:
 def intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
     """rows (seed, role, *keys, label) to (seed, *keys, level, lo, hi): centre is the train median, half width the k-th residual."""
     by = ["seed", *keys]
-    centre = rows.where("role = 0").groupBy(by).agg(F.expr("percentile(label, 0.5D)").alias("c"), F.count("*").alias("n_train"))
-    cal = rows.where("role = 1").join(centre, by).select(*by, "c", "n_train", F.abs(F.col("label") - F.col("c")).alias("s"))
-    ranked = cal.select("*", F.row_number().over(Window.partitionBy(by).orderBy("s")).alias("k"), F.count("*").over(Window.partitionBy(by)).alias("n_cal"))
-    levels = F.explode(F.array(*[F.lit(x) for x in LEVELS]))
-    hit = ranked.select("*", levels.alias("level")).where(F.col("k") == rank_needed(F.col("n_cal"), F.col("level")))
-    return hit.select(*by, "level", "n_train", "n_cal", (F.col("c") - F.col("s")).alias("lo"), (F.col("c") + F.col("s")).alias("hi"))
+    centre = medians(rows.where("role = 0"), by, "label", "c").withColumnRenamed("n", "n_train")
+    cal = rows.where("role = 1").join(centre, by).select(*by, F.abs(F.col("label") - F.col("c")).alias("s"))
+    hit = select_ranks(cal, by, "s", lambda n: F.array(*[rank_needed(n, F.lit(x)) for x in LEVELS]))
+    levels = hit.withColumn("level", F.explode(F.array(*[F.lit(x) for x in LEVELS]))).where(F.col("k") == rank_needed(F.col("n"), F.col("level"))).dropDuplicates([*by, "level"])
+    return levels.join(centre, by).select(*by, "level", "n_train", F.col("n").alias("n_cal"), (F.col("c") - F.col("s")).alias("lo"), (F.col("c") + F.col("s")).alias("hi"))
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:

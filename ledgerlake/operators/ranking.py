@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.orderstats import average_ranks, digest_order
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import load
 
@@ -26,21 +26,17 @@ CAST((row_number() OVER (PARTITION BY CASE WHEN s_nationkey < 5 THEN 'A' WHEN s_
 def assign_folds(spark, sf_dir):
     """fold = rank in hash order within a class, modulo 5."""
     c = F.when(F.col("s_nationkey") < 5, "A").when(F.col("s_nationkey") < 10, "B").otherwise("P")
-    rank = F.row_number().over(Window.partitionBy("class").orderBy(F.sha2(F.col("s_suppkey").cast("string"), 256)))
-    return load(spark, sf_dir, "supplier").select("s_suppkey", c.alias("class"), "s_nationkey").select("s_suppkey", "class", ((rank - 1) % 5).cast("long").alias("fold"))
+    units = load(spark, sf_dir, "supplier").select("s_suppkey", c.alias("class"))
+    ranked = digest_order(units, ["class"], F.sha2(F.col("s_suppkey").cast("string"), 256), "s_suppkey")
+    return ranked.select("s_suppkey", "class", (F.col("_i") % 5).cast("long").alias("fold"))
 
 
 @query("""WITH r AS (SELECT s_suppkey, rank() OVER (ORDER BY s_nationkey) + (count(*) OVER (PARTITION BY s_nationkey) - 1) / 2.0::DOUBLE AS a, rank() OVER (ORDER BY s_acctbal) + (count(*) OVER (PARTITION BY s_acctbal) - 1) / 2.0::DOUBLE AS b FROM supplier)
 SELECT round(corr(a, b), 9) AS spearman, count(*) AS n FROM r""")
 def spearman(spark, sf_dir):
-    """Pearson correlation of average ranks. Ranks come from the counts of distinct values, so that no task sorts all rows."""
+    """Pearson correlation of average ranks, which come from counts of ranges, so that no task sorts all values."""
     s = load(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal")
-
-    def ranks(name: str, out: str):
-        n = s.groupBy(name).agg(F.count("*").alias("n"))
-        return n.select(name, (F.sum("n").over(Window.orderBy(name)) - (F.col("n") - 1) / 2).alias(out))
-
-    return s.join(ranks("s_nationkey", "a"), "s_nationkey").join(ranks("s_acctbal", "b"), "s_acctbal").agg(F.round(F.corr("a", "b"), 9).alias("spearman"), F.count("*").alias("n"))
+    return s.join(average_ranks(s, "s_nationkey", "a"), "s_nationkey").join(average_ranks(s, "s_acctbal", "b"), "s_acctbal").agg(F.round(F.corr("a", "b"), 9).alias("spearman"), F.count("*").alias("n"))
 
 
 @query("""SELECT user_id, CAST(min(event_id) AS BIGINT) AS first_event, count(DISTINCT props) > 1 AS conflict FROM events GROUP BY user_id""")
