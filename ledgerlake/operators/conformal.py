@@ -29,14 +29,24 @@ def rank_needed(n: Column, level: Column) -> Column:
     return F.ceil((n + 1).cast("double") * (F.lit(1.0) - (F.lit(1.0) - level))).cast("bigint")
 
 
-def intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (seed, role, *keys, label) to (seed, *keys, level, lo, hi): centre is the train median, half width the k-th residual."""
+def intervals(rows: DataFrame, keys: list[str], bounds: tuple[float, float]) -> DataFrame:
+    """rows (seed, role, *keys, label) to (seed, *keys, level, n_train, n_cal, lo, hi): centre is the train median, half width the k-th residual.
+
+    bounds hold all labels. Seeds are SEEDS and keys are bins, so that a row a group may be broadcast.
+    """
     by = ["seed", *keys]
-    centre = medians(rows.where("role = 0"), by, "label", "c").withColumnRenamed("n", "n_train")
-    cal = rows.where("role = 1").join(centre, by).select(*by, F.abs(F.col("label") - F.col("c")).alias("s"))
-    hit = select_ranks(cal, by, "s", lambda n: F.array(*[rank_needed(n, F.lit(x)) for x in LEVELS]))
-    levels = hit.withColumn("level", F.explode(F.array(*[F.lit(x) for x in LEVELS]))).where(F.col("k") == rank_needed(F.col("n"), F.col("level"))).dropDuplicates([*by, "level"])
-    return levels.join(centre, by).select(*by, "level", "n_train", F.col("n").alias("n_cal"), (F.col("c") - F.col("s")).alias("lo"), (F.col("c") + F.col("s")).alias("hi"))
+    centre = medians(rows.where("role = 0"), by, "label", "c", bounds, few_groups=True).withColumnRenamed("n", "n_train")
+    cal = rows.where("role = 1").join(F.broadcast(centre), by).select(*by, "c", "n_train", F.abs(F.col("label") - F.col("c")).alias("s"))
+    wanted = lambda n: F.array(*[rank_needed(n, F.lit(x)) for x in LEVELS])
+    hit = select_ranks(cal, [*by, "c", "n_train"], "s", lambda n: F.array_distinct(wanted(n)), (0.0, bounds[1] - bounds[0]), few_groups=True)
+    levels = hit.withColumn("level", F.explode(F.array(*[F.lit(x) for x in LEVELS]))).where(F.col("k") == rank_needed(F.col("n"), F.col("level")))
+    return levels.select(*by, "level", "n_train", F.col("n").alias("n_cal"), (F.col("c") - F.col("s")).alias("lo"), (F.col("c") + F.col("s")).alias("hi"))
+
+
+def label_bounds(spark: SparkSession, sf_dir: str) -> tuple[float, float]:
+    """Least and greatest label of the ledger: two numbers, from one scan of a column."""
+    a, b = ledger(spark, sf_dir).where("label is not null and not isnan(label)").agg(F.min("label"), F.max("label")).first()
+    return (a, b) if a is not None else (0.0, 0.0)
 
 
 def split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +83,7 @@ SELECT level, count(*) AS r_eff, {_DECIDED} FROM p GROUP BY level""")
 def pooled_conformal(spark, sf_dir):
     """Pooled intervals over seeded group splits, with the decision."""
     rows = split(spark, sf_dir)
-    test = rows.where("role = 2").join(F.broadcast(intervals(rows, [])), "seed")  # one row a seed and level
+    test = rows.where("role = 2").join(F.broadcast(intervals(rows, [], label_bounds(spark, sf_dir))), "seed")  # one row a seed and level
     return decided(test.groupBy("seed", "level").agg(F.avg(inside()).alias("cov")), ["level"])
 
 
@@ -87,10 +97,10 @@ p AS (SELECT y.seed, y.bin, q.level, avg(CAST(coalesce(bq.lo, q.lo) <= label AND
 SELECT level, bin, count(*) AS r_eff, {_DECIDED} FROM p GROUP BY level, bin""")
 def mondrian_conformal(spark, sf_dir):
     """M2: intervals by bin; a bin with under 30 train or calibration rows takes the pooled interval."""
-    rows = split(spark, sf_dir)
+    rows, bounds = split(spark, sf_dir), label_bounds(spark, sf_dir)
     binned = rows.join(F.broadcast(bins(spark)), (F.col("feature") >= F.col("lo")) & (F.col("feature") < F.col("hi"))).drop("lo", "hi")
-    own = intervals(binned, ["bin"]).where(f"n_train >= {LEAST} and n_cal >= {LEAST}").select("seed", "bin", "level", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    test = binned.where("role = 2").join(F.broadcast(intervals(rows, []).select("seed", "level", "lo", "hi")), "seed").join(F.broadcast(own), ["seed", "bin", "level"], "left")
+    own = intervals(binned, ["bin"], bounds).where(f"n_train >= {LEAST} and n_cal >= {LEAST}").select("seed", "bin", "level", F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
+    test = binned.where("role = 2").join(F.broadcast(intervals(rows, [], bounds).select("seed", "level", "lo", "hi")), "seed").join(F.broadcast(own), ["seed", "bin", "level"], "left")
     test = test.withColumn("lo", F.coalesce("lo2", "lo")).withColumn("hi", F.coalesce("hi2", "hi"))
     return decided(test.groupBy("seed", "level", "bin").agg(F.avg(inside()).alias("cov")), ["level", "bin"])
 
@@ -103,7 +113,7 @@ FROM bins LEFT JOIN t USING (bin) GROUP BY bins.bin""")
 def floor_table(spark, sf_dir):
     """Per-bin counts, distinct accessions, coverage, width, bias and low share; empty bins stay with n = 0."""
     rows = split(spark, sf_dir)
-    test = rows.where("role = 2 and seed = 0").join(F.broadcast(intervals(rows.where("seed = 0"), []).where("level = 0.9D")), "seed").withColumnsRenamed({"lo": "qlo", "hi": "qhi"})
+    test = rows.where("role = 2 and seed = 0").join(F.broadcast(intervals(rows.where("seed = 0"), [], label_bounds(spark, sf_dir)).where("level = 0.9D")), "seed").withColumnsRenamed({"lo": "qlo", "hi": "qhi"})
     grid = bins(spark)
     out = test.join(F.broadcast(grid), (F.col("feature") >= F.col("lo")) & (F.col("feature") < F.col("hi")))
     agg = out.groupBy("bin").agg(
@@ -142,7 +152,7 @@ def joint_cells(spark, sf_dir):
     """Bin x band grid over repeats, dense; a cell is reported if at least two repeats have support."""
     rows = split(spark, sf_dir)
     band = F.when(F.col("channel_a") <= 0.02, 0).when(F.col("channel_a") < 0.06, 1).otherwise(2)
-    test = rows.where("role = 2").join(F.broadcast(intervals(rows, []).where("level = 0.9D").select("seed", "lo", "hi")), "seed").select("seed", "accession", "feature", band.alias("band"), inside().alias("hit"))
+    test = rows.where("role = 2").join(F.broadcast(intervals(rows, [], label_bounds(spark, sf_dir)).where("level = 0.9D").select("seed", "lo", "hi")), "seed").select("seed", "accession", "feature", band.alias("band"), inside().alias("hit"))
     cells = test.join(F.broadcast(bins(spark)), (F.col("feature") >= F.col("lo")) & (F.col("feature") < F.col("hi"))).groupBy("seed", "bin", "band").agg(F.count("*").alias("n"), F.count_distinct("accession").alias("p"), F.avg("hit").alias("cov"))
     frame = bins(spark).select("bin", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("band")).withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(SEEDS - 1))))
     ok = (F.col("n") >= 100) & (F.col("p") >= 20)
@@ -157,7 +167,7 @@ SELECT accession, place, tested, CAST(misses AS BIGINT) AS misses, round(misses
 def miss_concentration(spark, sf_dir):
     """Misses by accession over all repeats, and the share of the worst ten."""
     rows = split(spark, sf_dir)
-    test = rows.where("role = 2").join(F.broadcast(intervals(rows, []).where("level = 0.9D").select("seed", "lo", "hi")), "seed")
+    test = rows.where("role = 2").join(F.broadcast(intervals(rows, [], label_bounds(spark, sf_dir)).where("level = 0.9D").select("seed", "lo", "hi")), "seed")
     m = test.groupBy("accession").agg(F.count("*").alias("tested"), F.sum(1 - inside().cast("long")).alias("misses"))
     total = F.broadcast(m.agg(F.sum("misses").alias("total")))
     top = m.orderBy(F.desc("misses"), "accession").limit(10)
