@@ -21,4 +21,5 @@ def query(oracle: str | None = None):
     return add
 
 
-from ledgerlake.operators import aggregates, conformal, joins, ranking, scalar, sets, statistics  # noqa: E402, F401
+from ledgerlake.operators import aggregates, conformal, geometry, graph, joins, ranking, resample, scalar, sets, statistics  # noqa: E402, F401
+from ledgerlake.streaming import batches  # noqa: E402, F401
