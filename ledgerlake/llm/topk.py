@@ -3,8 +3,9 @@
 Vectors are dealt into shards; in a shard, list j holds the rows in the order of component j. For a query, the lists are
 read in step, each from the end that its component's sign prefers. What was read gives every row a lower bound (unread
 components at their list's least contribution) and an upper bound (unread components at the contribution last read). A row
-whose upper bound is under the k-th best lower bound is out; reading stops when at most RESOLVED rows a query are left, or
-the lists are at their end, and the final scores of the rows left are summed. The shards' best k meet in one ranking a query.
+whose upper bound is under the k-th best lower bound is out; bounds are taken at the depths of STEPS, and reading stops when
+at most RESOLVED rows a query are left (on average over a block of queries), or the lists are at their end, where only the
+best k and their ties are left. The final scores of the rows left are summed. The shards' best k meet in one ranking a query.
 
 What a query has read of list j depends on the sign of its component j alone. So the bounds of all rows for a block of
 queries are one matrix product: positive parts of the queries with lists read from the top, negative parts with lists
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SHARD, QUERIES, RESOLVED, STEPS = 8192, 1024, 64, (1 / 2, 3 / 4)
+SHARD, QUERIES, RESOLVED, STEPS = 8192, 1024, 64, (1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32, 63 / 64, 1)
 PAIRS = 1 << 16  # rows left whose final scores are summed at once
 SCHEMA = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
@@ -44,12 +45,9 @@ def _read(lists: np.ndarray, rank: np.ndarray, rows: np.ndarray, depth: int, unr
     return np.hstack([np.where(rank >= n - depth, rows, unread_top), np.where(rank < depth, rows, unread_bottom)])
 
 
-def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
-    """Best k of a shard for each query: (number of the query, vec_id, score), flat. floors: scores that k other rows reach."""
-    n, m = rows.shape
-    bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(m, 1)
-    kind = np.float64 if bound < 2**53 else np.int64  # doubles are exact here
-    rows, queries = rows.astype(kind), queries.astype(kind)
+def contenders(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> np.ndarray:
+    """Which rows are left for each query when reading stops."""
+    n = len(rows)
     order = np.argsort(rows, axis=0, kind="stable")
     lists = np.take_along_axis(rows, order, 0)
     rank = np.empty_like(order, dtype=np.int32)
@@ -66,6 +64,16 @@ def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries:
         floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
         del lower
         left &= signs @ _read(lists, rank, rows, depth, lists[n - depth], lists[depth - 1]).T >= floor[:, None]
+    return left
+
+
+def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
+    """Best k of a shard for each query: (number of the query, vec_id, score), flat. floors: scores that k other rows reach."""
+    m = rows.shape[1]
+    bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(m, 1)
+    kind = np.float64 if bound < 2**53 else np.int64  # doubles are exact here
+    rows, queries = rows.astype(kind), queries.astype(kind)
+    left = contenders(ids, rows, query_ids, queries, k, floors)
     q, r = np.nonzero(left)
     final = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + PAIRS]], rows[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)] or [np.zeros(0, kind)])
     best = np.lexsort((ids[r], -final, q))
