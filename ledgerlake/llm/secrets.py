@@ -1,8 +1,9 @@
 r"""Secret scans by an incremental blob ledger.
 
 Every version of a text is content-addressed (SHA-256 of its UTF-8). The ledger says which (blob, rule, rule version)
-triples were scanned; a run scans only those that the ledger lacks, once a blob however many documents carry it, and
-joins the findings back to all paths.
+triples were scanned; a run scans only those that the ledger lacks, once a blob however many documents carry it, adds
+them to the ledger, which is a table in the shared folder that the next run takes up, and joins the findings back to all
+paths.
 
 A rule finds its matches leftmost and non-overlapping over the whole text and then drops those that are too short;
 positions are code points, end exclusive. Matching runs in the JVM: the pieces between matches, from split(), and the
@@ -19,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import BROADCAST_BYTES, shared_dir, skewed_left, table, written
 
 
 @dataclass(frozen=True)
@@ -39,6 +40,10 @@ RULES = (
 )
 
 SPANS = "array<struct<kind:string,start:int,end:int>>"
+ENTRY = f"blob string, kind string, version int, spans {SPANS}"
+CHUNK = 64  # matches whose spans are gathered at once
+#: Names the ledger's folder; without it, it lies in the folder that the cluster shares.
+LEDGER_CONF = "ledgerlake.secret_ledger"
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -51,7 +56,6 @@ def matches(text: Column, rule: Rule) -> Column:
         pattern, short = rule.pattern, rule.least
     found, between = F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.split(text, pattern, -1)
     sizes = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda b, m: F.struct(F.char_length(b).alias("gap"), F.char_length(m).alias("len"), m.alias("match")))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("spans"))
 
     def step(acc: Column, x: Column) -> Column:
         begin = acc["at"] + x["gap"]
@@ -59,40 +63,73 @@ def matches(text: Column, rule: Rule) -> Column:
         kept = F.concat(acc["spans"], span)
         if short is not None:
             kept = F.when(F.char_length(F.regexp_extract(x["match"], pattern, rule.group)) >= short, kept).otherwise(acc["spans"])
-        return F.struct((begin + x["len"]).alias("at"), kept.alias("spans"))
+        return F.struct((begin + x["len"]).alias("at"), kept.alias("spans"), acc["done"].alias("done"))
 
-    spans = F.aggregate(sizes, start, step, lambda acc: acc["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(SPANS))
+    # in chunks, since a growing array is copied at every step
+    nothing = F.array().cast(SPANS)
+    chunks = F.transform(F.sequence(F.lit(0), F.size(sizes), F.lit(CHUNK)), lambda i: F.slice(sizes, i + 1, F.lit(CHUNK)))
+    start = F.struct(F.lit(0).alias("at"), nothing.alias("spans"), F.array().cast(f"array<{SPANS}>").alias("done"))
+    merged = lambda acc: F.struct(acc["at"].alias("at"), nothing.alias("spans"), F.concat(acc["done"], F.array(acc["spans"])).alias("done"))
+    spans = F.aggregate(chunks, start, lambda acc, chunk: F.aggregate(chunk, acc, step, merged), lambda acc: F.flatten(acc["done"]))
+    return F.when(text.rlike(pattern), spans).otherwise(nothing)
 
 
 def address(text: Column) -> Column:
     return F.sha2(F.coalesce(text, F.lit("")), 256)
 
 
-def blobs(versions: DataFrame) -> DataFrame:
-    """(path, text) to one (blob, text) a content."""
-    seen = versions.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
-    return seen.groupBy("blob").agg(F.first("text").alias("text"))
+def ledger_path(spark: SparkSession) -> str:
+    return spark.conf.get(LEDGER_CONF, None) or f"{shared_dir(spark)}/secret-ledger"
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    """All entries so far; none where no run has written any."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p):
+        return spark.createDataFrame([], ENTRY)
+    return spark.read.schema(ENTRY).parquet(path)
+
+
+def unseen(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, todo): the blobs that the ledger lacks for a rule version, and these as kind:version. No text is shuffled for it."""
+    mine = [f"{r.kind}:{r.version}" for r in rules]
+    have = ledger.select("blob", F.concat_ws(":", "kind", "version").alias("rule")).where(F.col("rule").isin(mine)).groupBy("blob").agg(F.collect_set("rule").alias("have"))
+    todo = F.array_except(F.array(*map(F.lit, mine)), F.coalesce("have", F.array().cast("array<string>")))
+    return versions.select(address(F.col("text")).alias("blob")).distinct().join(have, "blob", "left").select("blob", todo.alias("todo")).where(F.size("todo") > 0)
 
 
 def scan(versions: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> DataFrame:
     """The ledger's new entries: (blob, kind, version, spans) for each blob and rule version that it lacks."""
-    todo = blobs(versions)
-    each = F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), matches(F.col("text"), r).alias("spans")) for r in rules]))
-    if ledger is not None:
-        # a blob is scanned only for the rule versions that its ledger entries lack
-        have = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws(":", "kind", "version")).alias("have"))
-        todo = todo.join(have, "blob", "left")
-        unseen = lambda r: ~F.coalesce(F.array_contains("have", f"{r.kind}:{r.version}"), F.lit(False))
-        each = F.explode(F.filter(F.array(*[F.when(unseen(r), F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), matches(F.col("text"), r).alias("spans"))) for r in rules]), lambda x: x.isNotNull()))
-    return todo.select("blob", each.alias("e")).select("blob", "e.kind", "e.version", "e.spans")
+    spark = versions.sparkSession
+    texts = versions.select(address(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
+    todo = written(unseen(versions, spark.createDataFrame([], ENTRY) if ledger is None else ledger, rules), "unseen")
+    size = todo.count() * 160
+    if size <= BROADCAST_BYTES:  # then only unseen texts are shuffled
+        once = texts.join(F.broadcast(todo), "blob").groupBy("blob").agg(F.first("text").alias("text"), F.first("todo").alias("todo"))
+    else:
+        once = texts.groupBy("blob").agg(F.first("text").alias("text")).join(todo, "blob")
+    entry = lambda r: F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version"), matches(F.col("text"), r).alias("spans"))
+    each = F.array(*[F.when(F.array_contains("todo", f"{r.kind}:{r.version}"), entry(r)) for r in rules])
+    return once.select("blob", F.explode(F.filter(each, lambda x: x.isNotNull())).alias("e")).select("blob", "e.kind", "e.version", "e.spans")
+
+
+def scanned(versions: DataFrame, rules: tuple[Rule, ...] = RULES, path: str | None = None) -> DataFrame:
+    """Bring the stored ledger up to date with these versions and return it.
+
+    New entries are appended by one job, whose files appear when it is done. Runs that overlap may both scan a blob;
+    their equal entries count once.
+    """
+    spark = versions.sparkSession
+    path = path or ledger_path(spark)
+    scan(versions, rules, read_ledger(spark, path)).write.mode("append").option("compression", "zstd").parquet(path)
+    return read_ledger(spark, path)
 
 
 def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The current rules' findings of each blob that has any: (blob, spans), by start, then kind as listed."""
     current = ledger.where(F.concat_ws(":", "kind", "version").isin([f"{r.kind}:{r.version}" for r in rules]))
     order = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (r.kind, i)])
-    found = current.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    found = current.where(F.size("spans") > 0).groupBy("blob").agg(F.flatten(F.collect_set("spans")).alias("spans"))
     ranked = F.array_sort(F.transform("spans", lambda s: F.struct(s["start"].alias("start"), order[s["kind"]].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     return found.select("blob", F.transform(ranked, lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"))).alias("spans"))
 
@@ -100,7 +137,9 @@ def findings(ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 def join_back(versions: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every row of versions (path, text) as (path, blob, spans)."""
     paths = versions.select("path", address(F.col("text")).alias("blob"))
-    return paths.join(findings(ledger, rules), "blob", "left").select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
+    found = written(findings(ledger, rules), "findings")
+    size = found.agg(F.sum(F.size("spans") * 56 + 96)).first()[0] or 0
+    return skewed_left(paths, found, "blob", size).select("path", "blob", F.coalesce("spans", F.array().cast(SPANS)).alias("spans"))
 
 
 def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
@@ -117,7 +156,7 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    found = join_back(docs, scan(docs))
+    found = join_back(docs, scanned(docs))
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     found = found.select("path", "spans", told.alias("told"))
