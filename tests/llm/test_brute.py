@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+from dataclasses import replace
 
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerlake.llm import chat, decontaminate, pieces, quality, repeats, secrets, simhash, topk, url_filter, warc
+from ledgerlake.llm import chat, common, decontaminate, pieces, quality, repeats, secrets, simhash, topk, url_filter, warc
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -174,20 +175,45 @@ def test_archives_survive_and_damage_is_found(spark):
         list(warc.read_records([one[:-9]]))
 
 
-def test_a_later_scan_reads_only_unseen_blobs(spark):
+def test_a_later_scan_reads_only_unseen_blobs(spark, tmp_path):
+    path = str(tmp_path / "ledger")
     v1 = spark.createDataFrame([("a", "password = hunter22"), ("b", None), ("c", "password = hunter22")], "path string, text string")
-    ledger = secrets.scan(v1)
-    assert ledger.select("blob").distinct().count() == 2
+    assert secrets.scanned(v1, path=path).count() == 2 * 3  # two blobs, three rules
     more = v1.unionByName(spark.createDataFrame([("d", "AKIA" + "A" * 16)], "path string, text string"))
-    new = secrets.scan(more, ledger=ledger)
-    assert new.select("blob").distinct().count() == 1
-    found = {r.path: [s.kind for s in r.spans] for r in secrets.join_back(more, ledger.unionByName(new)).collect()}
+    todo = secrets.unseen(more, secrets.read_ledger(spark, path)).collect()
+    assert len(todo) == 1 and len(todo[0].todo) == 3
+    ledger = secrets.scanned(more, path=path)
+    assert ledger.count() == 3 * 3 and secrets.scanned(more, path=path).count() == 3 * 3
+    found = {r.path: [s.kind for s in r.spans] for r in secrets.join_back(more, ledger).collect()}
     assert found == {"a": ["assign"], "b": [], "c": ["assign"], "d": ["access"]}
+    newer = (*secrets.RULES[:2], replace(secrets.RULES[2], version=2))  # one rule changes: each blob is scanned for it alone
+    assert [r.todo for r in secrets.unseen(more, ledger, newer).collect()] == [["hex:2"]] * 3
+    assert secrets.scanned(more, newer, path).count() == 3 * 4
+
+
+def test_spans_of_a_text_with_very_many_secrets(spark):
+    rows = spark.createDataFrame([("a", "é token=abcdef1 " * 700)], "path string, text string")
+    got = secrets.join_back(rows, secrets.scan(rows)).first().spans
+    assert [(s.start, s.end) for s in got if s.kind == "assign"] == [(16 * i + 2, 16 * i + 15) for i in range(700)]
+
+
+def test_the_url_filter_drops_nearly_all_misses_before_the_exact_join(spark):
+    rows = spark.range(20_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://h.org/"), "id").alias("url"))
+    host, path = url_filter.url_parts(F.col("url"))
+    listed = url_filter.listing(rows.where("page_id < 500").select(host.alias("host"), path.alias("path")))
+    for limit in (url_filter.BROADCAST_BYTES, 600, 1):  # whole, in slices, shuffled
+        with pytest.MonkeyPatch.context() as m:
+            for module in (url_filter, common):
+                m.setattr(module, "BROADCAST_BYTES", limit)
+            keyed = rows.select(F.concat(host, F.lit(" "), path).alias("key"))
+            assert 500 <= url_filter.passed(keyed, listed, 500).where("maybe").count() < 1500
+            got = url_filter.judge(rows, listed).groupBy("verdict").count().collect()
+            assert dict(map(tuple, got)) == {"allow": 19_500, "block": 500}
 
 
 def test_native_operators_take_nulls_and_empty_tables(spark):
     pages = spark.createDataFrame([(1, None), (2, "no scheme"), (3, "http://WWW.Example.com/en/x"), (3, "http://WWW.Example.com/en/x"), (None, "http://a.net/fr/?q")], "page_id long, url string")
-    got = sorted((str(r.page_id), r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.listing(spark)).collect())
+    got = sorted((str(r.page_id), r.rule, r.verdict) for r in url_filter.judge(pages, url_filter.listing(spark.createDataFrame([], "host string, path string"))).collect())
     assert got == sorted([("1", None, "allow"), ("2", None, "allow"), ("3", "www.example.com/en/", "allow"), ("3", "www.example.com/en/", "allow"), ("None", "net/fr/", "block")])
     turns = spark.createDataFrame([(1, 0, None, None), (1, 1, "assistant", "\\s</s>[INST]"), (None, 0, "user", "x")], "conv_id long, turn long, role string, text string")
     told = {r.conv_id: r for r in chat.summary(chat.prefix_targets(turns)).collect()}

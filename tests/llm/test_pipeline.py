@@ -3,10 +3,13 @@
 import hashlib
 import re
 
+import pytest
+from pyspark.sql import functions as F
+
 import corpus_pipeline as p
-from ledgerlake.llm import secrets
+from ledgerlake.llm import nearcopies, secrets
 from ledgerlake.llm.common import table, written
-from tests.llm.test_brute import docs, fingerprint_by_hand
+from tests.llm.test_brute import docs
 from tests.oracle import SF
 
 
@@ -38,14 +41,14 @@ def test_stages_on_the_smallest_tables(spark):
     kept = written(stages["quality classifier"](spark, table(spark, SF, "documents"), SF), "t")
     assert 0 < kept.count() < table(spark, SF, "documents").count()
     once = written(stages["SimHash near-dedup"](spark, kept, SF), "t")
-    fp = {r.doc_id: fingerprint_by_hand(r.text) for r in kept.collect()}
-    label = {i: i for i in fp}
+    sets = {r.doc_id: set(nearcopies.shingles((r.text or "").encode()).tolist()) for r in kept.collect()}
+    label = {i: i for i in sets}
     changed = True
     while changed:
         changed = False
-        for a in fp:
-            for b in fp:
-                if label[b] < label[a] and (fp[a] ^ fp[b]).bit_count() <= 4:
+        for a in sets:
+            for b in sets:
+                if label[b] < label[a] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
                     label[a], changed = label[b], True
     assert {r.doc_id for r in once.collect()} == set(label.values())
     clean = written(stages["benchmark decontamination"](spark, once, SF), "t")
@@ -70,3 +73,20 @@ def test_stages_take_nulls_and_repeated_rows(spark):
         assert out.columns == rows.columns, name
         out.collect()
     assert p.STAGES[-1][1](spark, rows, SF).count() == 5
+
+
+CLASHING = ("spans", "blob", "_blob", "_row", "_doc", "_text", "_hash", "_id", "path", "text_hash", "_text_hash", "_address", "keep", "n", "component_id", "_n", "_salt")
+
+
+@pytest.mark.parametrize("name", [name for name, _ in p.STAGES[:-1]])
+def test_stages_keep_columns_of_any_name(spark, name):
+    rows = docs(spark, [(1, "token = abcdef1 and more"), (1, "token = abcdef1 and more"), (2, "x y z"), (None, None), (None, "x y z")])
+    rows = rows.select("*", *[F.lit(c).alias(c) for c in CLASHING], F.create_map(F.lit("k"), F.lit(1)).alias("map"))
+    out = dict(p.STAGES)[name](spark, rows, SF)
+    assert out.columns == rows.columns
+    assert all(r[c] == c for r in out.collect() for c in CLASHING)
+
+
+@pytest.mark.parametrize("name", [name for name, _ in p.STAGES])
+def test_stages_take_an_empty_table(spark, name):
+    assert dict(p.STAGES)[name](spark, docs(spark, []), SF).count() == 0
