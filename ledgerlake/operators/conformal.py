@@ -72,8 +72,8 @@ Intervals = Callable[[Chunk, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 def prepared(rows: DataFrame, identity: list[str], seeds: int = SEEDS) -> Evaluation:
     """rows: (accession, x, y, z, *identity), y finite and x within the grid."""
-    low, high, n = rows.agg(F.min("y"), F.max("y"), F.count_distinct("accession")).first()
-    return Evaluation(chunks(rows, identity, seeds), seeds, (low or 0.0, high or 0.0), n)
+    table, bounds, n = chunks(rows, identity, seeds)
+    return Evaluation(table, seeds, bounds, n)
 
 
 def evaluated(spark: SparkSession, sf_dir: str) -> Evaluation:

@@ -66,9 +66,9 @@ def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
 def digest_order(rows: DataFrame, by: list[str], digest: Column, tie: str) -> DataFrame:
     """rows with _i, their place from 0 in the order of a hex digest within the group, and the group's size _n.
 
-    The digest's first three digits are the range: they are as good as uniform.
+    The digest's first two digits are the range: they are as good as uniform.
     """
-    keyed = rows.withColumn("_d", digest).withColumn("_r", F.substring("_d", 1, 3))
+    keyed = rows.withColumn("_d", digest).withColumn("_r", F.substring("_d", 1, 2))
     within = Window.partitionBy(by)
     counts = keyed.groupBy(*by, "_r").agg(F.count("*").alias("_m"))
     counts = counts.select(*by, "_r", F.sum("_m").over(within).alias("_n"), (F.sum("_m").over(within.orderBy("_r")) - F.col("_m")).alias("_before"))

@@ -18,7 +18,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.orderstats import digest_order
 from ledgerlake.sources.sinks import stored
 
 TRAIN, CALIBRATION, TEST = 0, 1, 2
@@ -31,11 +30,27 @@ COLUMNS = ("x", "y", "z")
 
 
 def roles(accessions: DataFrame, seeds: int) -> DataFrame:
-    """(seed, accession, role): train (half), calibration, test, by hash order within a seed."""
-    each = accessions.select("accession").distinct().withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1))))
-    ranked = digest_order(each, ["seed"], F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col("accession").cast("string")), 256), "accession")
-    half, quarter = F.expr("_n div 2"), F.expr("(_n - _n div 2) div 2")
-    return ranked.select("seed", "accession", F.when(F.col("_i") < half, TRAIN).when(F.col("_i") < half + quarter, CALIBRATION).otherwise(TEST).alias("role"))
+    """(seed, accession, role): train (half), calibration, test, by hash order within a seed.
+
+    Counts of the digests' first two digits tell all roles but those in the two ranges where a role ends; only these
+    few rows are ranked.
+    """
+    each = accessions.select("accession").distinct()
+    n = each.count()
+    digest = F.sha2(F.concat_ws(":", F.col("seed").cast("string"), F.col("accession").cast("string")), 256)
+    each = each.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("_d", digest).withColumn("_r", F.substring("_d", 1, 2))
+    upto = F.expr("sum(m) over (partition by seed order by _r)")
+    counts = each.groupBy("seed", "_r").agg(F.count("*").alias("m")).select("seed", "_r", "m", upto.alias("upto"))
+    ends = (n // 2, n // 2 + (n - n // 2) // 2)
+    # a row a seed: where each role ends, and how many rows lie before that range
+    last = [F.min(F.when(F.col("upto") >= e, F.struct("_r", (F.col("upto") - F.col("m")).alias("before")))).alias(f"_e{i}") for i, e in enumerate(ends)]
+    known = each.join(F.broadcast(counts.groupBy("seed").agg(*last)), "seed")
+    open_ = (F.col("_r") == F.col("_e0._r")) | (F.col("_r") == F.col("_e1._r"))
+    plain = F.when(F.col("_r") < F.col("_e0._r"), TRAIN).when(F.col("_r") < F.col("_e1._r"), CALIBRATION).otherwise(TEST)
+    place = F.expr("row_number() over (partition by seed, _r order by _d, accession)") + F.when(F.col("_r") == F.col("_e0._r"), F.col("_e0.before")).otherwise(F.col("_e1.before"))
+    ranked = known.where(open_).withColumn("_i", place - 1)
+    told = ranked.select("seed", "accession", F.when(F.col("_i") < ends[0], TRAIN).when(F.col("_i") < ends[1], CALIBRATION).otherwise(TEST).alias("role"))
+    return known.where(~open_).select("seed", "accession", plain.alias("role")).unionByName(told)
 
 
 def role_bytes(accessions: DataFrame, seeds: int) -> DataFrame:
@@ -45,16 +60,27 @@ def role_bytes(accessions: DataFrame, seeds: int) -> DataFrame:
     return told.select("accession", F.encode(F.array_join(F.transform("r", lambda r: r["role"].cast("string")), ""), "US-ASCII").alias("roles"))
 
 
-def chunks(rows: DataFrame, identity: list[str], seeds: int) -> DataFrame:
-    """rows (accession, x, y, z, *identity) to written (accession, roles, x, y, z); identity tells where a row of a large accession goes."""
-    n = rows.groupBy("accession").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("_pieces"))
-    told = n.join(role_bytes(rows, seeds), "accession")
-    many = F.broadcast(n.where("_pieces > 1")) if n.where("_pieces > 1").count() < 100_000 else n
-    rows = rows.join(many, "accession", "left")
-    piece = F.when(F.col("_pieces") > 1, F.pmod(F.xxhash64(*identity), F.col("_pieces"))).otherwise(0).alias("_piece")
-    grouped = rows.select("accession", *COLUMNS, piece).groupBy("accession", "_piece").agg(F.collect_list(F.struct(*COLUMNS)).alias("r"))
-    out = grouped.join(told, "accession").select("accession", "roles", *[F.col(f"r.{c}").alias(c) for c in COLUMNS])
-    return stored(out, "chunks")
+def chunks(rows: DataFrame, identity: list[str], seeds: int) -> tuple[DataFrame, tuple[float, float], int]:
+    """rows (accession, x, y, z, *identity) to written (accession, roles, x, y, z), the bounds of y and the number of accessions.
+
+    identity tells where a row of a large accession goes.
+    """
+    spark = rows.sparkSession
+    each = stored(rows.groupBy("accession").agg(F.count("*").alias("_n"), F.min("y").alias("_low"), F.max("y").alias("_high")), "accessions")
+    low, high, n, total, large = each.agg(F.min("_low"), F.max("_high"), F.count("*"), F.sum("_n"), F.count_if(F.col("_n") > CHUNK)).first()
+    rows = rows.select("accession", *COLUMNS, *identity)
+    if large:  # at most rows / CHUNK of them
+        pieces = each.where(F.col("_n") > CHUNK).select("accession", F.ceil(F.col("_n") / CHUNK).cast("int").alias("_pieces"))
+        rows = rows.join(F.broadcast(pieces) if large < 100_000 else pieces, "accession", "left")
+        piece = F.when(F.col("_pieces").isNull(), 0).otherwise(F.pmod(F.xxhash64(*identity), F.col("_pieces")))
+    else:
+        piece = F.lit(0)
+    # as many parts as will keep all cores busy, each of bounded size; a number that is given is not coalesced
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // (64 * CHUNK))
+    dealt = rows.select("accession", *COLUMNS, piece.alias("_piece")).repartition(parts, "accession", "_piece")
+    grouped = dealt.groupBy("accession", "_piece").agg(F.collect_list(F.struct(*COLUMNS)).alias("r"))
+    out = grouped.join(role_bytes(each, seeds), "accession").select("accession", "roles", *[F.col(f"r.{c}").alias(c) for c in COLUMNS])
+    return stored(out, "chunks"), (low or 0.0, high or 0.0), n
 
 
 class Chunk:
@@ -179,26 +205,53 @@ def select(table: DataFrame, n_seeds: int, role: int, score: Score, bounds: tupl
 
         counts = _counts(table, (n_seeds, len(stratum), CELLS), again)
 
-    def fetch(batches):
+    # ranks of one range are fetched once, for the first of them
+    first = np.broadcast_to(np.arange(len(stratum)), targets.rank.shape).copy()
+    for t, g in enumerate(stratum):
+        for u in range(stratum.index(g), t):
+            same = np.all([cell[:, t] == cell[:, u] for *_, cell in targets.levels], axis=0) & (targets.rank[:, u] > 0) & (first[:, t] == t)
+            first[same, t] = u
+    goal_rank, goal_at = targets.rank, np.arange(n_seeds)[:, None] * len(stratum) + first
+    targets.rank = np.where(first == np.arange(len(stratum)), targets.rank, 0)
+
+    def fetched(batches):
+        """Values by seed and target, equal ones of a task as one."""
+        held, size = [], 0
+
+        def batch():
+            at, v = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((v, at))
+            at, v = at[order], v[order]
+            new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (v[1:] != v[:-1])]))
+            return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(v[new]), pa.array(np.diff(np.append(new, len(at))))], ["at", "v", "n"])
+
         for chunk in _chunks(batches):
             seeds, s = _scores(chunk, role, score)
             if not len(seeds):
                 continue
             g = strata(chunk)
             for t, stratum_of in enumerate(targets.stratum):
+                if not targets.rank[seeds, t].any():
+                    continue
                 rows = _rows_of(g, stratum_of, whole)
                 i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
                 if len(i):
-                    yield pa.RecordBatch.from_arrays([pa.array(seeds[i] * len(targets.stratum) + t), pa.array(s[i, rows[j]])], ["at", "v"])
+                    held.append((seeds[i] * len(targets.stratum) + t, s[i, rows[j]]))
+                    size += len(i)
+            if size > HELD:
+                yield batch()
+                held, size = [], 0
+        if held:
+            yield batch()
 
     spark = table.sparkSession
-    sought = np.flatnonzero(targets.rank.ravel())
-    goal = spark.createDataFrame([(int(a), int(targets.rank.ravel()[a])) for a in sought], "at long, k long")
-    values = table.mapInArrow(fetch, "at long, v double").groupBy("at", "v").agg(F.count("*").alias("n"))
+    sought = np.flatnonzero(goal_rank.ravel())
+    goal = spark.createDataFrame(list(zip(sought.tolist(), goal_at.ravel()[sought].tolist(), goal_rank.ravel()[sought].tolist(), strict=True)), "goal long, at long, k long")
+    values = table.mapInArrow(fetched, "at long, v double, n long").groupBy("at", "v").agg(F.sum("n").alias("n"))
     run = F.expr("sum(n) over (partition by at order by v)")
-    hit = values.select("at", "v", "n", run.alias("upto")).join(F.broadcast(goal), "at").where("upto >= k and upto - n < k").select("at", "v").toPandas()
+    hit = values.select("at", "v", "n", run.alias("upto")).join(F.broadcast(goal), "at").where("upto >= k and upto - n < k").select("goal", "v").toPandas()
     out = np.full(rank.size, np.nan)
-    out[hit["at"].to_numpy()] = hit["v"].to_numpy()
+    out[hit["goal"].to_numpy()] = hit["v"].to_numpy()
     return out.reshape(n_seeds, n_strata + 1, each), n
 
 
