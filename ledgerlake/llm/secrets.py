@@ -2,8 +2,9 @@ r"""Secret scans by an incremental blob ledger.
 
 Every version of a text is content-addressed (SHA-256 of its UTF-8). The ledger says which (blob, rule, rule version)
 triples were scanned; a run scans only those that the ledger lacks, once a blob however many documents carry it, adds
-them to the ledger, which is a table in the shared folder that the next run takes up, and joins the findings back to all
-paths.
+them to the ledger, a table in the shared folder that the next run or batch takes up, and joins the findings back to all
+paths. Which folder, the session's setting ledgerlake.secret_ledger says; without it a run starts from an empty ledger, so
+that its figures are those of a whole scan.
 
 A rule finds its matches leftmost and non-overlapping over the whole text and then drops those that are too short;
 positions are code points, end exclusive. Matching runs in the JVM: the pieces between matches, from split(), and the
@@ -15,12 +16,13 @@ is kept; other columns are ignored (and cannot clash, since only path and text a
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_BYTES, shared_dir, skewed_left, table, written
+from .common import BROADCAST_BYTES, run_dir, skewed_left, table, written
 
 
 @dataclass(frozen=True)
@@ -42,8 +44,9 @@ RULES = (
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 ENTRY = f"blob string, kind string, version int, spans {SPANS}"
 CHUNK = 64  # matches whose spans are gathered at once
-#: Names the ledger's folder; without it, it lies in the folder that the cluster shares.
+#: Names the folder of a ledger that outlives the run; without it a run starts an empty one of its own.
 LEDGER_CONF = "ledgerlake.secret_ledger"
+BATCHES = 2  # in which op9 brings versions to the ledger
 
 
 def matches(text: Column, rule: Rule) -> Column:
@@ -79,7 +82,7 @@ def address(text: Column) -> Column:
 
 
 def ledger_path(spark: SparkSession) -> str:
-    return spark.conf.get(LEDGER_CONF, None) or f"{shared_dir(spark)}/secret-ledger"
+    return spark.conf.get(LEDGER_CONF, None) or f"{run_dir(spark)}/ledger-{uuid.uuid4().hex}"
 
 
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
@@ -155,8 +158,12 @@ def redacted(text: Column, spans: Column, mark: str = "[SECRET]") -> Column:
 
 
 def op9_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table comes to the ledger in BATCHES parts by hash of the id, as versions do over time: a later part scans only what the ledger lacks."""
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
-    found = join_back(docs, scanned(docs))
+    path = ledger_path(spark)
+    for i in range(BATCHES):
+        ledger = scanned(docs.where(F.pmod(F.xxhash64("path"), F.lit(BATCHES)) == i), path=path)
+    found = join_back(docs, ledger)
     count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
     told = F.array_join(F.transform("spans", lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     found = found.select("path", "spans", told.alias("told"))
