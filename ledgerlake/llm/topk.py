@@ -1,17 +1,20 @@
 """Exact top-k inner products by no-random-access aggregation over sorted lists.
 
 Vectors are dealt into shards; in a shard, list j holds the rows in the order of component j. For a query, the lists are
-read in step, each from the end that its component's sign prefers. What was read gives every row a lower bound (unread
-components at their list's least contribution) and an upper bound (unread components at the contribution last read). A row
-whose upper bound is under the k-th best lower bound is out; bounds are taken at the depths of STEPS, and reading stops when
-at most RESOLVED rows a query are left (on average over a block of queries), or the lists are at their end, where only the
-best k and their ties are left. The final scores of the rows left are summed. The shards' best k meet in one ranking a query.
+read in step, in blocks up to the depths of READS, each from the end that its component's sign prefers. What was read
+gives every row a lower bound (unread components at their list's least contribution) and an upper bound (unread components
+at the contribution last read, which for a row not met at all is the bound of unseen rows). Reading stops for a query when
+no outsider's upper bound reaches the k-th best lower bound; the final scores of the rows left are then taken from the
+lists, read on to where these rows stand. A query that never stops has read its lists to their end, where both bounds are
+the scores. The shards' best k meet in one ranking a query; the first shard's k-th scores hold as lower bounds in the others.
 
 What a query has read of list j depends on the sign of its component j alone. So the bounds of all rows for a block of
 queries are one matrix product: positive parts of the queries with lists read from the top, negative parts with lists
-read from the bottom. The first shard's k-th best scores hold as lower bounds in all others.
+read from the bottom. Where components spread evenly, bounds tell nothing until nearly everything is read: at each depth
+they are first taken for PROBES queries of the block, and for the others only if these could drop most rows.
 
-Queries against all rows go in blocks: a task gets one shard and one block of queries, both of bounded size.
+Queries against all rows go in blocks: a task gets one shard and one block of queries, both of bounded size. Vectors are
+shuffled once for every QUERIES queries.
 
 Cases: vectors that are null, or hold a null or non-finite component, take no part; vectors are compared with those of
 as many components; ties go to the smaller vec_id; rows that share the query's vec_id are its own; rows that repeat both
@@ -28,8 +31,8 @@ from pyspark.sql import functions as F
 
 from .common import table, written
 
-SHARD, QUERIES, RESOLVED, STEPS = 8192, 1024, 64, (1 / 2, 3 / 4, 7 / 8, 15 / 16, 31 / 32, 63 / 64, 1)
-PAIRS = 1 << 16  # rows left whose final scores are summed at once
+SHARD, QUERIES, TOGETHER = 8192, 1 << 16, 512  # rows of a shard, queries of a task, queries that share a matrix product
+READS, PROBES = (1 / 64, 1 / 16, 1 / 4, 1 / 2), 8  # shares of a list read when bounds are taken; after the last, lists are read to their end
 SCHEMA = pa.schema([("query", pa.int64()), ("query_id", pa.int64()), ("vec_id", pa.int64()), ("score", pa.int64())])
 
 
@@ -39,47 +42,99 @@ def quantized(embedding: Column) -> Column:
     return F.when(fine, F.transform(embedding, lambda x: F.floor(x.cast("double") * 256).cast("long")))
 
 
-def _read(lists: np.ndarray, rank: np.ndarray, rows: np.ndarray, depth: int, unread_top: np.ndarray, unread_bottom: np.ndarray) -> np.ndarray:
-    """Rows as read depth deep from the top, beside rows as read from the bottom; what is unread has the value given."""
-    n = len(rows)
-    return np.hstack([np.where(rank >= n - depth, rows, unread_top), np.where(rank < depth, rows, unread_bottom)])
+class Lists:
+    """The sorted lists of a shard: values by place, the place of each row, and rows as far as they were read."""
+
+    def __init__(self, rows: np.ndarray):
+        n = len(rows)
+        order = np.argsort(rows, axis=0, kind="stable")
+        self.values = np.take_along_axis(rows, order, 0)
+        self.place = np.empty_like(order, dtype=np.int32)
+        np.put_along_axis(self.place, order, np.arange(n, dtype=np.int32)[:, None], 0)
+        self.rows, self.known = rows, {}
+
+    def read(self, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """Components known after depth entries from the top, beside those from the bottom; unread ones at their least, and at most."""
+        if depth not in self.known:  # the same for all blocks of queries
+            n = len(self.rows)
+            top, bottom = self.place >= n - depth, self.place < depth
+            low = np.hstack([np.where(top, self.rows, self.values[0]), np.where(bottom, self.rows, self.values[-1])])
+            high = np.hstack([np.where(top, self.rows, self.values[n - depth]), np.where(bottom, self.rows, self.values[depth - 1])])
+            self.known[depth] = low, high
+        return self.known[depth]
+
+    def of(self, r: np.ndarray) -> np.ndarray:
+        """The components of rows, as the lists have them at these rows' places."""
+        return np.take_along_axis(self.values, self.place[r], 0)
+
+
+def _contenders(signs: np.ndarray, own: np.ndarray, floor: np.ndarray, low: np.ndarray, high: np.ndarray, k: int) -> np.ndarray:
+    """Rows whose upper bound reaches the k-th best lower bound (or the floor, if that is more)."""
+    n = low.shape[0]
+    lower = signs @ low.T
+    lower[own] = np.iinfo(np.int64).min
+    if n > k:
+        floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
+    return (signs @ high.T >= floor[:, None]) & ~own
 
 
-def contenders(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> np.ndarray:
-    """Which rows are left for each query when reading stops."""
-    n = len(rows)
-    order = np.argsort(rows, axis=0, kind="stable")
-    lists = np.take_along_axis(rows, order, 0)
-    rank = np.empty_like(order, dtype=np.int32)
-    np.put_along_axis(rank, order, np.arange(n, dtype=np.int32)[:, None], 0)
+def _block_top(lists: Lists, ids: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray):
+    """(query, row, score) of the best k of a block of queries, flat, and the depth that each query read."""
+    n = len(ids)
     signs = np.hstack([np.maximum(queries, 0), np.minimum(queries, 0)])
     own = ids[None, :] == query_ids[:, None]
-    floor = np.full(len(queries), np.iinfo(np.int64).min, np.float64) if floors is None else floors.astype(np.float64)
-    left = ~own
-    for depth in (max(1, int(n * s)) for s in STEPS):
-        if left.sum() <= RESOLVED * len(queries) or n <= k:
+    reading, depths = np.arange(len(queries)), np.full(len(queries), n)
+    q_out, r_out, s_out = [], [], []
+
+    def settle(q, r, score):
+        best = np.lexsort((ids[r], -score, q))
+        q, r, score = q[best], r[best], score[best]
+        first = np.arange(len(q)) - np.searchsorted(q, q) < k
+        for out, x in zip((q_out, r_out, s_out), (q, r, score), strict=True):
+            out.append(x[first])
+
+    for depth in (max(1, int(n * s)) for s in READS):
+        if n <= k or not len(reading):
             break
-        lower = signs @ _read(lists, rank, rows, depth, lists[0], lists[-1]).T
-        lower[own] = np.iinfo(np.int64).min
-        floor = np.maximum(floor, np.partition(lower, n - k, axis=1)[:, n - k])
-        del lower
-        left &= signs @ _read(lists, rank, rows, depth, lists[n - depth], lists[depth - 1]).T >= floor[:, None]
-    return left
+        low, high = lists.read(depth)
+        some = reading[:: -(-len(reading) // PROBES)]
+        if _contenders(signs[some], own[some], floors[some], low, high, k).mean() > 1 / 4:
+            continue
+        left = _contenders(signs[reading], own[reading], floors[reading], low, high, k)
+        stop = left.sum(axis=1) <= k
+        q, r = np.nonzero(left[stop])
+        q = reading[stop][q]
+        settle(q, r, np.einsum("ij,ij->i", queries[q], lists.of(r)))
+        depths[reading[stop]] = depth
+        reading = reading[~stop]
+    if len(reading):
+        score = queries[reading] @ lists.rows.T  # all is read
+        score[own[reading]] = np.iinfo(np.int64).min
+        kth = np.partition(score, n - k, axis=1)[:, n - k] if n > k else np.full(len(reading), np.iinfo(np.int64).min, score.dtype)
+        q, r = np.nonzero((score >= np.maximum(kth, floors[reading])[:, None]) & ~own[reading])
+        settle(reading[q], r, score[q, r])
+    q, r, score = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (q_out, r_out, s_out))
+    order = np.argsort(q, kind="stable")
+    return q[order], r[order], score[order], depths
 
 
 def shard_top(ids: np.ndarray, rows: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None):
-    """Best k of a shard for each query: (number of the query, vec_id, score), flat. floors: scores that k other rows reach."""
+    """Best k of a shard for each query: (number of the query, vec_id, score), flat, and the depth to which each query read its lists.
+
+    floors: scores that k other rows reach.
+    """
     m = rows.shape[1]
     bound = float(np.abs(rows).max(initial=0)) * float(np.abs(queries).max(initial=0)) * max(m, 1)
     kind = np.float64 if bound < 2**53 else np.int64  # doubles are exact here
-    rows, queries = rows.astype(kind), queries.astype(kind)
-    left = contenders(ids, rows, query_ids, queries, k, floors)
-    q, r = np.nonzero(left)
-    final = np.concatenate([np.einsum("ij,ij->i", queries[q[i : i + PAIRS]], rows[r[i : i + PAIRS]]) for i in range(0, len(q), PAIRS)] or [np.zeros(0, kind)])
-    best = np.lexsort((ids[r], -final, q))
-    q, r, final = q[best], r[best], final[best]
-    first = np.arange(len(q)) - np.searchsorted(q, q) < k
-    return q[first], ids[r[first]], final[first].astype(np.int64)
+    lists, queries = Lists(rows.astype(kind)), queries.astype(kind)
+    floors = np.full(len(queries), np.iinfo(np.int64).min) if floors is None else floors
+    floors = floors.astype(kind)
+    found = []
+    for a in range(0, len(queries), TOGETHER):
+        b = slice(a, a + TOGETHER)
+        q, r, score, depths = _block_top(lists, ids, query_ids[b], queries[b], k, floors[b])
+        found.append((q + a, ids[r], score.astype(np.int64), depths))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 def _group(group: pa.Table, k: int) -> pa.Table:
@@ -90,7 +145,7 @@ def _group(group: pa.Table, k: int) -> pa.Table:
         return SCHEMA.empty_table()
     query, own = group["query"].filter(pa.array(asked)).to_numpy(), ids[asked]
     floors = group["floor"].filter(pa.array(asked)).fill_null(np.iinfo(np.int64).min).to_numpy()
-    q, vec_id, score = shard_top(ids[~asked], values[~asked], own, values[asked], k, floors)
+    q, vec_id, score, _ = shard_top(ids[~asked], values[~asked], own, values[asked], k, floors)
     return pa.table([query[q], own[q], vec_id, score], schema=SCHEMA)
 
 
