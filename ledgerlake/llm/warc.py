@@ -1,10 +1,10 @@
 r"""WARC archives: a writer and a sequential reader.
 
-An archive is a stream of gzip members, one a record. Spark has no sink for byte files, so archives lie in a table of
-byte blocks (archive, block, data) in the shared folder, written and read like any other table; archives that are files
-are read by read_files(). The reader takes an archive's bytes in order, in pieces of any size: zlib inflates them as they
-come, a member's end starts the next, a record's header ends at the empty line, Content-Length frames its block, and the
-digests are verified. Only one record is held at a time.
+An archive is a stream of gzip members, one a record. Spark has no sink for byte files, so archives lie in a table
+(archive, blocks) in the shared folder, a row of at most about ARCHIVE_BYTES each, its bytes in blocks; they are read
+where they lie, without a shuffle. Archives that are files are read by read_files(). The reader takes an archive's bytes
+in order, in pieces of any size: zlib inflates them a few KB at a time, a member's end starts the next, a record's header
+ends at the empty line, Content-Length frames its block, and the digests are verified. Only one record is held at a time.
 
 Of records with equal payloads of at least REVISITED bytes that with the smallest page_id is a response, the others are
 revisits that name it and carry no payload; the HTTP header that they keep tells the payload's length.
@@ -26,11 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import sized, table, written
+from .common import skewed_left, table, written
 
-REVISITED, BLOCK_BYTES, ARCHIVE_BYTES, DATE = 100, 256 << 10, 32 << 20, "2020-01-01T00:00:00Z"
+REVISITED, BLOCK_BYTES, ARCHIVE_BYTES, DATE = 100, 256 << 10, 4 << 20, "2020-01-01T00:00:00Z"
+PIECE = 16 << 10  # bytes that zlib is given at once: what follows a member's end is copied
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-BLOCKS = pa.schema([("archive", pa.string()), ("block", pa.int64()), ("data", pa.binary())])
+ARCHIVES = pa.schema([("archive", pa.string()), ("blocks", pa.list_(pa.binary()))])
 RECORDS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
@@ -59,46 +60,32 @@ def record(page_id, url: str | None, payload: bytes, digest: str, refers_to, dat
 
 
 def _write(batches):
-    """Pack records into archives of bounded size, in blocks."""
+    """Pack records into archives of bounded size, in blocks; a record longer than that is an archive of its own."""
     from pyspark import TaskContext
 
-    part, number, block, size, held, rows = TaskContext.get().partitionId(), 0, 0, 0, bytearray(), []
+    part, number, held = TaskContext.get().partitionId(), 0, bytearray()
 
-    def take(n: int):
-        nonlocal block
-        rows.append((f"{part}-{number}", block, bytes(held[:n])))
-        del held[:n]
-        block += 1
-
-    def batch():
-        out = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), BLOCKS.types, strict=True)], schema=BLOCKS)
-        rows.clear()
-        return out
+    def archive():
+        nonlocal number
+        blocks = [bytes(held[i : i + BLOCK_BYTES]) for i in range(0, len(held), BLOCK_BYTES)]
+        held.clear()
+        number += 1
+        return pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), pa.array([blocks], ARCHIVES.types[1])], schema=ARCHIVES)
 
     for b in batches:
         for i in range(b.num_rows):
             page_id, url, html, digest, refers_to = (c[i].as_py() for c in b.columns)
-            member = record(page_id, url, html, digest, refers_to)
-            held += member
-            size += len(member)
-            while len(held) >= BLOCK_BYTES:
-                take(BLOCK_BYTES)
-            if size >= ARCHIVE_BYTES:
-                if held:
-                    take(len(held))
-                number, block, size = number + 1, 0, 0
-            if len(rows) >= 64:
-                yield batch()
+            held += record(page_id, url, html, digest, refers_to)
+            if len(held) >= ARCHIVE_BYTES:
+                yield archive()
     if held:
-        take(len(held))
-    if rows:
-        yield batch()
+        yield archive()
 
 
 def inflate(pieces: Iterable[bytes]) -> Iterator[bytes | None]:
     """The inflated bytes of an archive; None after each gzip member."""
     member = None
-    for piece in pieces:
+    for piece in (p[i : i + PIECE] for p in map(memoryview, pieces) for i in range(0, len(p), PIECE)):
         while piece:
             member = member or zlib.decompressobj(31)
             try:
@@ -150,57 +137,40 @@ def _page(r: Record):
 
 
 def _read(batches):
-    """Blocks sorted by archive and number to records."""
+    """Archives, a row each, to records."""
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64()]
     names = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"]
-
-    def blocks():
-        for b in batches:
-            for i in range(b.num_rows):
-                yield b.column(0)[i].as_py(), b.column(2)[i].as_py()
-
-    def archives():
-        ahead = next(stream, None)
-        while ahead:
-            name = ahead[0]
-
-            def pieces():
-                nonlocal ahead
-                while ahead and ahead[0] == name:
-                    yield ahead[1]
-                    ahead = next(stream, None)
-
-            yield from read_records(pieces())
-
-    stream, rows = blocks(), []
-    for r in archives():
-        rows.append(_page(r))
-        if len(rows) >= 1000:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+    for b in batches:
+        for blocks in b.column(1):
             rows = []
-    if rows:
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+            for r in read_records(x.as_py() for x in blocks.values):
+                rows.append(_page(r))
+                if len(rows) >= 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+                    rows = []
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
 
 
 def write_archives(pages: DataFrame) -> DataFrame:
-    """(page_id, url, html) to written archives: (archive, block, data)."""
+    """(page_id, url, html) to written archives: (archive, blocks)."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("html")).withColumn("digest", F.sha2("html", 256))
     same = rows.where(F.octet_length("html") >= REVISITED).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
     same = written(same, "same")
-    typed = rows.join(sized(same, same.count() * 96), "digest", "left")
+    typed = skewed_left(rows, same, "digest", same.count() * 96)
     refers_to = F.when(F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     typed = typed.select("page_id", "url", "html", "digest", refers_to.alias("refers_to"))
-    return written(typed.mapInArrow(_write, "archive string, block long, data binary"), "archives", "uncompressed")
+    return written(typed.mapInArrow(_write, "archive string, blocks array<binary>"), "archives", "uncompressed")
 
 
-def read_archives(blocks: DataFrame) -> DataFrame:
-    return blocks.repartition("archive").sortWithinPartitions("archive", "block").mapInArrow(_read, RECORDS)
+def read_archives(archives: DataFrame) -> DataFrame:
+    return archives.select("archive", "blocks").mapInArrow(_read, RECORDS)
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Archives that are files (*.warc.gz), one task's memory at least a file."""
+    """Archives that are files (*.warc.gz). Spark's source of whole files holds each in memory, 2 GB at most."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select(F.col("path").alias("archive"), F.lit(0).cast("long").alias("block"), F.col("content").alias("data")).mapInArrow(_read, RECORDS)
+    return read_archives(files.select(F.col("path").alias("archive"), F.array("content").alias("blocks")))
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
