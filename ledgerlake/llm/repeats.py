@@ -7,7 +7,9 @@ GRAM bytes of least hash are the window's anchor, so equal windows have equal an
 1. Anchors of all texts are counted by hash; only those that occur twice matter. The bytes of all windows of an anchor
    are its cutting; the least and largest 64-bit hash of its cuttings tell whether they are all equal.
 2. Of equal cuttings the earliest stands for all, any other is removed whole; this is done within a batch before the
-   shuffle. Bytes are sent only of anchors with several cuttings, that is where shared passages begin, end or differ.
+   shuffle. Bytes are sent only of anchors with several cuttings, that is where shared passages begin, end or differ; of
+   the others a 128-bit BLAKE2 digest is, so that nothing is removed on the equality of a 64-bit hash alone. Should these
+   digests differ, the 64-bit hashes are distrusted and the bytes of all repeated anchors are sent.
 3. Cuttings are grouped by anchor and sorted from the anchor on: a sparse suffix array with common prefixes. A stack scan
    gives its interval tree: each interval is a set of suffixes with a common prefix. Within one, the same scan over what
    precedes the anchor, backwards, gives the sets that share a left extension until it becomes diverse: with at
@@ -29,12 +31,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import release, sized, table, written
+from .common import discard, release, sized, table, written
 
 LENGTH, GRAM, CHUNK, SLICE = 100, 24, 4000, 1 << 19
 BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _MASK = np.uint64((1 << 20) - 1)  # positions in a slice; a slice with its overlap stays under this
-#: A cutting: its anchor's place and the bytes before (backwards) and from it; left and right are null if all of the anchor are equal.
+#: A cutting: its anchor's place and the bytes before (backwards) and from it; if all of the anchor are equal, left is null and right is their digest.
 CUTTINGS = pa.schema([("anchor", pa.int64()), ("ord", pa.int64()), ("rk", pa.int64()), ("pos", pa.int64()), ("n_left", pa.int32()), ("n_right", pa.int32()), ("left", pa.binary()), ("right", pa.binary())])
 CUTTING = "anchor long, ord long, rk long, pos long, n_left int, n_right int, left binary, right binary"
 
@@ -152,7 +154,7 @@ def _cut(batches):
                 if t != now:
                     now, wanted, same = t, set(repeated[t].as_py()), set(alike[t].as_py())
                 if a in same:
-                    cutting, n = (a, None, None), (p - x, y + LENGTH - p)
+                    cutting, n = (a, None, hashlib.blake2b(texts[t][x : y + LENGTH], digest_size=16).digest()), (p - x, y + LENGTH - p)
                 elif a in wanted:
                     cutting, n = (a, texts[t][x:p][::-1], texts[t][p : y + LENGTH]), (p - x, y + LENGTH - p)
                 else:
@@ -210,7 +212,7 @@ def repeats(lefts: list[bytes], rights: list[bytes], length: int = LENGTH):
 
 
 def _scan(batches):
-    """Cuttings sorted by group and right to runs to remove (rk, start, stop)."""
+    """Cuttings sorted by group and right to runs to remove (rk, start, stop); a run of -1 tells of digests that should be equal and are not."""
     out: list[list] = [[], [], []]
 
     def remove(spot, left, right):
@@ -220,6 +222,9 @@ def _scan(batches):
     def solve(rows):
         spots = [r[1:4] for r in rows]
         if rows[0][6] is None:
+            if rows[0][7] != rows[-1][7]:  # sorted by it
+                remove((0, 0, -1), 0, 0)
+                return
             first = min(spots)
             for r, spot in zip(rows, spots, strict=True):
                 if spot != first:
@@ -292,11 +297,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).withColumn("rk", F.xxhash64("doc_id", "text"))
 
 
-def removed_runs(docs: DataFrame) -> DataFrame:
-    """keyed() documents to (rk, runs), runs a sorted array of (start, stop)."""
+def removed_runs(docs: DataFrame, trusted: bool = True) -> DataFrame:
+    """keyed() documents to (rk, runs), runs a sorted array of (start, stop). trusted: equal 64-bit hashes of cuttings save their bytes."""
     texts = docs.select("rk", "text")
     counted = texts.mapInArrow(lambda it: _anchor_rows(it, False), "anchor long, cutting long").groupBy("anchor")
-    often = counted.agg(F.count("*").alias("n"), F.min("cutting").alias("a"), F.max("cutting").alias("b")).where("n > 1").select("anchor", (F.col("a") == F.col("b")).alias("alike"))
+    alike = (F.col("a") == F.col("b")) & F.lit(trusted)
+    often = counted.agg(F.count("*").alias("n"), F.min("cutting").alias("a"), F.max("cutting").alias("b")).where("n > 1").select("anchor", alike.alias("alike"))
     # neither side has a size bound: both are shuffled; a table between lets Spark split the partition of a hot anchor
     often = written(often, "often")
     release(docs.sparkSession)
@@ -306,6 +312,7 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     marked = docs.select("rk", "text", order.alias("ord")).join(sets.hint("merge"), "rk").select("rk", "text", "ord", "repeated", "alike")
     cuttings = written(marked.mapInArrow(_cut, CUTTING), "cuttings")
     del counted, found, sets, marked
+    discard(often)
     release(docs.sparkSession)
     done = cuttings.where("anchor is null").select("rk", F.col("pos").alias("start"), (F.col("pos") + F.col("n_right")).alias("stop"))
     todo = cuttings.where("anchor is not null")
@@ -316,14 +323,22 @@ def removed_runs(docs: DataFrame) -> DataFrame:
     dealt = todo.join(sized(hot, hot.count() * 32), "anchor", "left")
     dealt = dealt.select(F.explode(F.when(F.col("n").isNull(), F.array("anchor")).otherwise(cells)).alias("group"), *CUTTINGS.names[1:])
     found = dealt.repartition("group").sortWithinPartitions("group", "right").mapInArrow(_scan, "rk long, start long, stop long")
-    runs = found.unionByName(done).groupBy("rk").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
-    return runs.mapInArrow(_merge, "rk long, runs array<struct<start:long,stop:long>>")
+    found = written(found.unionByName(done), "found")
+    discard(cuttings)
+    discard(hot)
+    if not found.where("start < 0").isEmpty():
+        discard(found)
+        return removed_runs(docs, trusted=False)
+    runs = found.groupBy("rk").agg(F.collect_set(F.struct("start", "stop")).alias("runs"))
+    runs = written(runs.mapInArrow(_merge, "rk long, runs array<struct<start:long,stop:long>>"), "runs")
+    discard(found)
+    return runs
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """(doc_id, text) to doc_id, n_bytes, n_removed, n_spans, kept_sha256, a row for each row of docs."""
     rows = keyed(docs)
-    runs = written(removed_runs(rows), "runs")
+    runs = removed_runs(rows)
     size = runs.agg(F.sum(F.size("runs") * 16 + 48)).first()[0] or 0
     whole = rows.join(sized(runs, size), "rk", "left").select("doc_id", "text", "runs")
     return whole.mapInArrow(_apply, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")

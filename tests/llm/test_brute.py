@@ -150,7 +150,7 @@ def test_kth_largest_is_exact(spark):
 
 def test_top_k_with_ties_bad_vectors_and_several_shards(spark, monkeypatch):
     monkeypatch.setattr(topk, "SHARD", 40)
-    monkeypatch.setattr(topk, "RESOLVED", 4)
+    monkeypatch.setattr(topk, "QUERIES", 3)
     r = random.Random(5)
     rows = [(i, [r.randrange(-8, 8) / 256 for _ in range(4)]) for i in range(200)] + [(300, None), (301, [1.0, None, 1.0, 1.0]), (302, [1.0, float("inf"), 0.0, 0.0])]
     d = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
