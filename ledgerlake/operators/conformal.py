@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Chunk, chunks, role_bytes, select, sums
+from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Chunk, chunks, of_role, role_bytes, select, sums
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import BINS, BINS_SQL, LEDGER_SQL, bins, ledger
 
@@ -58,12 +58,12 @@ class Evaluation:
 
     def medians(self, strata=lambda c: bin_of(c.x), n_strata: int = N_BINS) -> tuple[np.ndarray, np.ndarray]:
         """Train medians and counts by seed and bin; the last is that of all bins."""
-        two, n = select(self.table, self.seeds, TRAIN, lambda c, s: c.y[None, :], self.bounds, _middle, strata, n_strata)
+        two, n = select(self.table, self.seeds, of_role(TRAIN), lambda c, s: c.y[None, :], self.bounds, _middle, strata, n_strata)
         return two[..., 0] * 0.5 + two[..., 1] * 0.5, n
 
     def quantiles(self, score, strata=lambda c: bin_of(c.x), n_strata: int = N_BINS, bounds: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The needed order statistics of calibration scores by seed, bin and level, NaN where they exceed the count, and the counts."""
-        return select(self.table, self.seeds, CALIBRATION, score, bounds or (0.0, self.bounds[1] - self.bounds[0]), _needed, strata, n_strata)
+        return select(self.table, self.seeds, of_role(CALIBRATION), score, bounds or (0.0, self.bounds[1] - self.bounds[0]), _needed, strata, n_strata)
 
 
 #: The interval of a chunk's rows for some seeds at a level: two arrays of seeds by rows.

@@ -1,52 +1,170 @@
-"""Bootstrap and permutation statistics as aggregates over (replicate, row), with draws from hashes."""
+"""Bootstrap and permutation statistics; replicates are drawn inside the rows' tasks, and only their sums are shuffled.
+
+A row's part in a replicate is a function of its id and the replicate's number, in integer arithmetic that any engine has:
+a weight of the Poisson distribution (bootstrap; no index need be drawn, so rows stay where they are) or a side (permutation).
+"""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.orderstats import digest_order
+from ledgerlake.operators.splits import Chunk, select, sums
 from ledgerlake.plans.registry import query
+from ledgerlake.sources.sinks import stored
 from ledgerlake.sources.tables import load
 
-REPLICATES, PERMUTATIONS = 400, 200
-#: A row occurs k times in a replicate with probability exp(-1)/k!: bounds of 32-bit draws.
-POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * 2**32) for k in range(9)]
+#: Numbers of replicates and permutations, and the least size of a group that is tested.
+REPLICATES, PERMUTATIONS, LEAST_GROUP = 10_000, 10_000, 10
+PRIME = (1 << 31) - 1
+#: A row occurs k times in a replicate with probability exp(-1)/k!: bounds of draws below PRIME.
+POISSON = [int(sum(math.exp(-1) / math.factorial(j) for j in range(k + 1)) * PRIME) for k in range(9)]
+TOGETHER = 1 << 19  # pairs of a row and a replicate that are drawn at once
+ROWS = 4096  # rows of a chunk
+
+
+def draw(ids: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """A number below PRIME for each replicate and row."""
+    ids, r = ids.astype(np.int64)[None, :] % PRIME, r.astype(np.int64)[:, None]
+    u = (ids * 1103515245 % PRIME + r * 69621 + 12345) % PRIME
+    u = (u * u + ids) % PRIME
+    u = (u * u + r * 48271) % PRIME
+    return u * 16807 % PRIME
+
+
+_U0 = f"((doc_id % {PRIME}) * 1103515245 % {PRIME} + r * 69621 + 12345) % {PRIME}"
+#: For oracle SQL, from x (doc_id, ...) and r: u as draw() has it.
+_DRAWN = f"""u0 AS (SELECT *, {_U0} AS u0 FROM x, (SELECT unnest(range(CAST({{n}} AS BIGINT))) AS r)),
+u1 AS (SELECT *, (u0 * u0 + doc_id % {PRIME}) % {PRIME} AS u1 FROM u0), d AS (SELECT *, (u1 * u1 + r * 48271) % {PRIME} * 16807 % {PRIME} AS u FROM u1)"""
 _WEIGHT = " + ".join(f"CAST(u >= {t} AS BIGINT)" for t in POISSON)
-_GROUPS = "SELECT doc_id, toxic AS g, length(text) AS v FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL"
+_GROUPS = "SELECT doc_id, toxic AS g, quality AS q, length(text) AS v FROM labels JOIN documents USING (doc_id) WHERE text IS NOT NULL AND toxic IS NOT NULL AND quality IS NOT NULL"
+_BOOTSTRAP = f"x AS ({_GROUPS}), {_DRAWN.format(n=REPLICATES)}, w AS (SELECT *, {_WEIGHT} AS w FROM d)"
+
+
+def groups(spark, sf_dir) -> DataFrame:
+    """Chunks of labelled documents: x the id, y the length, z the group (0, 1) plus twice the quality."""
+    docs = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.char_length("text").cast("double").alias("y"))
+    rows = load(spark, sf_dir, "labels").where("toxic is not null and quality is not null").join(docs, "doc_id")
+    rows = rows.select(F.col("doc_id").cast("double").alias("x"), "y", (F.col("toxic") + 2 * F.col("quality")).cast("double").alias("z"))
+    rows = stored(rows, "groups")
+    pieces = max(1, rows.count() // ROWS)
+    piece = F.pmod(F.xxhash64("x"), F.lit(pieces)).alias("p")
+    packed = rows.select("*", piece).repartition(max(pieces, int(spark.conf.get("spark.sql.shuffle.partitions"))), "p").groupBy("p").agg(F.collect_list(F.struct("x", "y", "z")).alias("r"))
+    return stored(packed.select(F.lit(b"").alias("roles"), *[F.col(f"r.{c}").alias(c) for c in "xyz"]), "chunks")
+
 
+def blocks(chunk: Chunk, n: int):
+    """Numbers of replicates, as many as may be drawn at once for a chunk."""
+    step = max(1, TOGETHER // max(1, len(chunk.x)))
+    for a in range(0, n, step):
+        yield np.arange(a, min(n, a + step))
 
-def groups(spark, sf_dir):
-    docs = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.char_length("text").cast("long").alias("v"))
-    return load(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("g")).join(docs, "doc_id")
 
+def weights(chunk: Chunk, r: np.ndarray) -> np.ndarray:
+    return np.searchsorted(POISSON, draw(chunk.x, r), "right")
+
+
+def weighted_sums(table: DataFrame, fields: list[str], of) -> DataFrame:
+    """(key, *fields): sums over the rows of each bootstrap replicate; of(chunk) gives a column for each field."""
+
+    def part(chunk: Chunk):
+        columns = np.stack(of(chunk), axis=1)
+        for r in blocks(chunk, REPLICATES):
+            yield r, weights(chunk, r) @ columns
+
+    return sums(table, REPLICATES, fields, part)
+
+
+def _interval(d: DataFrame, column: str):
+    q = d.agg(F.count(column).alias("replicates"), F.expr(f"percentile({column}, array(0.025D, 0.975D))").alias("q"))
+    return q.select("replicates", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"))
 
-@query(f"""WITH x AS ({_GROUPS}), w AS (SELECT r, g, v, CAST('0x' || substr(md5(r || ':' || doc_id), 1, 8) AS BIGINT) AS u FROM x, (SELECT unnest(range({REPLICATES})) AS r)),
-s AS (SELECT r, sum(v * ({_WEIGHT})) FILTER (g = 1) / CAST(sum({_WEIGHT}) FILTER (g = 1) AS DOUBLE) - sum(v * ({_WEIGHT})) FILTER (g = 0) / CAST(sum({_WEIGHT}) FILTER (g = 0) AS DOUBLE) AS d FROM w GROUP BY r)
+
+@query(f"""WITH {_BOOTSTRAP},
+s AS (SELECT r, sum(v * w) FILTER (g = 1) / CAST(sum(w) FILTER (g = 1) AS DOUBLE) - sum(v * w) FILTER (g = 0) / CAST(sum(w) FILTER (g = 0) AS DOUBLE) AS d FROM w GROUP BY r)
 SELECT count(d) AS replicates, round(quantile_cont(d, 0.025), 6) AS lo, round(quantile_cont(d, 0.975), 6) AS hi FROM s""")
 def bootstrap_difference(spark, sf_dir):
-    """M7: interval of the difference in mean length between two groups. Poisson weights need no draw of indices, so rows stay where they are and only a replicate's sums are shuffled."""
-    w = groups(spark, sf_dir).withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(REPLICATES - 1))))
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.col("r").cast("string"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long")
-    w = w.withColumn("u", u).withColumn("w", F.expr(_WEIGHT))
-    part = lambda g: F.sum(F.when(F.col("g") == g, F.col("v") * F.col("w"))) / F.sum(F.when(F.col("g") == g, F.col("w")))
-    d = w.groupBy("r").agg((part(1) - part(0)).alias("d"))
-    q = d.agg(F.count("d").alias("replicates"), F.expr("percentile(d, array(0.025D, 0.975D))").alias("q"))
-    return q.select("replicates", F.round(F.col("q")[0], 6).alias("lo"), F.round(F.col("q")[1], 6).alias("hi"))
+    """Interval of the difference in mean length between two groups."""
+    one = lambda c: c.z % 2
+    s = weighted_sums(groups(spark, sf_dir), ["w1", "v1", "w0", "v0"], lambda c: (one(c), c.y * one(c), 1 - one(c), c.y * (1 - one(c))))
+    return _interval(s.select(F.expr("try_divide(v1, w1) - try_divide(v0, w0)").alias("d")), "d")
+
+
+@query(f"""WITH {_BOOTSTRAP}, n AS (SELECT count(*) FILTER (g = 1) AS n1, count(*) FILTER (g = 0) AS n0 FROM x),
+c AS (SELECT r, g, v, sum(w) OVER (PARTITION BY r, g ORDER BY v, doc_id) AS upto, sum(w) OVER (PARTITION BY r, g) AS n FROM w WHERE w > 0),
+m AS (SELECT r, g, (min(v) FILTER (upto >= (n + 1) // 2) + min(v) FILTER (upto >= n // 2 + 1)) / CAST(2 AS DOUBLE) AS m FROM c GROUP BY ALL),
+s AS (SELECT max(m) FILTER (g = 1) - max(m) FILTER (g = 0) AS d FROM m GROUP BY r)
+SELECT n1, n0, n1 >= {LEAST_GROUP} AND n0 >= {LEAST_GROUP} AS tested, CASE WHEN n1 >= {LEAST_GROUP} AND n0 >= {LEAST_GROUP} THEN round(quantile_cont(d, 0.025), 6) END AS lo,
+       CASE WHEN n1 >= {LEAST_GROUP} AND n0 >= {LEAST_GROUP} THEN round(quantile_cont(d, 0.975), 6) END AS hi FROM s, n GROUP BY n1, n0""")
+def bootstrap_median(spark, sf_dir):
+    """Interval of the difference in median length; not tested if a group has fewer than ten rows. The medians of all replicates come from counts of ranges."""
+    table = groups(spark, sf_dir)
+    each = table.select(F.explode(F.arrays_zip("y", "z")).alias("r"))
+    low, high, n1, n0 = each.agg(F.min("r.y"), F.max("r.y"), F.count_if(F.col("r.z") % 2 == 1), F.count_if(F.col("r.z") % 2 == 0)).first()
+    row = {"n1": n1, "n0": n0, "tested": min(n1, n0) >= LEAST_GROUP, "lo": None, "hi": None}
+    if row["tested"]:
 
+        def draws(chunk: Chunk):
+            for r in blocks(chunk, REPLICATES):
+                yield r, weights(chunk, r)
 
-@query(f"""WITH x AS ({_GROUPS}), o AS (SELECT r, v, row_number() OVER (PARTITION BY r ORDER BY sha256(r || ':' || doc_id), doc_id) AS i, sum(g) OVER (PARTITION BY r) AS na, count(*) OVER (PARTITION BY r) AS n FROM x, (SELECT unnest(range({PERMUTATIONS})) AS r)),
-d AS (SELECT r, abs(sum(v) FILTER (i <= na) / CAST(any_value(na) AS DOUBLE) - sum(v) FILTER (i > na) / CAST(any_value(n - na) AS DOUBLE)) AS d FROM o GROUP BY r),
+        middle = lambda n: np.stack([(n + 1) // 2, n // 2 + 1], axis=-1) * (n > 0)[..., None]
+        two, _ = select(table, REPLICATES, draws, lambda c, s: c.y[None, :], (low, high), middle, lambda c: (c.z % 2).astype(np.int64), 2)
+        m = two.mean(axis=2)
+        d = m[:, 1] - m[:, 0]
+        row["lo"], row["hi"] = (round(float(x), 6) for x in np.percentile(d[~np.isnan(d)], [2.5, 97.5]))
+    return spark.createDataFrame([tuple(row.values())], "n1 long, n0 long, tested boolean, lo double, hi double")
+
+
+@query(f"""WITH x AS ({_GROUPS}), {_DRAWN.format(n=PERMUTATIONS)}, n AS (SELECT CAST(sum(g) * {PRIME} // count(*) AS BIGINT) AS t FROM x),
+p AS (SELECT r, abs(sum(v) FILTER (u < t) / CAST(count(*) FILTER (u < t) AS DOUBLE) - sum(v) FILTER (u >= t) / CAST(count(*) FILTER (u >= t) AS DOUBLE)) AS d FROM d, n GROUP BY r),
 obs AS (SELECT abs(avg(v) FILTER (g = 1) - avg(v) FILTER (g = 0)) AS d FROM x)
-SELECT count(*) FILTER (d.d >= obs.d - 1e-9) AS hits, round((count(*) FILTER (d.d >= obs.d - 1e-9) + 1) / CAST(count(*) + 1 AS DOUBLE), 9) AS p FROM d, obs""")
+SELECT count(p.d) AS permutations, count(*) FILTER (p.d >= obs.d - 1e-9) AS hits, round((count(*) FILTER (p.d >= obs.d - 1e-9) + 1) / CAST(count(p.d) + 1 AS DOUBLE), 9) AS p FROM p, obs""")
 def permutation_test(spark, sf_dir):
-    """M9: two-sided permutation test of the difference in means; a replicate's first n_a rows in hash order are the first group."""
-    x = groups(spark, sf_dir)
-    total = x.agg(F.sum("g").alias("na"), F.abs(F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v")))).alias("obs"))  # one row
-    each = x.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(PERMUTATIONS - 1))))
-    o = digest_order(each, ["r"], F.sha2(F.concat_ws(":", F.col("r").cast("string"), F.col("doc_id").cast("string")), 256), "doc_id").join(F.broadcast(total))
-    mean = lambda at: F.sum(F.when(at, F.col("v"))) / F.count_if(at)
-    d = o.groupBy("r").agg(F.abs(mean(F.col("_i") < F.col("na")) - mean(F.col("_i") >= F.col("na"))).alias("d"), F.first("obs").alias("obs"))
-    hits = F.count_if(F.col("d") >= F.col("obs") - 1e-9)
-    return d.agg(hits.alias("hits"), F.round((hits + 1) / (F.count("*") + 1), 9).alias("p"))
+    """Two-sided test of the difference in means; in a permutation a row falls to the first group with that group's share, so no order of rows is needed."""
+    table = groups(spark, sf_dir)
+    each = table.select(F.explode(F.arrays_zip("y", "z")).alias("r")).select(F.col("r.y").alias("v"), (F.col("r.z") % 2).alias("g"))
+    first, n, obs = each.agg(F.sum("g"), F.count("*"), F.abs(F.avg(F.when(F.col("g") == 1, F.col("v"))) - F.avg(F.when(F.col("g") == 0, F.col("v"))))).first()
+    bound = int(first or 0) * PRIME // max(n, 1)
+
+    def part(chunk: Chunk):
+        columns = np.stack([np.ones(len(chunk.y)), chunk.y], axis=1)
+        total = columns.sum(axis=0)
+        for r in blocks(chunk, PERMUTATIONS):
+            a = (draw(chunk.x, r) < bound) @ columns
+            yield r, np.hstack([a, total - a])
+
+    s = sums(table, PERMUTATIONS, ["na", "va", "nb", "vb"], part)
+    d = s.select(F.expr("abs(try_divide(va, na) - try_divide(vb, nb))").alias("d"))
+    hits = F.count_if(F.col("d") >= F.lit(obs) - 1e-9)
+    return d.agg(F.count("d").alias("permutations"), hits.alias("hits"), F.round((hits + 1) / (F.count("d") + 1), 9).alias("p"))
+
+
+#: Coefficient of g in the least squares of y on (1, g, q), g and q being 0 or 1, from weighted sums.
+_DET = "(w * (g * q - gq * gq) - g * (g * q - gq * q) + q * (g * gq - g * q))"
+_COEF = f"(w * (gy * q - gq * qy) - y * (g * q - gq * q) + q * (g * qy - gy * q)) / {_DET}"
+_SUMS = "sum(w) AS w, sum(w * g) AS g, sum(w * q) AS q, sum(w * g * q) AS gq, sum(w * y) AS y, sum(w * g * y) AS gy, sum(w * q * y) AS qy"
+
+
+@query(f"""WITH {_BOOTSTRAP}, l AS (SELECT r, CAST(w AS DOUBLE) AS w, CAST(g AS DOUBLE) AS g, CAST(q AS DOUBLE) AS q, ln(v) AS y FROM w WHERE v > 0),
+s AS (SELECT r, {_SUMS} FROM l GROUP BY r),
+b AS (SELECT {_COEF} AS c FROM s WHERE abs({_DET}) > 1e-9),
+o AS (SELECT {_COEF} AS c FROM (SELECT {_SUMS} FROM (SELECT CAST(1 AS DOUBLE) AS w, CAST(g AS DOUBLE) AS g, CAST(q AS DOUBLE) AS q, ln(v) AS y FROM x WHERE v > 0)))
+SELECT round(any_value(o.c), 6) AS coefficient, count(b.c) AS replicates, round(quantile_cont(b.c, 0.025), 6) AS lo, round(quantile_cont(b.c, 0.975), 6) AS hi FROM b, o""")
+def regression_interval(spark, sf_dir):
+    """Log length on group and quality: the group's coefficient and its bootstrap interval; a replicate whose normal equations are singular is left out."""
+    table = groups(spark, sf_dir)
+    names = ["w", "g", "q", "gq", "y", "gy", "qy"]
+
+    def columns(c: Chunk):
+        some = (c.y > 0).astype(np.float64)
+        g, q, y = (c.z % 2) * some, (c.z // 2) * some, np.log(np.maximum(c.y, 1)) * some
+        return some, g, q, g * q, y, g * y, q * y
+
+    s = weighted_sums(table, names, columns)
+    whole = sums(table, 1, names, lambda c: iter([(np.zeros(1, np.int64), np.stack(columns(c), axis=1).sum(axis=0, keepdims=True))]))
+    told = _interval(s.where(f"abs({_DET}) > 1e-9").select(F.expr(_COEF).alias("c")), "c")
+    return whole.select(F.round(F.expr(f"try_divide({_COEF.rpartition(' / ')[0]}, {_DET})"), 6).alias("coefficient")).join(F.broadcast(told))

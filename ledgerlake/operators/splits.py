@@ -29,8 +29,18 @@ HELD = 1 << 21  # counted positions kept before they are added up
 COLUMNS = ("x", "y", "z")
 
 
-def roles(accessions: DataFrame, seeds: int) -> DataFrame:
-    """(seed, accession, role): train (half), calibration, test, by hash order within a seed.
+def quarters(n: int) -> tuple[int, int]:
+    """Where train (half) and calibration (half of the rest) end among n accessions."""
+    return n // 2, n // 2 + (n - n // 2) // 2
+
+
+def halves(n: int) -> tuple[int, int]:
+    """No train accessions, half of all for calibration, at least one; a half is rounded to even."""
+    return 0, max(1, round(n * 0.5))
+
+
+def roles(accessions: DataFrame, seeds: int, share: Callable[[int], tuple[int, int]] = quarters) -> DataFrame:
+    """(seed, accession, role): train, calibration, test, by hash order within a seed.
 
     Counts of the digests' first two digits tell all roles but those in the two ranges where a role ends; only these
     few rows are ranked.
@@ -41,7 +51,7 @@ def roles(accessions: DataFrame, seeds: int) -> DataFrame:
     each = each.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("_d", digest).withColumn("_r", F.substring("_d", 1, 2))
     upto = F.expr("sum(m) over (partition by seed order by _r)")
     counts = each.groupBy("seed", "_r").agg(F.count("*").alias("m")).select("seed", "_r", "m", upto.alias("upto"))
-    ends = (n // 2, n // 2 + (n - n // 2) // 2)
+    ends = share(n)
     # a row a seed: where each role ends, and how many rows lie before that range
     last = [F.min(F.when(F.col("upto") >= e, F.struct("_r", (F.col("upto") - F.col("m")).alias("before")))).alias(f"_e{i}") for i, e in enumerate(ends)]
     known = each.join(F.broadcast(counts.groupBy("seed").agg(*last)), "seed")
@@ -53,14 +63,14 @@ def roles(accessions: DataFrame, seeds: int) -> DataFrame:
     return known.where(~open_).select("seed", "accession", plain.alias("role")).unionByName(told)
 
 
-def role_bytes(accessions: DataFrame, seeds: int) -> DataFrame:
+def role_bytes(accessions: DataFrame, seeds: int, share: Callable[[int], tuple[int, int]] = quarters) -> DataFrame:
     """(accession, roles): a byte a seed, in the order of seeds."""
     listed = F.sort_array(F.collect_list(F.struct("seed", "role")))
-    told = roles(accessions, seeds).groupBy("accession").agg(listed.alias("r"))
+    told = roles(accessions, seeds, share).groupBy("accession").agg(listed.alias("r"))
     return told.select("accession", F.encode(F.array_join(F.transform("r", lambda r: r["role"].cast("string")), ""), "US-ASCII").alias("roles"))
 
 
-def chunks(rows: DataFrame, identity: list[str], seeds: int) -> tuple[DataFrame, tuple[float, float], int]:
+def chunks(rows: DataFrame, identity: list[str], seeds: int, share: Callable[[int], tuple[int, int]] = quarters) -> tuple[DataFrame, tuple[float, float], int]:
     """rows (accession, x, y, z, *identity) to written (accession, roles, x, y, z), the bounds of y and the number of accessions.
 
     identity tells where a row of a large accession goes.
@@ -79,7 +89,7 @@ def chunks(rows: DataFrame, identity: list[str], seeds: int) -> tuple[DataFrame,
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), (total or 0) // (64 * CHUNK))
     dealt = rows.select("accession", *COLUMNS, piece.alias("_piece")).repartition(parts, "accession", "_piece")
     grouped = dealt.groupBy("accession", "_piece").agg(F.collect_list(F.struct(*COLUMNS)).alias("r"))
-    out = grouped.join(role_bytes(each, seeds), "accession").select("accession", "roles", *[F.col(f"r.{c}").alias(c) for c in COLUMNS])
+    out = grouped.join(role_bytes(each, seeds, share), "accession").select("accession", "roles", *[F.col(f"r.{c}").alias(c) for c in COLUMNS])
     return stored(out, "chunks"), (low or 0.0, high or 0.0), n
 
 
@@ -127,10 +137,26 @@ class Targets:
         return out & (self.rank[seeds, t, None] > 0)
 
 
-def _scores(chunk: Chunk, role: int, score: Score) -> tuple[np.ndarray, np.ndarray]:
-    seeds = chunk.seeds(role)
+#: The splits, or replicates, in which a chunk takes part, in blocks: their numbers, and how often each row counts (None: once).
+Draws = Callable[[Chunk], Iterator[tuple[np.ndarray, np.ndarray | None]]]
+
+
+def of_role(role: int) -> Draws:
+    def draws(chunk: Chunk):
+        seeds = chunk.seeds(role)
+        if len(seeds):
+            yield seeds, None
+
+    return draws
+
+
+def _scores(chunk: Chunk, seeds: np.ndarray, score: Score) -> np.ndarray:
     s = score(chunk, seeds)
-    return seeds, np.broadcast_to(s, (len(seeds), s.shape[-1]))
+    return np.broadcast_to(s, (len(seeds), s.shape[-1]))
+
+
+def _often(values: np.ndarray, times: np.ndarray | None) -> np.ndarray:
+    return values if times is None else np.repeat(values, times)
 
 
 def _counted(batches, size: int, positions: Callable[[Chunk], Iterator[np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -157,8 +183,8 @@ def _counts(table: DataFrame, shape: tuple[int, ...], positions: Callable[[Chunk
     return out.reshape(shape)
 
 
-def select(table: DataFrame, n_seeds: int, role: int, score: Score, bounds: tuple[float, float], ranks: Callable[[np.ndarray], np.ndarray], strata: Strata, n_strata: int) -> tuple[np.ndarray, np.ndarray]:
-    """The wanted order statistics of a score over a role's rows: (values by seed, stratum and rank, counts by seed and stratum).
+def select(table: DataFrame, n_seeds: int, draws: Draws, score: Score, bounds: tuple[float, float], ranks: Callable[[np.ndarray], np.ndarray], strata: Strata, n_strata: int) -> tuple[np.ndarray, np.ndarray]:
+    """The wanted order statistics of a score over the rows drawn: (values by seed, stratum and rank, counts by seed and stratum).
 
     Stratum n_strata is the whole. ranks(counts) gives the ranks, from 1, along a last axis; those that are 0 or exceed
     the count have the value NaN. bounds should hold the scores; scores beyond fall into the outer ranges.
@@ -168,10 +194,10 @@ def select(table: DataFrame, n_seeds: int, role: int, score: Score, bounds: tupl
     whole = n_strata
 
     def at_first(chunk: Chunk) -> Iterator[np.ndarray]:
-        seeds, s = _scores(chunk, role, score)
-        if len(seeds):
-            cell = Targets.cell(s, low, first_scale)
-            yield ((seeds[:, None] * n_strata + strata(chunk)[None, :]) * CELLS + cell).ravel()
+        g = strata(chunk)
+        for seeds, times in draws(chunk):
+            cell = Targets.cell(_scores(chunk, seeds, score), low, first_scale)
+            yield _often(((seeds[:, None] * n_strata + g[None, :]) * CELLS + cell).ravel(), None if times is None else times.ravel())
 
     counts = _counts(table, (n_seeds, n_strata, CELLS), at_first)
     counts = np.concatenate([counts, counts.sum(axis=1, keepdims=True)], axis=1)
@@ -196,12 +222,14 @@ def select(table: DataFrame, n_seeds: int, role: int, score: Score, bounds: tupl
         level_low, level_scale = level_low + cell * width, level_scale * CELLS
 
         def again(chunk: Chunk, low=level_low, scale=level_scale) -> Iterator[np.ndarray]:
-            seeds, s = _scores(chunk, role, score)
             g = strata(chunk)
-            for t, stratum_of in enumerate(targets.stratum):
-                rows = _rows_of(g, stratum_of, whole)
-                i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
-                yield (seeds[i] * len(targets.stratum) + t) * CELLS + Targets.cell(s[i, rows[j]], low[seeds[i], t], scale[seeds[i], t])
+            for seeds, times in draws(chunk):
+                s = _scores(chunk, seeds, score)
+                for t, stratum_of in enumerate(targets.stratum):
+                    rows = _rows_of(g, stratum_of, whole)
+                    i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
+                    at = (seeds[i] * len(targets.stratum) + t) * CELLS + Targets.cell(s[i, rows[j]], low[seeds[i], t], scale[seeds[i], t])
+                    yield _often(at, None if times is None else times[i, rows[j]])
 
         counts = _counts(table, (n_seeds, len(stratum), CELLS), again)
 
@@ -226,22 +254,21 @@ def select(table: DataFrame, n_seeds: int, role: int, score: Score, bounds: tupl
             return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(v[new]), pa.array(np.diff(np.append(new, len(at))))], ["at", "v", "n"])
 
         for chunk in _chunks(batches):
-            seeds, s = _scores(chunk, role, score)
-            if not len(seeds):
-                continue
             g = strata(chunk)
-            for t, stratum_of in enumerate(targets.stratum):
-                if not targets.rank[seeds, t].any():
-                    continue
-                rows = _rows_of(g, stratum_of, whole)
-                i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
-                if len(i):
-                    held.append((seeds[i] * len(targets.stratum) + t, s[i, rows[j]]))
-                    size += len(i)
-            if size > HELD:
-                yield batch()
-                held, size = [], 0
-        if held:
+            for seeds, times in draws(chunk):
+                s = _scores(chunk, seeds, score)
+                for t, stratum_of in enumerate(targets.stratum):
+                    if not targets.rank[seeds, t].any():
+                        continue
+                    rows = _rows_of(g, stratum_of, whole)
+                    i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
+                    often = None if times is None else times[i, rows[j]]
+                    held.append((_often(seeds[i] * len(targets.stratum) + t, often), _often(s[i, rows[j]], often)))
+                    size += len(held[-1][0])
+                if size > HELD:
+                    yield batch()
+                    held, size = [], 0
+        if size:
             yield batch()
 
     spark = table.sparkSession

@@ -1,4 +1,4 @@
-"""All queries of the engine and their oracles."""
+"""Where queries register themselves, with their oracles; the catalog imports them all."""
 
 from __future__ import annotations
 
@@ -19,7 +19,3 @@ def query(oracle: str | None = None):
         return f
 
     return add
-
-
-from ledgerlake.operators import aggregates, conformal, geometry, graph, joins, ranking, resample, scalar, sets, statistics  # noqa: E402, F401
-from ledgerlake.streaming import batches  # noqa: E402, F401

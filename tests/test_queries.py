@@ -1,14 +1,14 @@
 import pytest
 
-from ledgerlake.plans import registry
+from ledgerlake.plans import catalog
 from tests.oracle import SF, compare
 
 
-@pytest.mark.parametrize("name", sorted(registry.ORACLES))
+@pytest.mark.parametrize("name", sorted(catalog.ORACLES))
 def test_query_matches_its_oracle(spark, name):
-    assert compare(registry.QUERIES[name](spark, SF), registry.ORACLES[name]) >= 0
+    assert compare(catalog.QUERIES[name](spark, SF), catalog.ORACLES[name]) >= 0
 
 
-@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - set(catalog.ORACLES)))
 def test_query_runs(spark, name):
-    registry.QUERIES[name](spark, SF).collect()
+    catalog.QUERIES[name](spark, SF).collect()
