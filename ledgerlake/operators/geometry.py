@@ -75,7 +75,7 @@ def superpose(p: DataFrame) -> DataFrame:
             rot = u @ vt  # row vectors: mobile @ rot
             yield pd.DataFrame({"g": pdf["g"], "n": pdf["s_n"], "rot": list(rot.reshape(-1, 9)), "shift": list(cr - np.einsum("ni,nij->nj", cm, rot))})
 
-    fit = g.mapInPandas(rotations, "g int, n long, rot array<double>, shift array<double>")
+    fit = g.mapInPandas(rotations, f"g {p.schema['g'].dataType.simpleString()}, n long, rot array<double>, shift array<double>")
     moved = lambda j: sum((F.col(M[i]) * F.col("rot")[3 * i + j] for i in range(3)), F.col("shift")[j])
     d = F.sqrt(sum(((moved(j) - F.col(R[j])) * (moved(j) - F.col(R[j])) for j in range(3)), F.lit(0.0)))
     return p.join(fit, "g").select("g", "id", F.when(F.col("n") >= 3, d).alias("d"))

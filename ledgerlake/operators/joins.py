@@ -124,27 +124,61 @@ def sequence_collapse(spark, sf_dir):
     return u.select(F.get("members", F.lit(0)).alias("unit"), F.size("members").cast("long").alias("n_members"), F.char_length("seq").cast("long").alias("n_chars"), F.md5("seq").alias("md5"))
 
 
-@query(f"""WITH {_UNITS}, k AS (SELECT DISTINCT unit, substr(seq, CAST(i AS BIGINT), {K}) AS g FROM (SELECT unit, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM u WHERE length(seq) >= {LEAST_LENGTH})),
-n AS (SELECT unit, count(*) AS n FROM k GROUP BY unit), p AS (SELECT a.unit AS a, b.unit AS b, count(*) AS shared FROM k a JOIN k b ON a.g = b.g AND a.unit < b.unit GROUP BY ALL)
+#: The roster: every unit, and a copy of it with each 37th residue changed, so that there are pairs to find.
+_ROSTER = f"""{_UNITS}, ro AS (SELECT CAST(unit AS VARCHAR) AS unit, seq FROM u UNION ALL SELECT unit || '~', regexp_replace(seq, '(.{{36}}).', '\\1#', 'g') FROM u)"""
+_PAIRS = f"""k AS (SELECT DISTINCT unit, substr(seq, CAST(i AS BIGINT), {K}) AS g FROM (SELECT unit, seq, unnest(range(1, length(seq) - {K - 2})) AS i FROM ro WHERE length(seq) >= {LEAST_LENGTH})),
+n AS (SELECT unit, count(*) AS n FROM k GROUP BY unit), p AS (SELECT a.unit AS a, b.unit AS b, count(*) AS shared FROM k a JOIN k b ON a.g = b.g AND a.unit < b.unit GROUP BY ALL)"""
+
+
+def roster(spark, sf_dir):
+    u = sequence_units(load(spark, sf_dir, "benchmark")).select(F.get("members", F.lit(0)).cast("string").alias("unit"), "seq")
+    return u.unionByName(u.select(F.concat("unit", F.lit("~")).alias("unit"), F.regexp_replace("seq", "(.{36}).", "$1#").alias("seq")))
+
+
+def similar(units, least: float = JACCARD, mode: str = "jaccard"):
+    """(a, b, shared, score) of pairs a < b of sequences of 100 or more that share enough 6-grams: a Jaccard similarity, or, in mode shared_kmer, a number of them.
+
+    Grams are ordered by rarity. Two sets that are similar enough share one of the grams that each has before its last
+    ones, as many as it may lack; so the commonest grams, held by most units, make no pairs. Sets of candidates are then
+    compared whole. (The mode without a filter, all pairs, is not built: nothing bounds it.)
+    """
+    if mode not in ("jaccard", "shared_kmer"):
+        raise ValueError(f"mode {mode!r}")
+    u = units.where(F.char_length("seq") >= LEAST_LENGTH)
+    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("seq") - K + 1), lambda i: F.substring("seq", i, F.lit(K))))
+    u = u.select("unit", grams.alias("grams"))
+    each = u.select("unit", F.size("grams").alias("n"), F.explode("grams").alias("g"))
+    rarity = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
+    place = F.expr("row_number() over (partition by unit order by df desc, g)")  # from the commonest
+    needed = F.ceil(F.col("n") * least) if mode == "jaccard" else F.lit(int(least))
+    k = each.join(rarity, "g").withColumn("i", place).where(F.col("i") >= needed).select("unit", "g")
+    found = k.withColumnRenamed("unit", "a").join(k.withColumnRenamed("unit", "b"), "g").where("a < b").select("a", "b").distinct()
+    sets = lambda name: u.select(F.col("unit").alias(name), F.col("grams").alias(f"grams_{name}"))
+    p = found.join(sets("a"), "a").join(sets("b"), "b").withColumn("shared", F.size(F.array_intersect("grams_a", "grams_b")))
+    union = F.size("grams_a") + F.size("grams_b") - F.col("shared")
+    enough, score = (F.col("shared") >= least * union, F.round(F.col("shared") / union, 9)) if mode == "jaccard" else (F.col("shared") >= least, F.col("shared").cast("double"))
+    return p.where(enough).select("a", "b", F.col("shared").cast("long").alias("shared"), score.alias("score"))
+
+
+@query(f"""WITH {_ROSTER}, {_PAIRS}
 SELECT a, b, shared, round(shared / CAST(x.n + y.n - shared AS DOUBLE), 9) AS jaccard FROM p JOIN n x ON x.unit = a JOIN n y ON y.unit = b WHERE shared >= CAST({JACCARD} AS DOUBLE) * (x.n + y.n - shared)""")
 def similar_units(spark, sf_dir):
-    """Pairs of units (distinct sequences of 100 or more) whose 6-gram sets have Jaccard 0.1 or more, over the roster of benchmark items."""
-    u = sequence_units(load(spark, sf_dir, "benchmark")).where(F.char_length("seq") >= LEAST_LENGTH).select(F.get("members", F.lit(0)).alias("unit"), "seq")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("seq") - K + 1), lambda i: F.substring("seq", i, F.lit(K))))
-    k = u.select("unit", F.explode(grams).alias("g"), F.size(grams).alias("n"))
-    a, b = k.select(F.col("unit").alias("a"), "g", F.col("n").alias("na")), k.select(F.col("unit").alias("b"), "g", F.col("n").alias("nb"))
-    p = a.join(b, (a["g"] == b["g"]) & (F.col("a") < F.col("b"))).groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("na").alias("na"), F.first("nb").alias("nb"))
-    union = F.col("na") + F.col("nb") - F.col("shared")
-    return p.where(F.col("shared") >= JACCARD * union).select("a", "b", "shared", F.round(F.col("shared") / union, 9).alias("jaccard"))
+    """Pairs of the roster whose 6-gram sets have Jaccard 0.1 or more."""
+    return similar(roster(spark, sf_dir)).withColumnRenamed("score", "jaccard")
+
+
+@query(f"WITH {_ROSTER}, {_PAIRS} SELECT a, b, shared, CAST(shared AS DOUBLE) AS score FROM p WHERE shared >= 20")
+def sharing_units(spark, sf_dir):
+    """Pairs of the roster that share 20 or more 6-grams."""
+    return similar(roster(spark, sf_dir), 20, "shared_kmer")
 
 
-@query("""WITH e AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'correct' ELSE 'error' END AS e FROM labels WHERE doc_id % 2 = 0), f AS (SELECT doc_id, CASE WHEN toxic = 1 THEN 'flexible' ELSE 'ordered' END AS f FROM labels WHERE doc_id % 3 = 0)
+@query("""WITH e AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'correct' ELSE 'error' END AS e FROM labels), f AS (SELECT doc_id, CASE WHEN n_chars >= 1000 THEN 'flexible' ELSE 'ordered' END AS f FROM documents)
 SELECT doc_id, coalesce(e, 'U') AS e, coalesce(f, 'U') AS f, CASE WHEN e IS NULL THEN 'missing_e_match' WHEN f IS NULL THEN 'missing_f_profile_position' END AS reason FROM e FULL JOIN f USING (doc_id)""")
 def outer_state_join(spark, sf_dir):
-    """Both channels by position; a missing side is U with a reason."""
-    labels = load(spark, sf_dir, "labels")
-    e = labels.where("doc_id % 2 = 0").select("doc_id", F.when(F.col("quality") == 1, "correct").otherwise("error").alias("e"))
-    f = labels.where("doc_id % 3 = 0").select("doc_id", F.when(F.col("toxic") == 1, "flexible").otherwise("ordered").alias("f"))
+    """Two channels by position, each from a whole table; a missing side is U with a reason."""
+    e = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "correct").otherwise("error").alias("e"))
+    f = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") >= 1000, "flexible").otherwise("ordered").alias("f"))
     reason = F.when(F.col("e").isNull(), "missing_e_match").when(F.col("f").isNull(), "missing_f_profile_position")
     return e.join(f, "doc_id", "full_outer").select("doc_id", F.coalesce("e", F.lit("U")).alias("e"), F.coalesce("f", F.lit("U")).alias("f"), reason.alias("reason"))
 
