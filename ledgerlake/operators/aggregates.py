@@ -60,20 +60,6 @@ def four_cell_census(spark, sf_dir):
     return g.withColumn("verdict", F.when(F.col("lo") == F.col("hi"), F.col("lo")).otherwise("MIXED")).drop("lo", "hi")
 
 
-@query(f"""WITH c AS (SELECT source, lang, {_CELL} AS cell, count(DISTINCT doc_id) AS ids FROM labels JOIN documents USING (doc_id) GROUP BY ALL),
-u AS (SELECT source, lang, count(*) FILTER (ids >= 3) AS strong, min(cell) FILTER (ids >= 3) AS cell, coalesce(max(ids) FILTER (ids >= 3), 0) AS ids FROM c GROUP BY ALL),
-g AS (SELECT source, bool_and(strong = 1) AS each_one, min(cell) = max(cell) AS alike, sum(ids) AS ids, min(cell) AS cell FROM u GROUP BY source)
-SELECT source, CAST(ids AS BIGINT) AS ids, CASE WHEN each_one AND alike AND ids >= 3 THEN cell ELSE 'UNRESOLVED' END AS resolved FROM g""")
-def support_floors(spark, sf_dir):
-    """A unit has a cell if one alone has support, a group if all of its units have the same."""
-    cell = F.when((F.col("quality") == 1) & (F.col("toxic") == 0), "OC").when(F.col("quality") == 1, "O").when(F.col("toxic") == 0, "A").otherwise("B")
-    c = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id").groupBy("source", "lang", cell.alias("cell")).agg(F.count_distinct("doc_id").alias("ids"))
-    ok = F.col("ids") >= 3
-    u = c.groupBy("source", "lang").agg(F.count_if(ok).alias("strong"), F.min(F.when(ok, F.col("cell"))).alias("cell"), F.coalesce(F.max(F.when(ok, F.col("ids"))), F.lit(0)).alias("ids"))
-    g = u.groupBy("source").agg(F.bool_and(F.col("strong") == 1).alias("each_one"), (F.min("cell") == F.max("cell")).alias("alike"), F.sum("ids").alias("ids"), F.min("cell").alias("cell"))
-    return g.select("source", "ids", F.when(F.col("each_one") & F.col("alike") & (F.col("ids") >= 3), F.col("cell")).otherwise("UNRESOLVED").alias("resolved"))
-
-
 @query("""WITH o AS (SELECT o_custkey, bool_and(o_orderdate < TIMESTAMP '1997-01-01') AS all_before, count(*) AS n, quantile_cont(CAST(year(o_orderdate) AS DOUBLE), 0.5) AS median_year FROM orders GROUP BY o_custkey)
 SELECT all_before, count(*) AS customers, CAST(sum(n) AS BIGINT) AS orders, round(avg(median_year), 9) AS mean_median_year FROM o GROUP BY all_before""")
 def universal_quantifier(spark, sf_dir):
@@ -103,12 +89,19 @@ def chain_extremes(spark, sf_dir):
 @query("""WITH s AS (SELECT user_id, event_id, epoch_us(ts) AS a, epoch_us(ts) + CAST(value * 1000000 AS BIGINT) AS b FROM events)
 SELECT x.user_id, count(*) AS overlaps FROM s x JOIN s y ON x.user_id = y.user_id AND x.event_id < y.event_id AND x.a <= y.b AND y.a <= x.b GROUP BY x.user_id""")
 def interval_overlaps(spark, sf_dir):
-    """Overlapping intervals within a key, as an equi-join with a range condition."""
-    s = load(spark, sf_dir, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("a"), F.round(F.col("value") * 1000000).cast("long").alias("len"))
-    s = s.select("user_id", "event_id", "a", (F.col("a") + F.col("len")).alias("b"))
-    x, y = s.alias("x"), s.alias("y")
-    on = F.expr("x.user_id = y.user_id and x.event_id < y.event_id and x.a <= y.b and y.a <= x.b")
-    return x.join(y, on).groupBy(F.col("x.user_id").alias("user_id")).agg(F.count("*").alias("overlaps"))
+    """Overlapping pairs of intervals within a key, counted without making them: all pairs less those where one ends before the other starts.
+
+    Ends before each start are a running count: whole days from counts by day, the rest within the day, so that a task
+    sorts a key's day and not the key.
+    """
+    day = 86_400_000_000
+    s = load(spark, sf_dir, "events").select("user_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("a"), F.round(F.col("value") * 1000000).cast("long").alias("len"))
+    at = F.explode(F.array(F.struct(F.col("a").alias("t"), F.lit(0).alias("end")), F.struct((F.col("a") + F.col("len")).alias("t"), F.lit(1).alias("end"))))  # at one time, starts come first
+    p = s.select("user_id", at.alias("p")).select("user_id", "p.t", "p.end", F.expr(f"p.t div {day}").alias("day"))
+    days = p.groupBy("user_id", "day").agg(F.sum("end").alias("ends")).withColumn("before", F.expr("sum(ends) over (partition by user_id order by day) - ends")).drop("ends")
+    within = F.expr("sum(end) over (partition by user_id, day order by t, end rows unbounded preceding)")
+    apart = p.withColumn("within", within).where("end = 0").join(days, ["user_id", "day"]).groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.col("within") + F.col("before")).alias("apart"))
+    return apart.select("user_id", (F.expr("n * (n - 1) div 2") - F.col("apart")).alias("overlaps")).where("overlaps > 0")
 
 
 @query("""SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users, CAST(min(length(props)) AS INT) AS least, CAST(max(length(props)) AS INT) AS most, round(avg(length(props)), 9) AS mean_size FROM events GROUP BY event_type""")

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from ledgerlake.operators import aggregates, conformal, geometry, graph, joins, labelling, methods, ranking, resample, scalar, sets, statistics  # noqa: F401
+from ledgerlake.operators import aggregates, archived, conformal, floors, geometry, graph, joins, labelling, methods, ranking, records, resample, scalar, sets, statistics  # noqa: F401
 from ledgerlake.plans.registry import FLAGSHIP, ORACLES, QUERIES  # noqa: F401
 from ledgerlake.streaming import batches  # noqa: F401
