@@ -168,10 +168,11 @@ def status_vocabulary(spark, sf_dir):
     return spark.createDataFrame(STATUSES, "state string, recorded string").join(F.broadcast(used), "state", "left").select("state", "recorded", F.coalesce("n", F.lit(0)).alias("n"))  # a row a status
 
 
-@F.udf(StringType())
-def canonical_json(values: dict | None) -> str | None:
-    """Sorted keys, no spaces, ASCII."""
-    return None if values is None else json.dumps(values, sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False)
+@F.arrow_udf(StringType())
+def canonical_json(values: pa.Array) -> pa.Array:
+    """Sorted keys, no spaces, ASCII, of a map."""
+    out = [None if v is None else json.dumps(dict(v), sort_keys=True, separators=(",", ":"), ensure_ascii=True, allow_nan=False) for v in values.to_pylist()]
+    return pa.array(out, pa.string())
 
 
 @query("""SELECT p_partkey, sha256('{"brand":"' || p_brand || '","name":"' || p_name || '","size":"' || p_size || '"}') AS digest, sha256('{"name":"' || p_name || '"}') AS self_digest FROM part""")

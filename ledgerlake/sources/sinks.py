@@ -9,12 +9,20 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """A new path in the folder that spark.checkpoint.dir names; one of our own only in local mode, where that may be unset."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        root = tempfile.mkdtemp(prefix="ledgerlake-")
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+        root = tempfile.mkdtemp(prefix="spark-ledgerlake-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/tables-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Delete all intermediate tables of this application, once its results are stored elsewhere."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(shared_path(spark, "x")).getParent()
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
