@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, sized, table, written
+from .common import discard, sized, skewed_left, table, written
 from .components import components
 
 SHINGLE, SEED, RADIUS, PIVOTS, CHUNK = 4, 42, 4, 16, 1000
@@ -186,11 +186,12 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     classes = written(prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")), "classes")
     n = classes.count()
     found = components(links(classes.select("fp"), n, radius))
-    labelled = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label"))
-    least = labelled.groupBy("label").agg(F.min("least").alias("component_id"))
-    ids = labelled.join(least, "label").select("fp", "component_id")
-    out = prints.join(sized(ids, n * 24), "fp", "left")
-    return out.select("doc_id", "fp", "component_id")
+    labelled = written(classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("label", "fp").alias("label")), "labelled")
+    least = written(labelled.groupBy("label").agg(F.min("least").alias("component_id")), "least")
+    ids = written(skewed_left(labelled, least, "label", least.count() * 24).select("fp", "component_id"), "ids")
+    for used in (labelled, least, classes):
+        discard(used)
+    return skewed_left(prints, ids, "fp", n * 24).select("doc_id", "fp", "component_id")
 
 
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
