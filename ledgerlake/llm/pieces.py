@@ -31,9 +31,9 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁".encode()
 LITERAL = b"\xff"  # stands for a literal marker; no byte of UTF-8
 UNKNOWN = 10.0
-REMEMBERED = 600_000  # words that a task remembers
+REMEMBERED = 150_000  # words that a Python worker remembers, tens of MB
 WORDS_AT_ONCE = 50_000
-SLICE_CHARS = 4 << 20  # characters of text that are looked at together
+SLICE_CHARS = 1 << 20  # characters of text that are looked at together
 
 
 @dataclass

@@ -28,7 +28,7 @@ from .common import table, written
 
 BUCKETS, TARGETS, SIGMA, TEMPERATURE, SEED = 1 << 16, 50_000, 4.0, 0.25, 7
 TOKEN = re.compile(r"\w+|[^\w\s]+")
-CACHED = 500_000  # words whose hash a task remembers
+CACHED = 100_000  # words whose hash a task remembers, tens of MB
 
 
 class _Hashes(dict):
