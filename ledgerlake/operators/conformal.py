@@ -47,23 +47,54 @@ def _needed(n: np.ndarray) -> np.ndarray:
     return np.stack([rank_needed(n, x) for x in LEVELS], axis=-1) * (n > 0)[..., None]
 
 
+def of_whole(ranks):
+    """Ranks of the last stratum alone, that of all rows."""
+    return lambda n: ranks(n) * (np.arange(n.shape[1]) == n.shape[1] - 1)[None, :, None]
+
+
+def of_parts(ranks):
+    """Ranks of all strata but the last."""
+    return lambda n: ranks(n) * (np.arange(n.shape[1]) < n.shape[1] - 1)[None, :, None]
+
+
+def everything(chunk: Chunk) -> np.ndarray:
+    return np.zeros(len(chunk.x), np.int64)
+
+
 @dataclass
 class Evaluation:
-    """The ledger's chunks, its number of splits and what is known of its values; deferred tells why nothing can be evaluated."""
+    """The ledger's chunks, its number of splits and what is known of its values."""
 
     table: DataFrame
     seeds: int
     bounds: tuple[float, float]
     n_accessions: int
 
-    def medians(self, strata=lambda c: bin_of(c.x), n_strata: int = N_BINS) -> tuple[np.ndarray, np.ndarray]:
+    def centres(self) -> np.ndarray:
+        """Train medians by seed."""
+        return _mean_of_two(select(self.table, self.seeds, of_role(TRAIN), _label, self.bounds, of_whole(_middle), everything, 1)[0][:, -1])
+
+    def centres_by_bin(self) -> tuple[np.ndarray, np.ndarray]:
         """Train medians and counts by seed and bin; the last is that of all bins."""
-        two, n = select(self.table, self.seeds, of_role(TRAIN), lambda c, s: c.y[None, :], self.bounds, _middle, strata, n_strata)
-        return two[..., 0] * 0.5 + two[..., 1] * 0.5, n
+        two, n = select(self.table, self.seeds, of_role(TRAIN), _label, self.bounds, _middle, lambda c: bin_of(c.x), N_BINS)
+        return _mean_of_two(two), n
+
+    def quantiles(self, score) -> np.ndarray:
+        """The needed order statistics of calibration scores by seed and level, NaN where they exceed the count."""
+        return select(self.table, self.seeds, of_role(CALIBRATION), score, (0.0, self.bounds[1] - self.bounds[0]), of_whole(_needed), everything, 1)[0][:, -1]
 
-    def quantiles(self, score, strata=lambda c: bin_of(c.x), n_strata: int = N_BINS, bounds: tuple[float, float] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The needed order statistics of calibration scores by seed, bin and level, NaN where they exceed the count, and the counts."""
-        return select(self.table, self.seeds, of_role(CALIBRATION), score, bounds or (0.0, self.bounds[1] - self.bounds[0]), _needed, strata, n_strata)
+    def quantiles_by_bin(self, score) -> tuple[np.ndarray, np.ndarray]:
+        """The same by seed, bin and level, with the counts."""
+        q, n = select(self.table, self.seeds, of_role(CALIBRATION), score, (0.0, self.bounds[1] - self.bounds[0]), of_parts(_needed), lambda c: bin_of(c.x), N_BINS)
+        return q[:, :N_BINS], n[:, :N_BINS]
+
+
+def _label(chunk: Chunk, seeds: np.ndarray) -> np.ndarray:
+    return chunk.y[None, :]
+
+
+def _mean_of_two(two: np.ndarray) -> np.ndarray:
+    return two[..., 0] * 0.5 + two[..., 1] * 0.5
 
 
 #: The interval of a chunk's rows for some seeds at a level: two arrays of seeds by rows.
@@ -82,27 +113,21 @@ def evaluated(spark: SparkSession, sf_dir: str) -> Evaluation:
     return prepared(rows, ["entry", "chain", "pos"])
 
 
-def pooled(e: Evaluation) -> tuple[np.ndarray, np.ndarray]:
+def pooled(e: Evaluation, centres: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Lower and upper ends by seed and level. The centre is the train median, the half width the needed residual."""
-    none = lambda c: np.zeros(len(c.x), np.int64)
-    c = e.medians(none, 1)[0][:, -1]
-    q = e.quantiles(lambda chunk, s: np.abs(chunk.y[None, :] - c[s, None]), none, 1)[0][:, -1]
+    c = e.centres() if centres is None else centres
+    q = e.quantiles(lambda chunk, s: np.abs(chunk.y[None, :] - c[s, None]))
     return c[:, None] - q, c[:, None] + q
 
 
-def mondrian(e: Evaluation) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lower and upper ends by seed, bin and level, and which bins fell back to the pooled interval for too few rows."""
-    c, n_train = e.medians()
-
-    def by_bin(chunk: Chunk, s: np.ndarray) -> np.ndarray:
-        return np.abs(chunk.y[None, :] - c[s][:, bin_of(chunk.x)])
-
-    q, n_cal = e.quantiles(by_bin)
-    lo, hi = pooled(e)
-    own = ((n_train >= LEAST) & (n_cal >= LEAST))[:, :N_BINS, None]
-    half = q[:, :N_BINS]
+def mondrian(e: Evaluation) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Lower and upper ends by seed, bin and level, which bins fell back to the pooled interval for too few rows, and that interval."""
+    c, n_train = e.centres_by_bin()
+    q, n_cal = e.quantiles_by_bin(lambda chunk, s: np.abs(chunk.y[None, :] - c[s][:, bin_of(chunk.x)]))
+    lo, hi = pooled(e, c[:, WHOLE])
+    own = ((n_train[:, :N_BINS] >= LEAST) & (n_cal >= LEAST))[:, :, None]
     mine = c[:, :N_BINS, None]
-    return np.where(own, mine - half, lo[:, None]), np.where(own, mine + half, hi[:, None]), ~own[:, :, 0]
+    return np.where(own, mine - q, lo[:, None]), np.where(own, mine + q, hi[:, None]), ~own[:, :, 0], (lo, hi)
 
 
 def constant(lo: np.ndarray, hi: np.ndarray) -> Intervals:
@@ -247,7 +272,7 @@ FROM mb JOIN f USING (level, bin) WHERE n_test >= {LEAST} GROUP BY level, bin"""
 def mondrian_conformal(spark, sf_dir):
     """Intervals by bin; a bin with under 30 train or calibration rows takes the pooled interval, and fell_back counts the splits where it does."""
     e = evaluated(spark, sf_dir)
-    lo, hi, back = mondrian(e)
+    lo, hi, back, _ = mondrian(e)
     per_bin = runs(e, by_bin(lo, hi))
     fell = spark.createDataFrame([(s, b) for s, b in np.argwhere(back).tolist()], "seed int, stratum int")
     n = per_bin.join(F.broadcast(fell), ["seed", "stratum"]).groupBy("level", F.col("stratum").alias("bin")).agg(F.count("*").alias("fell_back"))
@@ -272,9 +297,8 @@ UNION ALL SELECT 'P7a', r, round(m, 9), round(half, 9), CASE WHEN r < 2 THEN '{D
 def evaluation_decisions(spark, sf_dir):
     """The decisions that pooled and Mondrian intervals allow on the same splits: mean coverage, deviating bins, paired greatest deviation."""
     e = evaluated(spark, sf_dir)
-    lo, hi = pooled(e)
+    lo2, hi2, _, (lo, hi) = mondrian(e)
     by_pooled = runs(e, constant(lo, hi))
-    lo2, hi2, _ = mondrian(e)
     off = deferred(e, lo)
     p5 = hold(marginal(by_pooled), off).select(F.concat(F.lit("P5-"), F.round(F.col("level") * 100).cast("int").cast("string")).alias("prediction"), F.col("r_eff").alias("support"), F.col("mean_cov").alias("value"), F.col("mcse").alias("spread"), "outcome")
     p6 = deviating(by_pooled.where(F.lit(not off))).select(F.lit("P6").alias("prediction"), F.col("n_supported").alias("support"), F.col("n_deviating").cast("double").alias("value"), F.lit(None).cast("double").alias("spread"), "outcome")

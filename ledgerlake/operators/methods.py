@@ -8,8 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import quantreg
-from ledgerlake.operators.conformal import _ROLES, DEFERRED, LEVELS, SEEDS, Evaluation, constant, error, evaluated, hold, marginal, paired, pooled, runs
-from ledgerlake.operators.conformal import _HOLD, _RANK
+from ledgerlake.operators.conformal import _HOLD, _RANK, _ROLES, LEVELS, SEEDS, Evaluation, constant, error, evaluated, everything, hold, marginal, of_parts, of_whole, paired, pooled, rank_needed, runs
 from ledgerlake.operators.scalar import _STATES, e_state
 from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Chunk, chunks, halves, of_role, select, sums
 from ledgerlake.operators.statistics import pava
@@ -69,8 +68,7 @@ def isotonic_conformal(spark, sf_dir):
     def centre(chunk: Chunk, s: np.ndarray) -> np.ndarray:
         return fit[s][:, np.searchsorted(xs, chunk.x)]
 
-    none = lambda c: np.zeros(len(c.x), np.int64)
-    q = e.quantiles(lambda chunk, s: np.abs(chunk.y - centre(chunk, s)), none, 1)[0][:, -1]
+    q = e.quantiles(lambda chunk, s: np.abs(chunk.y - centre(chunk, s)))
 
     def of(chunk: Chunk, s: np.ndarray, level: int):
         c, half = centre(chunk, s), q[s, level, None]
@@ -93,7 +91,6 @@ def cqr(e: Evaluation):
         X = quantreg.design(chunk.x).T
         return beta[s, level, 0] @ X, beta[s, level, 1] @ X
 
-    none = lambda c: np.zeros(len(c.x), np.int64)
     span = 4 * (e.bounds[1] - e.bounds[0])
     q = np.full((e.seeds, len(LEVELS)), np.nan)
     for level in range(len(LEVELS)):
@@ -107,7 +104,8 @@ def cqr(e: Evaluation):
             lo, hi = ends(chunk, s, level)
             return np.maximum(lo - chunk.y, chunk.y - hi)
 
-        got, _ = select(e.table, e.seeds, draws, score, (-span, span), lambda n, level=level: np.where(n > 0, np.ceil((n + 1) * (1.0 - (1.0 - LEVELS[level]))), 0).astype(np.int64)[..., None], none, 1)
+        needed = of_whole(lambda n, level=level: (rank_needed(n, LEVELS[level]) * (n > 0))[..., None])
+        got, _ = select(e.table, e.seeds, draws, score, (-span, span), needed, everything, 1)
         q[:, level] = got[:, -1, 0]
 
     def of(chunk: Chunk, s: np.ndarray, level: int):
@@ -168,7 +166,7 @@ def class_chunks(spark, sf_dir: str) -> DataFrame:
 def class_quantiles(table: DataFrame, seeds: int) -> np.ndarray:
     """The ceil((n + 1) level)-th score by seed, class and level; a class is scored by its distance from certainty. Infinite if the rank exceeds the count."""
     needed = lambda n: np.stack([np.ceil((n + 1) * x) for x in LEVELS], axis=-1).astype(np.int64)
-    got, _ = select(table, seeds, of_role(CALIBRATION), lambda c, s: np.where(c.y == 0, 1 - c.x, c.x)[None, :], (0.0, 1.0), needed, lambda c: c.y.astype(np.int64), 2)
+    got, _ = select(table, seeds, of_role(CALIBRATION), lambda c, s: np.where(c.y == 0, 1 - c.x, c.x)[None, :], (0.0, 1.0), of_parts(needed), lambda c: c.y.astype(np.int64), 2)
     return np.where(np.isnan(got[:, :2]), np.inf, got[:, :2])
 
 

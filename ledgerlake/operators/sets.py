@@ -22,3 +22,16 @@ def roster_sets(spark, sf_dir):
     a, b = F.col("a"), F.col("b")
     found = {"union_all": F.sum(a + b), "union": F.count("*"), "intersect": F.count_if((a > 0) & (b > 0)), "except": F.count_if((a == 0) & (b > 0)), "duplicates": F.count_if(a > 1), "multiset_difference": F.sum(F.greatest(a - b, F.lit(0)))}
     return g.agg(*[v.alias(k) for k, v in found.items()]).select(F.explode(F.array(*[F.struct(F.lit(k).alias("op"), F.col(k).alias("n")) for k in found])).alias("x")).select("x.op", "x.n")
+
+
+def refuse_duplicates(rows, key: str):
+    """Rows as they are, or an error that names a key that occurs more than once; a duplicate is never made distinct in silence."""
+    n = rows.groupBy(key).agg(F.count("*").alias("_n"))
+    bad = F.when(F.col("_n") > 1, F.raise_error(F.concat(F.lit("duplicate key: "), F.col(key).cast("string"))))
+    return rows.join(n.select(key, F.coalesce(bad.cast("string"), F.lit("")).alias("_ok")), key).where("_ok = ''").drop("_ok")
+
+
+@query("SELECT c_nationkey, count(*) AS customers FROM customer GROUP BY c_nationkey")
+def canonical_keys(spark, sf_dir):
+    """A roster whose keys must be distinct, checked before it is counted."""
+    return refuse_duplicates(load(spark, sf_dir, "customer").select("c_custkey", "c_nationkey"), "c_custkey").groupBy("c_nationkey").agg(F.count("*").alias("customers"))

@@ -51,8 +51,8 @@ def test_pooled_intervals_are_those_of_numpy(small, monkeypatch):
 
 def test_bins_fall_back_where_rows_are_few(small):
     e, pdf, role = small
-    lo, hi, back = c.mondrian(e)
-    plo, phi = c.pooled(e)
+    lo, hi, back, (plo, phi) = c.mondrian(e)
+    assert np.array_equal(plo, c.pooled(e)[0])
     for s, b in itertools.product(range(6), range(6)):
         tr, ca = (d[c.bin_of(d.x.to_numpy()) == b] for d in (of(pdf, role, s, 0), of(pdf, role, s, 1)))
         assert back[s, b] == (len(tr) < 30 or len(ca) < 30)
