@@ -23,6 +23,7 @@ ORACLES = {
     "op1_url_filter": url_filter.ORACLE,
     "op2_chat_format": chat.ORACLE,
     "op3_decontaminate": decontaminate.ORACLE,
+    "op4_suffix_dedup": repeats.ORACLE,
     "op6_warc": warc.ORACLE,
     "op9_secret_ledger": secrets.ORACLE,
     "op10_top_k": topk.ORACLE,

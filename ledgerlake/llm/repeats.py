@@ -346,3 +346,19 @@ def dedup(docs: DataFrame) -> DataFrame:
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup(table(spark, sf_dir, "documents"))
+
+
+#: Every string of LENGTH bytes by itself, over texts cut into parts that overlap (SQL finds a place in a text by counting from its start).
+ORACLE = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, hex(b) AS h, octet_length(b) AS n FROM d),
+p AS (SELECT doc_id, n, k * 2000 AS base, substr(h, k * 4000 + 1, 4198) AS part FROM (SELECT doc_id, n, h, unnest(range(0, greatest(n - 99, 0) // 2000 + 1)) AS k FROM h WHERE n >= 100)),
+w AS (SELECT doc_id, base + i AS i, substr(part, 2 * i + 1, 200) AS s FROM (SELECT doc_id, base, part, unnest(range(0, least(2000, n - 99 - base))) AS i FROM p)),
+f AS (SELECT doc_id, i, row_number() OVER (PARTITION BY s ORDER BY doc_id, i) AS k FROM w),
+l AS (SELECT doc_id, i, coalesce(i > lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100, true) AS new FROM f WHERE k > 1),
+g AS (SELECT doc_id, i, sum(CAST(new AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM l),
+r AS (SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM g GROUP BY doc_id, run),
+k AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM r),
+t AS (SELECT doc_id, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(h, 2 * before + 1, 2 * (a - before)), '' ORDER BY a) AS kept FROM k JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last, 0) + 1))) AS kept_sha256 FROM h LEFT JOIN t USING (doc_id)
+"""
