@@ -1,66 +1,30 @@
-"""Exact order statistics and ranks without a task that sorts a whole group.
+"""Exact ranks without a task that sorts a whole group.
 
-Values fall into ranges by a rule that keeps their order. Counts of the ranges, partial before the shuffle, tell which
-range holds a rank; only that range is sorted, and equal values are one row by then. What a task sorts is a group's
-share of one range, not the group.
+Values fall into ranges by a rule that keeps their order; a task sorts one range, and counts of the ranges before it, which
+are few, tell what to add.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Ranges a group is cut into.
-RANGES = 4096
-
-
-def _placed(rows: DataFrame, by: list[str], value: str, bounds: tuple[float, float] | None = None) -> DataFrame:
-    """rows with their range _r, monotone in the value: between the bounds, if given, else the least and greatest value of the group."""
-    if bounds:
-        rows = rows.withColumns({"_lo": F.lit(bounds[0]), "_hi": F.lit(bounds[1])})
-    else:
-        rows = rows.join(rows.groupBy(by).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")), by)
-    share = (F.col(value) - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    at = F.when(F.col("_hi") > F.col("_lo"), F.greatest(F.lit(0), F.least(F.floor(share * RANGES), F.lit(RANGES - 1)))).otherwise(0).cast("int")
-    return rows.withColumn("_r", at).drop("_lo", "_hi")
+from ledgerlake.sources.sinks import stored
 
 
-def select_ranks(rows: DataFrame, by: list[str], value: str, ranks: Callable[[Column], Column], bounds: tuple[float, float] | None = None, few_groups: bool = False) -> DataFrame:
-    """(*by, n, k, value): the k-th least value of each group for every k in the array ranks(n), from 1; ranks beyond n give no row.
+def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
+    """(value, out): the rank of each distinct value among all rows, ties sharing their mean; nulls have none.
 
-    Null values don't count. Values must be finite; keys must not be null. bounds of the values save a pass that looks
-    for them; values beyond go to the outer ranges. few_groups: the caller's keys come from a fixed set (seeds, bins),
-    so that the ranges that hold a rank, one a group and rank, are broadcast and the rows are not shuffled for them.
+    Ranges are cut at sampled quantiles of the distinct values, so that no outlier spoils them, and written with their
+    number, so that a task that is run again cannot number them otherwise.
     """
-    placed = _placed(rows.where(F.col(value).isNotNull()).select(*by, value), by, value, bounds)
-    within = Window.partitionBy(by)
-    counts = placed.groupBy(*by, "_r").agg(F.count("*").alias("_m"))
-    counts = counts.select(*by, "_r", F.sum("_m").over(within).alias("n"), "_m", F.sum("_m").over(within.orderBy("_r")).alias("_upto"))
-    before = F.col("_upto") - F.col("_m")
-    cells = counts.select(*by, "_r", "n", before.alias("_before"), F.filter(ranks(F.col("n")), lambda k: (k > before) & (k <= F.col("_upto"))).alias("_ks")).where(F.size("_ks") > 0)
-    few = placed.join(F.broadcast(cells) if few_groups else cells, [*by, "_r"]).groupBy(*by, "_r", "n", "_before", "_ks", value).agg(F.count("*").alias("_m"))
-    run = F.sum("_m").over(Window.partitionBy(*by, "_r").orderBy(value)) + F.col("_before")
-    few = few.select("*", run.alias("_run"))
-    return few.select(*by, "n", F.explode(F.filter("_ks", lambda k: (k > F.col("_run") - F.col("_m")) & (k <= F.col("_run")))).alias("k"), value)
-
-
-def medians(rows: DataFrame, by: list[str], value: str, out: str, bounds: tuple[float, float] | None = None, few_groups: bool = False) -> DataFrame:
-    """(*by, n, out): exact medians; the two middle values of an even group are averaged."""
-    middle = lambda n: F.array_distinct(F.array(F.floor((n + 1) / 2).cast("bigint"), F.ceil((n + 1) / 2).cast("bigint")))
-    two = select_ranks(rows, by, value, middle, bounds, few_groups).groupBy(by).agg(F.max("n").alias("n"), F.min(value).alias("_a"), F.max(value).alias("_b"))
-    return two.select(*by, "n", (F.col("_a") * 0.5 + F.col("_b") * 0.5).alias(out))
-
-
-def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """(value, out): the rank of each distinct value among all rows, ties sharing their mean; nulls have none."""
-    n = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n")).withColumn("_all", F.lit(0))
-    placed = _placed(n, ["_all"], value)
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_n"))
+    placed = stored(n.repartitionByRange(parts, value).withColumn("_r", F.spark_partition_id()), "ranges")
     counts = placed.groupBy("_r").agg(F.sum("_n").alias("_m"))
-    counts = counts.select("_r", (F.sum("_m").over(Window.orderBy("_r")) - F.col("_m")).alias("_before"))  # at most RANGES rows
+    counts = counts.select("_r", (F.sum("_m").over(Window.orderBy("_r")) - F.col("_m")).alias("_before"))  # a row a range
     upto = F.sum("_n").over(Window.partitionBy("_r").orderBy(value)) + F.col("_before")
-    return placed.join(counts, "_r").select(value, (upto - (F.col("_n") - 1) / 2).alias(out))
+    return placed.join(F.broadcast(counts), "_r").select(value, (upto - (F.col("_n") - 1) / 2).alias(out))
 
 
 def digest_order(rows: DataFrame, by: list[str], digest: Column, tie: str) -> DataFrame:

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.orderstats import average_ranks, digest_order, medians, select_ranks
+from ledgerlake.operators.orderstats import average_ranks, digest_order
 
 
 @pytest.fixture(scope="module")
@@ -12,22 +12,6 @@ def rows(spark):
     return spark.createDataFrame(out, "g int, v double"), out
 
 
-def groups(out):
-    return {g: sorted(v for h, v in out if h == g and v is not None) for g in {g for g, v in out if v is not None}}
-
-
-def test_every_rank_of_every_group(rows):
-    df, out = rows
-    got = {(r.g, r.k): (r.n, r.v) for r in select_ranks(df, ["g"], "v", lambda n: F.sequence(F.lit(1), n.cast("long") + 1)).collect()}
-    assert got == {(g, k + 1): (len(vs), v) for g, vs in groups(out).items() for k, v in enumerate(vs)}
-
-
-def test_medians(rows):
-    df, out = rows
-    got = {r.g: r.m for r in medians(df, ["g"], "v", "m").collect()}
-    assert got == pytest.approx({g: float(np.median(vs)) for g, vs in groups(out).items()}, abs=1e-12)
-
-
 def test_average_ranks(rows):
     df, out = rows
     got = {r.v: r.a for r in average_ranks(df, "v", "a").collect()}
@@ -42,4 +26,4 @@ def test_digest_order_and_empty(spark):
         mine = sorted((r for r in got if r.g == g), key=lambda r: r._i)
         assert [r._i for r in mine] == list(range(150)) and all(r._n == 150 for r in mine)
     empty = spark.createDataFrame([], "g int, v double")
-    assert medians(empty, ["g"], "v", "m").count() == 0 and average_ranks(empty, "v", "a").count() == 0
+    assert average_ranks(empty, "v", "a").count() == 0
