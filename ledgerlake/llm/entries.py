@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, pieces, quality, repeats, secrets, simhash, topk, url_filter, warc
+from . import chat, decontaminate, merkle, pieces, quality, repeats, secrets, simhash, topk, url_filter, warc, wordtrie
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -17,6 +17,8 @@ QUERIES = {
     "op8_simhash": simhash.op8_simhash,
     "op9_secret_ledger": secrets.op9_secret_ledger,
     "op10_top_k": topk.op10_top_k,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op13_word_trie_resampling": wordtrie.op13_word_trie_resampling,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
@@ -27,4 +29,6 @@ ORACLES = {
     "op6_warc": warc.ORACLE,
     "op9_secret_ledger": secrets.ORACLE,
     "op10_top_k": topk.ORACLE,
+    "op11_merkle_manifest": merkle.ORACLE,
+    "op13_word_trie_resampling": wordtrie.ORACLE,
 }
