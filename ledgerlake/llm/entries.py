@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import chat, decontaminate, merkle, pieces, quality, repeats, secrets, simhash, topk, url_filter, warc, wordtrie
+from . import chat, decontaminate, merkle, ngramjoin, pieces, quality, repeats, secrets, simhash, topk, url_filter, warc, wordtrie
 
 QUERIES = {
     "op1_url_filter": url_filter.op1_url_filter,
@@ -18,6 +18,7 @@ QUERIES = {
     "op9_secret_ledger": secrets.op9_secret_ledger,
     "op10_top_k": topk.op10_top_k,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_ngram_join": ngramjoin.op12_ngram_join,
     "op13_word_trie_resampling": wordtrie.op13_word_trie_resampling,
     "pipeline": corpus_pipeline.run,
 }
@@ -30,5 +31,6 @@ ORACLES = {
     "op9_secret_ledger": secrets.ORACLE,
     "op10_top_k": topk.ORACLE,
     "op11_merkle_manifest": merkle.ORACLE,
+    "op12_ngram_join": ngramjoin.ORACLE,
     "op13_word_trie_resampling": wordtrie.ORACLE,
 }
