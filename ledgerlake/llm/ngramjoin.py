@@ -149,17 +149,33 @@ def _shared(group: pa.Table) -> pa.Table:
     return pa.table([pa.array(found), pa.array(n)], names=["half", "shared"])
 
 
-def _ranked(group: pa.Table) -> pa.Table:
-    """Of each class its shingles that others hold too, with the number of holders."""
+def _ranked(group: pa.Table, buckets: int) -> pa.Table:
+    """The shingles that several classes hold, with the number of holders, as a row for each bucket of classes."""
     grams, owners = _gathered(group)
     n = _holders(grams)
-    kept = n > 1
-    grams, owners, n = grams[kept].view(np.int64), owners[kept], n[kept]
-    order = np.argsort(owners, kind="stable")
-    found, begin = np.unique(owners[order], return_index=True)
-    offsets = pa.array([*begin.tolist(), len(order)], pa.int32())
-    entries = pa.StructArray.from_arrays([pa.array(n[order]), pa.array(grams[order])], ["holders", "gram"])
-    return pa.table([pa.array(found), pa.ListArray.from_arrays(offsets, entries)], names=["class", "entries"])
+    grams, owners, n = grams[n > 1], owners[n > 1], n[n > 1]
+    at = owners % buckets
+    order = np.argsort(at, kind="stable")
+    found, begin = np.unique(at[order], return_index=True)
+    cells = [[x[order[a:b]].tobytes() for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)] for x in (owners, n, grams)]
+    return pa.table([pa.array(found, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "owners", "holders", "grams"])
+
+
+def _first_in_order(ranked: pa.Table, sizes: pa.Table, percent: int) -> pa.Table:
+    """(class, gram): the shingles of each class that come first in the order of (holders, gram).
+
+    Shingles that no other class holds come before all these, and link to nothing.
+    """
+    owners, n, grams = (np.frombuffer(b"".join(ranked[c].to_pylist()), t) for c, t in (("owners", np.int64), ("holders", np.int64), ("grams", np.uint64)))
+    order = np.lexsort((grams, n, owners))
+    owners, grams = owners[order], grams[order]
+    found, begin, held = np.unique(owners, return_index=True, return_counts=True)
+    classes, size = sizes["class"].to_numpy(), sizes["n"].to_numpy()
+    by = np.argsort(classes)
+    size = size[by][np.searchsorted(classes[by], found)]
+    keep = size - needed(size, percent) + 1 - (size - held)
+    kept = np.arange(len(owners)) - np.repeat(begin, held) < np.repeat(keep, held)
+    return pa.table([pa.array(owners[kept]), pa.array(grams[kept].view(np.int64))], names=["class", "gram"])
 
 
 def _sets(batches, size: int):
@@ -310,11 +326,10 @@ def links(docs: DataFrame, classes: DataFrame, size: int, percent: int, chunk: i
     sets = written(once.mapInArrow(lambda it: _sets(it, size), "class long, grams array<long>"), "sets")
     fragments = max(parts(spark), (total or 0) // GRAMS)
     dealt = sets.mapInArrow(lambda it: _all_dealt(it, fragments), "fragment int, grams binary, owners binary")
-    ranked = dealt.groupBy("fragment").applyInArrow(_ranked, "class long, entries array<struct<holders:long,gram:long>>")
-    entries = ranked.groupBy("class").agg(F.array_sort(F.flatten(F.collect_list("entries"))).alias("entries")).join(some.select("class", "n"), "class")
-    # shingles that no other set holds come first in the order and link to nothing
-    left = F.col("n") - F.ceil(F.col("n") * percent / 100) + 1 - (F.col("n") - F.size("entries"))
-    firsts = written(entries.where(left > 0).select("class", F.explode(F.slice("entries", 1, left.cast("int"))).alias("e")).select("class", "e.gram"), "firsts")
+    ranked = dealt.groupBy("fragment").applyInArrow(lambda g: _ranked(g, fragments), "bucket long, owners binary, holders binary, grams binary")
+    sizes = some.select("class", "n", (F.col("class") % fragments).alias("bucket"))
+    firsts = ranked.groupBy("bucket").cogroup(sizes.groupBy("bucket")).applyInArrow(lambda r, z: _first_in_order(r, z, percent), "class long, gram long")
+    firsts = written(firsts, "firsts")
     hub = firsts.groupBy("gram").agg(F.min("class").alias("hub"), F.count("*").alias("n")).where("n > 1")
     stars = firsts.join(hub, "gram").where("class <> hub").select(F.col("class").alias("a"), F.col("hub").alias("b"))
     groups = written(components(stars.distinct()).select(F.col("node").alias("class"), F.col("label").alias("group")), "groups")
