@@ -86,6 +86,13 @@ def _prints(batches, size: int):
 DEALT = pa.schema([("fragment", pa.int32()), ("grams", pa.binary()), ("owners", pa.binary())])
 
 
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]]]:
+    """An order that sorts values, the distinct ones, and where each of them begins and ends in that order."""
+    order = np.argsort(values, kind="stable")
+    found, begin, n = np.unique(values[order], return_index=True, return_counts=True)
+    return order, found, list(zip(begin.tolist(), (begin + n).tolist(), strict=True))
+
+
 class _Deal:
     """Gathers (owner, its shingles) and gives them out as a row a fragment."""
 
@@ -101,11 +108,8 @@ class _Deal:
         if not self.held:
             return
         grams, owners = np.concatenate(self.grams), np.concatenate(self.owners)
-        at = fragment_of(grams, self.fragments)
-        order = np.argsort(at, kind="stable")
-        found, begin = np.unique(at[order], return_index=True)
-        ends = [*begin[1:].tolist(), len(order)]
-        cells = [(grams[order[a:b]].tobytes(), owners[order[a:b]].tobytes()) for a, b in zip(begin.tolist(), ends, strict=True)]
+        order, found, runs = _runs(fragment_of(grams, self.fragments))
+        cells = [(grams[order[a:b]].tobytes(), owners[order[a:b]].tobytes()) for a, b in runs]
         self.grams, self.owners, self.held = [], [], 0
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array([g for g, _ in cells], pa.binary()), pa.array([o for _, o in cells], pa.binary())], schema=DEALT)
 
@@ -154,10 +158,8 @@ def _ranked(group: pa.Table, buckets: int) -> pa.Table:
     grams, owners = _gathered(group)
     n = _holders(grams)
     grams, owners, n = grams[n > 1], owners[n > 1], n[n > 1]
-    at = owners % buckets
-    order = np.argsort(at, kind="stable")
-    found, begin = np.unique(at[order], return_index=True)
-    cells = [[x[order[a:b]].tobytes() for a, b in zip(begin.tolist(), [*begin[1:].tolist(), len(order)], strict=True)] for x in (owners, n, grams)]
+    order, found, runs = _runs(owners % buckets)
+    cells = [[x[order[a:b]].tobytes() for a, b in runs] for x in (owners, n, grams)]
     return pa.table([pa.array(found, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "owners", "holders", "grams"])
 
 
