@@ -38,11 +38,21 @@ SELECT node AS unit, min(root) AS group_id FROM r GROUP BY node""")
 def homology_groups(spark, sf_dir):
     """Groups of units that a local alignment links; the id is the least member, a unit without a partner is its own group.
 
-    Only similar pairs are aligned. In these tables all of them align over 100 columns, so the SQL, which has no
-    alignment, finds the same groups; tests hold the alignment itself against one by hand.
+    Only similar pairs are aligned, and a pair too large for the rule stops the query. In these tables all of them align
+    over 100 columns, so the SQL, which has no alignment, finds the same groups; tests hold groups_of() against
+    alignments by hand, with similar units that do not align.
     """
-    units = roster(spark, sf_dir)
+    return groups_of(roster(spark, sf_dir))
+
+
+def groups_of(units: DataFrame, oversized: str = "refuse") -> DataFrame:
+    """(unit, seq) to (unit, group_id); with oversized "tell" also refused, how many alignments of the unit were too large to be made."""
     seq = lambda n: units.select(F.col("unit").alias(n), F.col("seq").alias(f"seq_{n}"))
     pairs = stored(similar(units).select("a", "b").join(seq("a"), "a").join(seq("b"), "b").repartition("a", "b"), "pairs")
-    found = components(aligned_edges(pairs).where("edge").select("a", "b"))
-    return units.join(found.withColumnRenamed("node", "unit"), "unit", "left").select("unit", F.coalesce("root", "unit").alias("group_id"))
+    edges = stored(aligned_edges(pairs, oversized), "aligned")
+    found = components(edges.where("edge").select("a", "b"))
+    out = units.join(found.withColumnRenamed("node", "unit"), "unit", "left").select("unit", F.coalesce("root", "unit").alias("group_id"))
+    if oversized == "tell":
+        large = edges.where("too_large").select(F.explode(F.array("a", "b")).alias("unit")).groupBy("unit").agg(F.count("*").alias("refused"))
+        out = out.join(large, "unit", "left").fillna(0, ["refused"])
+    return out

@@ -2,10 +2,12 @@
 
 import random
 import re
+import tracemalloc
 
 import pytest
 
 from ledgerlake.operators import alignment, labelling
+from ledgerlake.operators.graph import groups_of
 from ledgerlake.operators.joins import similar
 from ledgerlake.sources import cif
 
@@ -27,33 +29,80 @@ def global_by_hand(a, b):
     return out[::-1]
 
 
-def local_score_by_hand(a, b):
-    h, best = {}, 0
+def local_by_hand(a, b):
+    h, best = {}, (0, 0, 0)
     for i in range(len(a) + 1):
         for j in range(len(b) + 1):
             h[i, j] = 0 if not i or not j else max(0, h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1), h[i - 1, j] - 2, h[i, j - 1] - 2)
-            best = max(best, h[i, j])
-    return best
+            best = max(best, (h[i, j], -j, -i))
+    score, j, i = best[0], -best[1], -best[2]
+    matches = columns = 0
+    while h[i, j] > 0:
+        if h[i, j] == h[i - 1, j - 1] + (2 if a[i - 1] == b[j - 1] else -1):
+            matches, columns, i, j = matches + (a[i - 1] == b[j - 1]), columns + 1, i - 1, j - 1
+        elif h[i, j] == h[i, j - 1] - 2:
+            j -= 1
+        else:
+            i -= 1
+    return score, matches, columns, matches / columns if columns else 0.0
 
 
-def test_alignments_are_those_of_plain_dynamic_programming():
+@pytest.mark.parametrize("small", [1, 30, 1 << 16])
+def test_alignments_are_those_of_plain_dynamic_programming(monkeypatch, small):
+    """Cut down to parts of one row, of a few cells, and not at all."""
+    monkeypatch.setattr(alignment, "SMALL", small)
     r = random.Random(1)
-    for _ in range(80):
-        a, b = ("".join(r.choices("ACD", k=r.randrange(14))) for _ in range(2))
-        assert alignment.identical_pairs(a, b) == global_by_hand(a, b)
-        score, matches, columns, identity, _ = alignment.local_alignment(a, b)
-        assert score == local_score_by_hand(a, b) and matches <= columns and score <= 2 * matches
-        assert identity == (matches / columns if columns else 0)
+    for k in range(150):
+        a, b = ("".join(r.choices("ACD" if k % 2 else "AC", k=r.randrange(22))) for _ in range(2))
+        assert alignment.identical_pairs(a, b) == global_by_hand(a, b), (a, b)
+        assert alignment.local_alignment(a, b) == local_by_hand(a, b), (a, b)
+
+
+def test_alignments_of_long_sequences_take_linear_memory():
+    r = random.Random(3)
+    a = "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=3000))
+    b = a[:1000] + "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=500)) + a[1300:]
+    tracemalloc.start()
+    pairs, local = alignment.identical_pairs(a, b), alignment.local_alignment(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 6 << 20  # a table of scores would take 40 to 80 MB
+    assert len(pairs) >= 2600 and all(a[i - 1] == b[j - 1] for i, j in pairs) and pairs == sorted(pairs)
+    assert local[1] >= 2600 and local[0] > 4000
 
 
 def test_alignment_of_nulls_and_of_too_large_tables(spark, monkeypatch):
     d = spark.createDataFrame([("ABC", "ABD"), (None, "A"), ("", "A")], "a string, b string")
     got = [r[0] for r in d.select(alignment.align_pairs("a", "b")).collect()]
     assert [None if g is None else [tuple(p) for p in g] for g in got] == [[(1, 1), (2, 2)], None, []]
-    assert alignment.local_alignment("A" * 9000, "A" * 8000)[4]
     same = "ACDEFGHIKL" * 11
     p = spark.createDataFrame([("x", "y", same, same[:105]), ("x", "z", same, "W" * 110)], "a string, b string, seq_a string, seq_b string")
     assert {r.b: r.edge for r in alignment.aligned_edges(p).collect()} == {"y": True, "z": False}
+    large = spark.createDataFrame([("x", "y", "A" * 9000, "A" * 8000), ("x", "z", same, same)], p.schema)
+    assert {r.b: (r.edge, r.too_large) for r in alignment.aligned_edges(large, "tell").collect()} == {"y": (None, True), "z": (True, False)}
+    with pytest.raises(Exception, match="ALIGNMENT_TOO_LARGE: x, y"):
+        alignment.aligned_edges(large).collect()
+    with pytest.raises(ValueError):
+        alignment.aligned_edges(large, "skip")
+
+
+def test_groups_of_units_that_are_similar_but_do_not_align(spark):
+    r = random.Random(6)
+    blocks = ["".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=40)) for _ in range(5)]
+    units = {"a": "".join(blocks), "b": "".join(reversed(blocks)), "c": "".join(blocks[:4]) + "W" * 10, "d": "".join(r.choices("ACDEFGHIKLMNPQRSTVWY", k=150))}
+    rows = spark.createDataFrame(list(units.items()), "unit string, seq string")
+    near = {(x.a, x.b) for x in similar(rows).collect()}
+    edges = {(a, b) for a, b in near if (t := local_by_hand(units[a], units[b]))[2] >= 100 and t[3] > 0.25}
+    assert ("a", "b") in near and edges == {("a", "c")}
+    assert {x.unit: x.group_id for x in groups_of(rows).collect()} == {"a": "a", "b": "b", "c": "a", "d": "d"}
+
+
+def test_groups_tell_the_alignments_they_refuse(spark):
+    long = "".join(random.Random(7).choices("ACDEFGHIKLMNPQRSTVWY", k=9000))
+    rows = spark.createDataFrame([("a", long), ("b", long[:8990]), ("c", "W" * 120)], "unit string, seq string")
+    with pytest.raises(Exception, match="ALIGNMENT_TOO_LARGE"):
+        groups_of(rows).collect()
+    assert {x.unit: (x.group_id, x.refused) for x in groups_of(rows, "tell").collect()} == {"a": ("a", 1), "b": ("b", 1), "c": ("c", 0)}
 
 
 def test_similar_units_are_those_of_all_pairs(spark):
