@@ -38,3 +38,19 @@ def digest_order(rows: DataFrame, by: list[str], digest: Column, tie: str) -> Da
     counts = counts.select(*by, "_r", F.sum("_m").over(within).alias("_n"), (F.sum("_m").over(within.orderBy("_r")) - F.col("_m")).alias("_before"))
     place = F.row_number().over(Window.partitionBy(*by, "_r").orderBy("_d", tie)) - 1 + F.col("_before")
     return keyed.join(counts, [*by, "_r"]).select(*rows.columns, place.alias("_i"), "_n")
+
+
+def places(rows: DataFrame, *order: Column | str, out: str = "_i") -> DataFrame:
+    """rows with their place from 0 in the order, which should tell all rows apart.
+
+    Ranges of the order are sorted each in its task and written with monotonically_increasing_id(), which holds range and
+    place; a count a range reaches the driver.
+    """
+    spark = rows.sparkSession
+    placed = stored(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()), "places")
+    n, before = 0, []
+    for r, m in sorted(tuple(x) for x in placed.groupBy(F.shiftright("_at", 33)).count().collect()):
+        before.append((r, n))
+        n += m
+    before = F.broadcast(spark.createDataFrame(before, "_r long, _before long"))
+    return placed.join(before, F.shiftright("_at", 33) == F.col("_r")).select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(out))

@@ -97,7 +97,7 @@ class Chunk:
     """A chunk in a task."""
 
     def __init__(self, roles: bytes, x: np.ndarray, y: np.ndarray, z: np.ndarray):
-        self.roles, self.x, self.y, self.z = np.frombuffer(roles, np.uint8) - ord("0"), x, y, z
+        self.raw, self.roles, self.x, self.y, self.z = roles, np.frombuffer(roles, np.uint8) - ord("0"), x, y, z
 
     def seeds(self, role: int) -> np.ndarray:
         return np.flatnonzero(self.roles == role)

@@ -139,15 +139,56 @@ def test_fits_on_nested_samples_are_those_on_all_rows(spark, monkeypatch):
         assert loss(x, y, tau, beta[s, k]) <= loss(x, y, tau, quantreg.solve(x, y, tau)) + 1e-6
 
 
-def test_medians_of_replicates_are_those_of_repeated_rows(spark):
-    table = resample.groups(spark, "/root/testdata/sf0.001")
-    pdf = table.toPandas()
-    x, y, z = (np.concatenate(pdf[k].to_list()) for k in "xyz")
-    w = np.searchsorted(resample.POISSON, resample.draw(x, np.arange(400)), "right")
-    assert abs(w.mean() - 1) < 0.05 and abs((w == 0).mean() - np.exp(-1)) < 0.05
+def weights_of(table, replicates):
+    """(z, y, weights by replicate) of all rows, from their chunks."""
+    found = []
+    for c in table.toPandas().itertuples():
+        chunk = splits.Chunk(c.roles, *(np.asarray(v, float) for v in (c.x, c.y, c.z)))
+        found.append((chunk.z, chunk.y, resample.weights(chunk, np.arange(replicates))))
+    return np.concatenate([z for z, *_ in found]), np.concatenate([y for _, y, _ in found]), np.hstack([w for *_, w in found])
+
+
+@pytest.mark.parametrize("rows, draws", [(256, 1 << 24), (7, 20)])
+def test_replicates_hold_as_many_rows_as_their_groups(spark, monkeypatch, rows, draws):
+    """Draws fall down the tree: over one chunk a group, and over many in several tasks a replicate."""
+    monkeypatch.setattr(resample, "ROWS", rows)
+    monkeypatch.setattr(resample, "DRAWS", draws)
+    monkeypatch.setattr(resample, "REPLICATES", 400)
+    z, y, w = weights_of(resample.drawable(resample.groups(spark, "/root/testdata/sf0.001", True), 400), 400)
+    for g in (0, 1):
+        of = w[:, z % 2 == g]
+        assert (of.sum(axis=1) == of.shape[1]).all()  # exactly n rows
+        n = of.shape[1]
+        assert abs((of == 0).mean() - (1 - 1 / n) ** n) < 0.02 and abs(of.var() - (1 - 1 / n)) < 0.05  # as a multinomial has it
+        assert np.abs(of.mean(axis=0) - 1).max() < 0.25
     low, high = resample.bootstrap_median(spark, "/root/testdata/sf0.001").first()[3:]
     d = [np.median(np.repeat(y[z % 2 == 1], a[z % 2 == 1])) - np.median(np.repeat(y[z % 2 == 0], a[z % 2 == 0])) for a in w]
-    assert low <= np.median(d) <= high
+    assert (low, high) == tuple(round(float(v), 6) for v in np.percentile(d, [2.5, 97.5]))
+
+
+def test_permutations_are_those_of_all_subsets(spark):
+    """Eight rows, three of them the first group: each of the 56 subsets is as frequent, and p is that of all of them."""
+    y = np.array([3.0, 1, 4, 1, 5, 9, 2, 6])
+    lists = lambda *v: [list(map(float, x)) for x in v]
+    table = spark.createDataFrame([(b"", *lists(range(4), y[:4], (1, 1, 0, 0))), (b"", *lists(range(4, 8), y[4:], (1, 0, 0, 0)))], "roles binary, x array<double>, y array<double>, z array<double>")
+    bound = resample.thresholds(table, 3, 6000)
+    u = resample.mixed(np.arange(8)[None, :], resample.key_of(np.arange(6000), resample.PERMUTED)[:, None])
+    chosen = u <= bound[:, None]
+    assert (chosen.sum(axis=1) == 3).all()
+    subsets, n = np.unique(chosen @ (1 << np.arange(8)), return_counts=True)
+    assert len(subsets) == 56 and ((n - 6000 / 56) ** 2 / (6000 / 56)).sum() < 100  # chi squared with 55 degrees of freedom
+    d = lambda m: abs(y[m].mean() - y[~m].mean())
+    obs = d(np.isin(np.arange(8), [0, 1, 4]))
+    exact = np.mean([d(np.isin(np.arange(8), c)) >= obs - 1e-9 for c in itertools.combinations(range(8), 3)])
+    assert abs(np.mean([d(c) >= obs - 1e-9 for c in chosen]) - exact) < 0.03
+
+
+def test_draws_are_bijections_and_places(monkeypatch):
+    x = np.arange(1 << 16)
+    for key in resample.key_of(np.arange(3), 5):
+        assert len(np.unique(resample.mixed(x, key))) == len(x) and resample.mixed(x, key).max() <= resample.MASK
+        at = resample.drawn(x, key, 1000)
+        assert at.min() == 0 and at.max() == 999 and np.bincount(at).std() < 12
 
 
 def test_large_accessions_are_cut_into_chunks(spark, monkeypatch):
