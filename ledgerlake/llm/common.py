@@ -75,10 +75,10 @@ def sized(df: DataFrame, n_bytes: int, limit: int = BROADCAST_BYTES) -> DataFram
 
 
 def skewed_left(rows: DataFrame, side: DataFrame, key: str, side_bytes: int, hot: int = HOT) -> DataFrame:
-    """rows left join side, which has one row a key; a key may hold any share of rows.
+    """rows left join side, which has one row a key; a key may hold any share of rows, equal ones too.
 
     A side of a measured size under the limit is broadcast. Else keys with more than hot rows are counted first (there
-    are at most rows / hot of them); their rows are dealt over as many tasks as they need, and the side's row goes to each.
+    are at most rows / hot of them); their rows are dealt over as many tasks as they need by their place in the input, and the side's row goes to each.
     """
     if side_bytes <= BROADCAST_BYTES:
         return rows.join(F.broadcast(side), key, "left")
@@ -87,7 +87,8 @@ def skewed_left(rows: DataFrame, side: DataFrame, key: str, side_bytes: int, hot
         return rows.join(side, key, "left")
     pieces = F.coalesce(F.ceil(F.col("_n") / hot).cast("int"), F.lit(1))
     many = sized(many, n * 96)
-    dealt = rows.join(many, key, "left").withColumn("_salt", F.when(pieces > 1, F.pmod(F.xxhash64(*rows.columns), pieces)).otherwise(0).cast("int"))
+    dealt = rows.withColumn("_nth", F.monotonically_increasing_id()).join(many, key, "left")
+    dealt = dealt.withColumn("_salt", F.when(pieces > 1, F.pmod("_nth", pieces)).otherwise(0).cast("int")).drop("_nth")
     each = side.join(many, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), pieces - 1)))
     return dealt.drop("_n").join(each.drop("_n"), [key, "_salt"], "left").drop("_salt")
 

@@ -69,6 +69,11 @@ def _hit(words: list[Column]) -> Column:
     return out
 
 
+def width_of(keys: DataFrame) -> int:
+    """Bytes of a table of keys."""
+    return keys.agg(F.sum(F.octet_length("key") + 32)).first()[0] or 0
+
+
 def passed(rows: DataFrame, listed: DataFrame, n_keys: int) -> DataFrame:
     """rows with maybe: whether their key (null: none) passes the filter of the listed keys."""
     blocks, n_blocks = bloom_blocks(listed, n_keys)
@@ -77,7 +82,7 @@ def passed(rows: DataFrame, listed: DataFrame, n_keys: int) -> DataFrame:
     if slices > SLICES:
         keys = probes.select("key", "block", *[f"m{i}" for i in range(WORDS)]).distinct().join(blocks, "block")
         maybe = written(keys.where(_hit([F.col(f"w{i}") for i in range(WORDS)])).select("key", F.lit(True).alias("maybe")), "maybe")
-        out = skewed_left(rows, maybe, "key", maybe.count() * 160)
+        out = skewed_left(rows, maybe, "key", width_of(maybe))
         return out.select(*rows.columns, F.coalesce("maybe", F.lit(False)).alias("maybe"))
     if slices > 1:
         blocks = written(blocks, "blocks")
@@ -98,8 +103,8 @@ def judge(pages: DataFrame, listed: DataFrame, rules=RULES) -> DataFrame:
     key = F.when(F.col("best").isNull() & (F.col("host") != ""), F.concat("host", F.lit(" "), "path"))
     tested = passed(rows.select("*", key.alias("key")), listed, n_keys)
     hits = tested.where("maybe").drop("maybe")
-    found = written(hits.select("key").distinct().join(sized(listed, n_keys * 160), "key", "left_semi").withColumn("own", F.lit("block")), "found")
-    hits = skewed_left(hits, found, "key", found.count() * 160)
+    found = written(hits.select("key").distinct().join(sized(listed, width_of(listed)), "key", "left_semi").withColumn("own", F.lit("block")), "found")
+    hits = skewed_left(hits, found, "key", width_of(found))
     misses = tested.where("not maybe").select(*rows.columns, F.lit(None).cast("string").alias("own"))
     out = misses.unionByName(hits.select(*rows.columns, "own"))
     return out.select("page_id", "url", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", "own", F.lit("allow")).alias("verdict"))

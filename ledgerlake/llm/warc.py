@@ -4,7 +4,9 @@ An archive is a stream of gzip members, one a record. Spark has no sink for byte
 (archive, blocks) in the shared folder, a row of at most about ARCHIVE_BYTES each, its bytes in blocks; they are read
 where they lie, without a shuffle. Archives that are files are read by read_files(). The reader takes an archive's bytes
 in order, in pieces of any size: zlib inflates them a few KB at a time, a member's end starts the next, a record's header
-ends at the empty line, Content-Length frames its block, and the digests are verified. Only one record is held at a time.
+ends at the empty line, Content-Length frames its block, and the digests are verified: SHA-1, SHA-256, SHA-512 and MD5, as
+hex or base32; absent ones pass. Only one record is held at a time. Archives of other writers are read as well: records
+that are neither response nor revisit are passed over, and record ids that are no page numbers give a null page_id.
 
 Of records with equal payloads of at least REVISITED bytes that with the smallest page_id is a response, the others are
 revisits that name it and carry no payload; the HTTP header that they keep tells the payload's length.
@@ -16,6 +18,7 @@ WARC-Target-URI; a damaged or cut-off archive raises WarcError; an empty table g
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
 import zlib
@@ -118,22 +121,34 @@ def read_records(pieces: Iterable[bytes]) -> Iterator[Record]:
         if size < 0 or bytes(held[end + 4 + size :]) != b"\r\n\r\n":
             raise WarcError("Content-Length does not frame the block")
         got = Record(headers, bytes(held[end + 4 : end + 4 + size]))
-        if (told := headers.get("warc-block-digest", "").lower()).startswith("sha256:") and told[7:] != hashlib.sha256(got.block).hexdigest():
-            raise WarcError("block digest differs")
+        verify(headers.get("warc-block-digest"), "block", got.block)
         held.clear()
         yield got
 
 
+def verify(told: str | None, what: str, data: bytes) -> str | None:
+    """The digest as told, lower-case hex if of SHA-256; refused if it is not that of the data. Absent ones pass, and kinds that hashlib does not know."""
+    kind, _, value = (told or "").partition(":")
+    if not value or kind.lower() not in ("sha1", "sha256", "md5", "sha512"):
+        return told or None
+    found = hashlib.new(kind.lower(), data, usedforsecurity=False)
+    same = value.lower() in (found.hexdigest(), base64.b32encode(found.digest()).decode().lower().rstrip("="), base64.b32encode(found.digest()).decode().lower())
+    if not same:
+        raise WarcError(f"{what} digest differs")
+    return found.hexdigest() if kind.lower() == "sha256" else told
+
+
 def _page(r: Record):
     number = lambda x: int(m[1]) if (m := re.fullmatch(r"<urn:page:(-?\d+)>", x or "")) else None
     head, _, payload = r.block.partition(b"\r\n\r\n")
     told = re.search(rb"(?im)^content-length: *(\d+)", head)
-    kind, digest = r.headers.get("warc-type"), r.headers.get("warc-payload-digest", "").removeprefix("sha256:")
-    if kind == "response" and hashlib.sha256(payload).hexdigest() != digest:
-        raise WarcError("payload digest differs")
+    kind, digest = r.headers.get("warc-type"), r.headers.get("warc-payload-digest")
+    # a revisit's digest is that of the record it refers to
+    digest = verify(digest, "payload", payload) if kind == "response" else (digest or "").removeprefix("sha256:") or None
     url = r.headers.get("warc-target-uri")
     url = None if url is None else re.sub(r"%([0-9A-F]{2})", lambda m: chr(int(m[1], 16)) if int(m[1], 16) in (*range(33), 37, 127) else m[0], url)
-    return number(r.headers.get("warc-record-id")), url, int(told[1]) if told else len(payload), digest, kind, number(r.headers.get("warc-refers-to"))
+    size = int(told[1]) if told and kind == "revisit" else len(payload)
+    return number(r.headers.get("warc-record-id")), url, size, digest, kind, number(r.headers.get("warc-refers-to"))
 
 
 def _read(batches):
@@ -144,6 +159,8 @@ def _read(batches):
         for blocks in b.column(1):
             rows = []
             for r in read_records(x.as_py() for x in blocks.values):
+                if r.headers.get("warc-type") not in ("response", "revisit"):
+                    continue  # warcinfo, request, metadata and others hold no page
                 rows.append(_page(r))
                 if len(rows) >= 1000:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names)
