@@ -57,7 +57,7 @@ def archived_pairs(spark, sf_dir):
 
 
 @query("""WITH s AS (SELECT 'n' || s_nationkey AS path, row_number() OVER (PARTITION BY s_nationkey ORDER BY s_suppkey) AS r, s_suppkey, s_name FROM supplier)
-SELECT path, 'A' AS "column", CAST(r AS INT) AS "row", CAST(s_suppkey AS VARCHAR) AS value FROM s WHERE r BETWEEN 2 AND 1000000 UNION ALL SELECT path, 'C', CAST(r AS INT), s_name FROM s WHERE r <= 3""")
+SELECT path, 'A' AS "column", CAST(r AS INT) AS "row", CAST(s_suppkey AS VARCHAR) AS value FROM s WHERE r BETWEEN 2 AND 1048576 UNION ALL SELECT path, 'C', CAST(r AS INT), s_name FROM s WHERE r <= 3""")
 def workbook_cells(spark, sf_dir):
     """Cells of a workbook within ranges of two columns, numbers in place and texts through the shared strings."""
     s = load(spark, sf_dir, "supplier").select(F.concat(F.lit("n"), "s_nationkey").alias("path"), "s_suppkey", "s_name")
@@ -68,7 +68,7 @@ def workbook_cells(spark, sf_dir):
     book = F.lit(f'<workbook xmlns="{SPREADSHEET}" xmlns:r="{RELATIONS}"><sheets><sheet name="T" r:id="x1"/></sheets></workbook>')
     rels = F.lit('<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="x1" Target="worksheets/sheet1.xml"/></Relationships>')
     members = F.create_map(*[x for k, v in {"xl/workbook.xml": book, "xl/_rels/workbook.xml.rels": rels, "xl/worksheets/sheet1.xml": sheet, "xl/sharedStrings.xml": strings}.items() for x in (F.lit(k), v)])
-    return workbook(packed(g.select("path", F.explode(members).alias("name", "text"))), "T", (("A", 2, 1_000_000), ("C", 1, 3)))
+    return workbook(packed(g.select("path", F.explode(members).alias("name", "text"))), "T", (("A", 2, 1_048_576), ("C", 1, 3)))
 
 
 @query("""SELECT p_partkey, '{"brand":"' || p_brand || '","name":"' || p_name || '","size":' || p_size || '}' AS artifact FROM part""")

@@ -16,6 +16,7 @@ from ledgerlake.operators.splits import TRAIN, Chunk, _chunks
 
 START, STEP, WIDTH, SPREAD = 2000, 36, 6.0, 100.0  # rows of the first sample, growth, band in errors, scale of u
 PIVOTS = 2000
+MOST_PASSES = 30  # until a fit counts as failed
 TINY = 1e-11  # ties are broken by so much
 HELD = 1 << 18  # values that a task keeps before it hands them on
 FLOATS = pa.list_(pa.float64())
@@ -159,7 +160,9 @@ def fit(table, n_seeds: int, taus: tuple[float, ...], n_rows: int) -> tuple[np.n
         redo = np.zeros(n_fits, bool)
         redo[wrong] = True
         redo |= np.isnan(beta[:, 0]) & ~np.isnan(before[:, 0]) & ~done  # a band without a fit is too narrow as well
-        if not redo.any() or passes > 30:
+        if passes > MOST_PASSES:
+            beta[redo] = np.nan  # not proved: no fit, counted as a failure
+        if not redo.any() or passes > MOST_PASSES:
             return beta.reshape(n_seeds, len(taus), 3), np.full((n_seeds, len(taus)), passes)
         done = ~redo
         beta[redo], half[redo] = before[redo], last_half[redo] * 3
