@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ledgerlake.operators.orderstats import medians, quantiles
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import LEDGER_SQL, ledger, load
 
@@ -31,7 +32,9 @@ def eligibility_tally(spark, sf_dir):
 count(*) >= 30 AND quantile_cont(feature, 0.5) >= 50 AND quantile_cont(label, 0.5) < CAST(0.4 AS DOUBLE) AS suspect FROM ledger GROUP BY accession, chain""")
 def segment_medians(spark, sf_dir):
     """Exact medians by segment and the suspect screen."""
-    g = ledger(spark, sf_dir).groupBy("accession", "chain").agg(F.count("*").alias("n"), F.expr("percentile(label, 0.5D)").alias("m"), F.min("label").alias("a"), F.max("label").alias("b"), F.expr("percentile(feature, 0.5D)").alias("f"))
+    d, by = ledger(spark, sf_dir), ["accession", "chain"]
+    g = d.groupBy(by).agg(F.count("*").alias("n"), F.min("label").alias("a"), F.max("label").alias("b"))
+    g = g.join(medians(d, by, {"m": "label", "f": "feature"}), by)
     return g.select("accession", "chain", "n", F.round("m", 9).alias("median_label"), F.round("a", 9).alias("least"), F.round("b", 9).alias("most"), F.round("f", 9).alias("median_feature"), ((F.col("n") >= 30) & (F.col("f") >= 50) & (F.col("m") < 0.4)).alias("suspect"))
 
 
@@ -40,7 +43,7 @@ SELECT accession, entry, pos, round((label - m) / CASE WHEN b - a = 0 THEN 1 ELS
 def robust_z(spark, sf_dir):
     """A2: (x - median) / interquartile range within a group, range 0 taken as 1."""
     d = ledger(spark, sf_dir)
-    q = d.groupBy("accession").agg(F.expr("percentile(label, array(0.25D, 0.5D, 0.75D))").alias("q"))
+    q = quantiles(d, ["accession"], "label", [0.25, 0.5, 0.75])
     iqr = F.col("q")[2] - F.col("q")[0]
     return d.join(q, "accession").select("accession", "entry", "pos", F.round((F.col("label") - F.col("q")[1]) / F.when(iqr == 0, 1.0).otherwise(iqr), 6).alias("z"))
 
@@ -73,15 +76,18 @@ SELECT chain, count(*) AS units, round(avg(m), 9) AS macro_mean, (SELECT round(a
 def macro_micro(spark, sf_dir):
     """Means of unit means against row means, by stratum."""
     d = ledger(spark, sf_dir)
-    a = d.groupBy("chain", "accession").agg(F.avg("label").alias("m"), F.avg((F.col("label") < 0.3).cast("double")).alias("low"), F.expr("percentile(label, 0.5D)").alias("med"), F.sum("label").alias("s"), F.count("*").alias("n"))
-    return a.groupBy("chain").agg(F.count("*").alias("units"), F.round(F.avg("m"), 9).alias("macro_mean"), F.round(F.sum("s") / F.sum("n"), 9).alias("micro_mean"), F.round(F.avg("low"), 9).alias("mean_low_share"), F.round(F.expr("percentile(med, 0.5D)"), 9).alias("median_median"))
+    a = d.groupBy("chain", "accession").agg(F.avg("label").alias("m"), F.avg((F.col("label") < 0.3).cast("double")).alias("low"), F.sum("label").alias("s"), F.count("*").alias("n"))
+    each = medians(d, ["chain", "accession"], {"med": "label"})
+    middle = medians(each, ["chain"], {"m": "med"}).select("chain", F.round("m", 9).alias("median_median"))
+    units = a.groupBy("chain").agg(F.count("*").alias("units"), F.round(F.avg("m"), 9).alias("macro_mean"), F.round(F.sum("s") / F.sum("n"), 9).alias("micro_mean"), F.round(F.avg("low"), 9).alias("mean_low_share"))
+    return units.join(middle, "chain")
 
 
 @query(f"""WITH {LEDGER_SQL}, m AS (SELECT accession, entry, chain, quantile_cont(label, 0.5) AS m FROM ledger GROUP BY ALL)
 SELECT accession, entry, count(*) AS chains, round(max(m) - min(m), 9) AS spread FROM m GROUP BY ALL HAVING count(*) >= 2 AND max(m) - min(m) >= CAST(0.4 AS DOUBLE)""")
 def chain_extremes(spark, sf_dir):
     """Units whose chains differ by 0.4 or more in the median."""
-    m = ledger(spark, sf_dir).groupBy("accession", "entry", "chain").agg(F.expr("percentile(label, 0.5D)").alias("m"))
+    m = medians(ledger(spark, sf_dir), ["accession", "entry", "chain"], {"m": "label"})
     g = m.groupBy("accession", "entry").agg(F.count("*").alias("chains"), (F.max("m") - F.min("m")).alias("d"))
     return g.where("chains >= 2 and d >= 0.4D").select("accession", "entry", "chains", F.round("d", 9).alias("spread"))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import ascii_upper
+from ledgerlake.operators.orderstats import medians
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import LEDGER_SQL, ledger, load
 
@@ -61,7 +62,8 @@ SELECT accession, chain, CASE WHEN b.m IS NULL THEN 'only_original' WHEN a.m IS
 def version_comparison(spark, sf_dir):
     """Both, only left, only right; a median moves if it differs by over 0.2."""
     d = ledger(spark, sf_dir)
-    med = lambda x, s: x.groupBy("accession", "chain").agg(F.expr("percentile(label, 0.5D)").alias(f"m{s}"), F.count("*").alias(f"n_{s}"))
+    by = ["accession", "chain"]
+    med = lambda x, s: x.groupBy(by).agg(F.count("*").alias(f"n_{s}")).join(medians(x, by, {f"m{s}": "label"}), by)
     both = med(d, "original").join(med(corrected(d), "corrected"), ["accession", "chain"], "full_outer")
     outcome = F.when(F.col("mcorrected").isNull(), "only_original").when(F.col("moriginal").isNull(), "only_corrected").when(F.abs(F.col("moriginal") - F.col("mcorrected")) > 0.2, "moved").otherwise("kept")
     return both.select("accession", "chain", outcome.alias("outcome"), "n_original", "n_corrected")

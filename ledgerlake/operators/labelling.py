@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.operators.alignment import align_pairs
 from ledgerlake.operators.geometry import _POINTS, _SQUARE, M, R, TOLERANCES, RADIUS, lddt, superpose
+from ledgerlake.operators.orderstats import quantiles
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.cif import RESIDUES, alpha_carbons, cif_rows, polymer_sequence
 from ledgerlake.sources.sinks import stored
@@ -21,7 +22,7 @@ NO_CHAIN, OTHER_SEQUENCE = "E427_REF_NO_LABEL_ASYM", "E427_SEQUENCE_IDENTITY_FAI
 
 def robust_z(rows: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """rows with (value - median) / interquartile range of the group; a range of zero counts as one."""
-    q = rows.groupBy(by).agg(F.expr(f"percentile({value}, array(0.25D, 0.5D, 0.75D))").alias("_q"))
+    q = quantiles(rows, by, value, [0.25, 0.5, 0.75], "_q")
     width = F.col("_q")[2] - F.col("_q")[0]
     return rows.join(q, by).withColumn(out, (F.col(value) - F.col("_q")[1]) / F.when(width == 0, 1.0).otherwise(width)).drop("_q")
 

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 from ledgerlake.sources.sinks import stored
 
+#: Values of a group that one task may hold, ranges that a pass cuts a larger group's into, groups that are broadcast at most.
+LOCAL, CELLS, BROADCAST_GROUPS = 1 << 16, 1024, 100_000
+
 
 def average_ranks(rows: DataFrame, value: str, out: str) -> DataFrame:
     """(value, out): the rank of each distinct value among all rows, ties sharing their mean; nulls have none.
@@ -54,3 +57,79 @@ def places(rows: DataFrame, *order: Column | str, out: str = "_i") -> DataFrame:
         n += m
     before = F.broadcast(spark.createDataFrame(before, "_r long, _before long"))
     return placed.join(before, F.shiftright("_at", 33) == F.col("_r")).select(*rows.columns, (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).alias(out))
+
+
+def _matched(rows: DataFrame, groups: DataFrame, by: list[str], n: int, how: str = "inner") -> DataFrame:
+    """rows joined with a few groups, null keys included."""
+    keyed = groups.withColumnsRenamed({c: f"_by_{c}" for c in by})  # by name: both sides may stem from one table
+    on = [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]
+    return rows.join(F.broadcast(keyed) if n <= BROADCAST_GROUPS else keyed, on, how).drop(*[f"_by_{c}" for c in by])
+
+
+def narrowed(rows: DataFrame, by: list[str], targets: DataFrame, local: int) -> DataFrame:
+    """targets (*by, t, k, low, high, n): the k-th least of n values between low and high; to ranges of local values or one.
+
+    A pass counts, for the groups whose ranges are still too wide, the values of CELLS parts of each range, partially in
+    every task, and goes on with the part that holds the k-th. Ends of a part are values that occur in it, so every pass
+    leaves a part with fewer distinct values, whatever their distribution.
+    """
+    while True:
+        wide = (F.col("n") > local) & (F.col("low") < F.col("high"))
+        n_open = targets.where(wide).select(by).distinct().count()
+        if not n_open:
+            return targets
+        inside = _matched(rows, targets.where(wide), by, n_open).where(F.col("_v").between(F.col("low"), F.col("high")))
+        cell = F.least(F.floor((F.col("_v") - F.col("low")) / (F.col("high") - F.col("low")) * CELLS), F.lit(CELLS - 1))
+        parts = inside.groupBy(*by, "t", "k", cell.alias("cell")).agg(F.count("*").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+        parts = parts.withColumn("upto", F.sum("n").over(Window.partitionBy(*by, "t").orderBy("cell")))  # CELLS rows at most
+        hit = parts.where((F.col("upto") >= F.col("k")) & (F.col("upto") - F.col("n") < F.col("k")))
+        hit = hit.select(*by, "t", (F.col("k") - F.col("upto") + F.col("n")).alias("k"), "low", "high", "n")
+        targets = stored(targets.where(~wide).unionByName(hit), "targets")
+
+
+def finite(value: str) -> Column:
+    v = F.col(value).cast("double")
+    odd = F.isnan(v) | (F.abs(v) == float("inf"))
+    return F.when(odd, F.raise_error(F.lit("quantiles of values that are not finite")).cast("double")).otherwise(v)
+
+
+def medians(rows: DataFrame, by: list[str], values: dict[str, str], local: int | None = None) -> DataFrame:
+    """(*by, *values): the medians of several columns, named by values; as quantiles() has them, in one pass where no group is large."""
+    most = rows.groupBy(by).count().agg(F.max("count")).first()[0] or 0
+    if most <= (LOCAL if local is None else local):
+        return rows.groupBy(by).agg(*[F.percentile(finite(v), F.lit(0.5)).alias(k) for k, v in values.items()])
+    each = [quantiles(rows, by, v, [0.5], k, local).withColumn(k, F.col(k)[0]) for k, v in values.items()]
+    out = each[0]
+    for more in each[1:]:
+        right = more.withColumnsRenamed({c: f"_by_{c}" for c in by})
+        out = out.join(right, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]).drop(*[f"_by_{c}" for c in by])
+    return out
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, probs: list[float], out: str = "q", local: int | None = None) -> DataFrame:
+    """(*by, out): interpolated quantiles of each group's values as an array, null where it has none.
+
+    Groups of at most local values finish in a task; larger ones, however few hold all rows, narrow a range for each rank
+    they need, and only a range's values meet in a task. Null values take no part, values that are not finite are refused.
+    """
+    local = LOCAL if local is None else local
+    held = rows.select(*by, finite(value).alias("_v"))
+    counts = held.groupBy(by).agg(F.count("_v").alias("n"), F.min("_v").alias("low"), F.max("_v").alias("high"))
+    large = stored(counts.where(F.col("n") > local), "large")
+    n_large = large.count()
+    exact = F.percentile("_v", F.array(*[F.lit(float(p)) for p in probs])).alias(out)
+    if not n_large:
+        return held.groupBy(by).agg(exact)
+    small = _matched(held, large.select(by), by, n_large, "left_anti").groupBy(by).agg(exact)
+    rows_of = _matched(held.where("_v is not null"), large.select(by), by, n_large)
+    place = [F.lit(float(p)) * (F.col("n") - 1) for p in probs]
+    ranks = F.array(*[F.struct(F.lit(2 * i + j).alias("t"), (f(x) + 1).alias("k")) for i, x in enumerate(place) for j, f in enumerate((F.floor, F.ceil))])
+    targets = stored(large.select(*by, "low", "high", "n", F.explode(ranks).alias("r")).select(*by, "r.t", "r.k", "low", "high", "n"), "targets")
+    targets = narrowed(rows_of, by, targets, local)
+    inside = _matched(rows_of, targets.where("low < high"), by, n_large).where(F.col("_v").between(F.col("low"), F.col("high")))
+    nth = inside.withColumn("i", F.row_number().over(Window.partitionBy(*by, "t").orderBy("_v"))).where("i = k").select(*by, "t", "_v")
+    found = nth.unionByName(targets.where("low = high").select(*by, "t", F.col("low").alias("_v")))
+    found = found.groupBy(by).agg(F.map_from_entries(F.collect_list(F.struct("t", "_v"))).alias("_at"))
+    found = _matched(found, large.select(*by, "n"), by, n_large)
+    between = [F.when(F.floor(x) == F.ceil(x), F.col("_at")[2 * i]).otherwise((F.ceil(x) - x) * F.col("_at")[2 * i] + (x - F.floor(x)) * F.col("_at")[2 * i + 1]) for i, x in enumerate(place)]
+    return small.unionByName(found.select(*by, F.array(*between).alias(out)))
