@@ -26,14 +26,42 @@ def first_match(spark, sf_dir):
 p AS (SELECT s_suppkey, s_nationkey AS k, CAST(floor(s_acctbal) AS BIGINT) AS x FROM supplier)
 SELECT s_suppkey, count(id) AS hits, CASE WHEN count(DISTINCT x - a) = 1 THEN 'mapped' WHEN count(id) = 0 THEN 'unmapped' ELSE 'ambiguous' END AS status FROM p LEFT JOIN seg ON p.k = seg.k AND x BETWEEN a AND b GROUP BY s_suppkey""")
 def point_in_interval(spark, sf_dir):
-    """Range join. Points and intervals meet on (key, bin of 64), so that no key is compared whole; statuses typed."""
-    width = 64
+    """Points against closed intervals of their key by dyadic nodes; statuses typed."""
     seg = load(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("k"), F.floor("c_acctbal").alias("a"), (F.floor("c_acctbal") + 40).alias("b"))
-    seg = seg.select("k", "a", "b", F.explode(F.sequence(F.floor(F.col("a") / width), F.floor(F.col("b") / width))).alias("bin"))
-    p = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.floor("s_acctbal").alias("x")).withColumn("bin", F.floor(F.col("x") / width))
-    hit = p.join(seg, (p["k"] == seg["k"]) & (p["bin"] == seg["bin"]) & F.col("x").between(F.col("a"), F.col("b")), "left")
-    g = hit.groupBy("s_suppkey").agg(F.count("a").alias("hits"), F.count_distinct(F.col("x") - F.col("a")).alias("spots"))
-    return g.select("s_suppkey", "hits", F.when(F.col("spots") == 1, "mapped").when(F.col("hits") == 0, "unmapped").otherwise("ambiguous").alias("status"))
+    p = load(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("k"), F.floor("s_acctbal").alias("x"))
+    g = interval_hits(p, seg, ["s_suppkey"])
+    status = F.when(F.col("hits") == 0, "unmapped").when(F.col("least") == F.col("most"), "mapped").otherwise("ambiguous")
+    return g.select("s_suppkey", "hits", status.alias("status"))
+
+
+def dyadic_nodes(a: Column, b: Column, depth: int) -> Column:
+    """The nodes (level, place) of a binary tree over the integers that make up a closed interval: two a level at most.
+
+    Node (l, i) covers 2^l numbers from i * 2^l; depth must reach the logarithm of the longest interval.
+    """
+    levels = []
+    for n in range(depth + 1):
+        first, end = -F.shiftright(-a, n), F.shiftright(b + 1, n)
+        for inside, place in ((F.pmod(first, F.lit(2)) == 1, first), (F.pmod(end, F.lit(2)) == 1, end - 1)):
+            levels.append(F.when((first < end) & inside, F.struct(F.lit(n).alias("level"), place.alias("place"))))
+    return F.array_compact(F.array(*levels))
+
+
+def interval_hits(points: DataFrame, segments: DataFrame, ids: list[str]) -> DataFrame:
+    """points (*ids, k, x), segments (k, a, b) of integers; to (*ids, hits, least, most): how many segments hold the point, and the least and greatest of their starts.
+
+    A segment is cut into nodes of a binary tree, a node keeps the number and the ends of the starts of its segments (partial in every task), and a
+    point meets its ancestors, one a level: no pair of a point and a segment is ever made, however many hold a point.
+    Segments that end before they start, or have a null, hold nothing.
+    """
+    whole = segments.select("k", F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <= b")
+    longest = whole.agg(F.max(F.col("b") - F.col("a") + 1)).first()[0] or 1
+    depth = int(longest).bit_length()
+    nodes = whole.select("k", "a", F.explode(dyadic_nodes(F.col("a"), F.col("b"), depth)).alias("n"))
+    nodes = nodes.groupBy("k", "n.level", "n.place").agg(F.count("*").alias("hits"), F.min("a").alias("least"), F.max("a").alias("most"))
+    above = F.array(*[F.struct(F.lit(n).alias("level"), F.shiftright(F.col("x").cast("long"), n).alias("place")) for n in range(depth + 1)])
+    met = points.select(*ids, "k", F.explode(above).alias("n")).select(*ids, "k", "n.level", "n.place").join(nodes, ["k", "level", "place"], "left")
+    return met.groupBy(ids).agg(F.coalesce(F.sum("hits"), F.lit(0)).alias("hits"), F.min("least").alias("least"), F.max("most").alias("most"))
 
 
 @query("""WITH a AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders WHERE o_orderstatus = 'F' GROUP BY 1), b AS (SELECT o_custkey, min(o_orderdate) AS d FROM orders WHERE o_orderstatus = 'O' GROUP BY 1)
