@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import functions as F
 
 from ledgerlake.plans.registry import query
@@ -30,22 +29,3 @@ def pava(y: np.ndarray, w: np.ndarray, total: np.ndarray | None = None) -> np.nd
             weight[-1] += b
             size[-1] += n
     return np.repeat(np.array(sums) / np.array(weight), size)
-
-
-@query(f"""WITH {LEDGER_SQL},
-g AS (SELECT chain, feature AS f, count(*) AS n, CAST(sum(CAST(round(label * 10000000) AS BIGINT)) AS BIGINT) AS t FROM ledger GROUP BY ALL),
-u AS (SELECT chain, f, sum(n) OVER w AS n, sum(t) OVER w AS t, sum(n) OVER w - n AS n0, sum(t) OVER w - t AS t0 FROM g WINDOW w AS (PARTITION BY chain ORDER BY f ROWS UNBOUNDED PRECEDING)),
-m AS (SELECT a.chain, a.f AS a, b.f AS b, CAST(b.t - a.t0 AS DOUBLE) / CAST(b.n - a.n0 AS DOUBLE) AS v FROM u a JOIN u b ON a.chain = b.chain AND a.f <= b.f),
-k AS (SELECT m.chain, a, g.f, min(v) AS v FROM m JOIN g ON g.chain = m.chain AND a <= g.f AND g.f <= b GROUP BY ALL)
-SELECT chain, f AS feature, round(max(v) / 1e7, 9) AS fit FROM k GROUP BY ALL""")
-def isotonic_fit(spark, sf_dir):
-    """M4: isotonic regression of the label on the feature, by chain; a task fits a chain's distinct features, at most as many as two decimals have."""
-    d = ledger(spark, sf_dir)
-    points = d.groupBy("chain", "feature").agg(F.sum(F.round(F.col("label") * 10_000_000).cast("long")).alias("t"), F.count("*").alias("n"))
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("feature")
-        t, n = pdf["t"].to_numpy(float), pdf["n"].to_numpy(float)
-        return pdf[["chain", "feature"]].assign(fit=pava(t / n, n, t) / 1e7)
-
-    return points.groupBy("chain").applyInPandas(fit, "chain string, feature double, fit double").withColumn("fit", F.round("fit", 9))
