@@ -87,7 +87,7 @@ m AS (SELECT a.chain, a.f AS a, b.f AS b, CAST(b.t - a.t0 AS DOUBLE) / CAST(b.n
 k AS (SELECT m.chain, a, g.f, min(v) AS v FROM m JOIN g ON g.chain = m.chain AND a <= g.f AND g.f <= b GROUP BY ALL)
 SELECT chain, f AS feature, round(max(v) / 1e7, 9) AS fit FROM k GROUP BY ALL""")
 def isotonic_fit(spark, sf_dir):
-    """M4: isotonic regression of the label on the feature, by chain; segments of more than 16 features are cut first."""
+    """M4: isotonic regression of the label on the feature, by chain."""
     d = ledger(spark, sf_dir)
     points = d.groupBy("chain", F.col("feature").alias("x")).agg(F.sum(F.round(F.col("label") * 10_000_000).cast("long")).alias("t"), F.count("*").alias("n"))
-    return isotonic(points, "chain", 16).select("chain", F.col("x").alias("feature"), F.round(F.col("fit") / 1e7, 9).alias("fit"))
+    return isotonic(points, "chain").select("chain", F.col("x").alias("feature"), F.round(F.col("fit") / 1e7, 9).alias("fit"))
