@@ -49,6 +49,10 @@ def isotonic(points: DataFrame, group: str, local: int = LOCAL) -> DataFrame:
     """
     kind, keep = points.schema[group].dataType.simpleString(), ["g", "part", "x", "n", "t", "cn", "ct"]
     rows = points.select(F.struct(F.col(group).alias("k")).alias("g"), "x", F.col("n").cast("long").alias("n"), F.col("t").cast("long").alias("t")).where("x is not null and n > 0")
+    x, rows = points.schema["x"].dataType.simpleString(), stored(rows, "rows")
+    form = f"g struct<k:{kind}>, x {x}, fit double"
+    if (rows.groupBy("g").count().agg(F.max("count")).first()[0] or 0) <= local:  # no group is long
+        return rows.groupBy("g").applyInPandas(_fit, form).select(F.col("g.k").alias(group), "x", "fit")
     d, done, blocks = stored(placed(rows).withColumn("seg", F.lit(0).cast("long")), "placed"), [], []
     big, key = lambda c: c.cast("decimal(20,0)"), ["g", "seg", "part"]
     whole = Window.partitionBy("g", "seg")
@@ -68,8 +72,7 @@ def isotonic(points: DataFrame, group: str, local: int = LOCAL) -> DataFrame:
         blocks.append(cut.where(~under).select("g", "x", (F.col("t1").cast("double") / F.col("n1")).alias("fit")))
         d = stored(cut.where(under).select(*keep, F.when(F.col("cn") > F.col("low.cn"), F.col("low.cn")).otherwise(F.col("seg")).alias("seg")), "cut")
     short = reduce(DataFrame.unionAll, done).select("g", "seg", "x", "n", "t")
-    x = points.schema["x"].dataType.simpleString()
-    out = reduce(DataFrame.unionAll, blocks, short.groupBy("g", "seg").applyInPandas(_fit, f"g struct<k:{kind}>, x {x}, fit double"))
+    out = reduce(DataFrame.unionAll, blocks, short.groupBy("g", "seg").applyInPandas(_fit, form))
     return out.select(F.col("g.k").alias(group), "x", "fit")
 
 
