@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ledgerlake.functions.text import ascii_upper
 from ledgerlake.operators.orderstats import medians
+from ledgerlake.operators.setjoin import similar_sets
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import LEDGER_SQL, ledger, load
 
@@ -168,26 +169,13 @@ def roster(spark, sf_dir):
 def similar(units, least: float = JACCARD, mode: str = "jaccard"):
     """(a, b, shared, score) of pairs a < b of sequences of 100 or more that share enough 6-grams: a Jaccard similarity, or, in mode shared_kmer, a number of them.
 
-    Grams are ordered by rarity. Two sets that are similar enough share one of the grams that each has before its last
-    ones, as many as it may lack; so the commonest grams, held by most units, make no pairs. Sets of candidates are then
-    compared whole. (The mode without a filter, all pairs, is not built: nothing bounds it.)
+    (The mode without a filter, all pairs, is not built: nothing bounds it.)
     """
     if mode not in ("jaccard", "shared_kmer"):
         raise ValueError(f"mode {mode!r}")
-    u = units.where(F.char_length("seq") >= LEAST_LENGTH)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.char_length("seq") - K + 1), lambda i: F.substring("seq", i, F.lit(K))))
-    u = u.select("unit", grams.alias("grams"))
-    each = u.select("unit", F.size("grams").alias("n"), F.explode("grams").alias("g"))
-    rarity = each.groupBy("g").agg(F.count("*").alias("df")).where("df > 1")
-    place = F.expr("row_number() over (partition by unit order by df desc, g)")  # from the commonest
-    needed = F.ceil(F.col("n") * least) if mode == "jaccard" else F.lit(int(least))
-    k = each.join(rarity, "g").withColumn("i", place).where(F.col("i") >= needed).select("unit", "g")
-    found = k.withColumnRenamed("unit", "a").join(k.withColumnRenamed("unit", "b"), "g").where("a < b").select("a", "b").distinct()
-    sets = lambda name: u.select(F.col("unit").alias(name), F.col("grams").alias(f"grams_{name}"))
-    p = found.join(sets("a"), "a").join(sets("b"), "b").withColumn("shared", F.size(F.array_intersect("grams_a", "grams_b")))
-    union = F.size("grams_a") + F.size("grams_b") - F.col("shared")
-    enough, score = (F.col("shared") >= least * union, F.round(F.col("shared") / union, 9)) if mode == "jaccard" else (F.col("shared") >= least, F.col("shared").cast("double"))
-    return p.where(enough).select("a", "b", F.col("shared").cast("long").alias("shared"), score.alias("score"))
+    sets = units.where(F.char_length("seq") >= LEAST_LENGTH).select("unit", grams.alias("elements"))
+    return similar_sets(sets, least, "jaccard" if mode == "jaccard" else "shared")
 
 
 @query(f"""WITH {_ROSTER}, {_PAIRS}
