@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
@@ -20,18 +20,22 @@ class CheckpointError(ValueError):
         self.code, self.detail = code, detail
 
 
+def row_bits(columns: list[str]) -> Column:
+    """60 bits of the SHA-256 of a row, over columns sorted by name."""
+    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(columns)]), {"ignoreNullFields": "false"})
+    return F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
+
+
 def content_digest(df: DataFrame) -> str:
     """A digest of the rows, whatever their order: their number and the sum of 60 bits of each row's SHA-256, over columns sorted by name."""
-    row = F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(df.columns)]), {"ignoreNullFields": "false"})
-    bits = F.conv(F.substring(F.sha2(row, 256), 1, 15), 16, 10).cast("decimal(38,0)")
-    n, total = df.agg(F.count("*"), F.coalesce(F.sum(bits), F.lit(0).cast("decimal(38,0)"))).first()
+    n, total = df.agg(F.count("*"), F.coalesce(F.sum(row_bits(df.columns)), F.lit(0).cast("decimal(38,0)"))).first()
     return f"{n}:{int(total):x}"
 
 
-def write_once(df: DataFrame, path: str) -> None:
-    """K1, K2: a new table, committed as a whole; one that is there is never replaced."""
+def write_once(df: DataFrame, path: str, by: list[str] | None = None) -> None:
+    """K1, K2: a new table, committed as a whole, in directories by columns where named; one that is there is never replaced."""
     try:
-        df.write.mode("errorifexists").parquet(path)
+        df.write.mode("errorifexists").parquet(path, partitionBy=by)
     except AnalysisException as e:
         if e.getCondition() == "PATH_ALREADY_EXISTS":
             raise CheckpointError(EXISTS, path) from e
