@@ -214,7 +214,7 @@ def bootstrap_median(spark, sf_dir):
             for r in blocks(len(chunk.y), REPLICATES):
                 yield r, weights(chunk, r)
 
-        middle = lambda n: np.stack([(n + 1) // 2, n // 2 + 1], axis=-1) * (n > 0)[..., None]
+        middle = lambda n: np.stack([(n + 1) // 2, n // 2 + 1], axis=-1) * ((n > 0) & (np.arange(n.shape[1]) < 2))[..., None]  # noqa: E731  of the groups, not of the whole
         # medians of replicates lie near the sample's; lengths further off fall into the outer ranges
         off = [min(0.5, 4 / n**0.5) for n in (n0, n1)]
         near = [F.percentile_approx(F.when(F.col("r.z") % 2 == g, F.col("r.y")), [0.5 - w, 0.5 + w], 1000) for g, w in enumerate(off)]

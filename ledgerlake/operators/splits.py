@@ -12,6 +12,7 @@ caller's parameters fix.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from hashlib import sha256
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ CELLS = 256  # ranges that a score is cut into at once
 FETCHED = 4_000_000  # values fetched at most, over all seeds and strata, unless they cannot be told apart
 DEPTH = 8  # passes after which the values of a range are fetched however many they are
 HELD = 1 << 21  # counted positions kept before they are added up
+PACKED = 1 << 12  # counters that travel as one value
+LOOKED = 1 << 20  # counters that the driver holds at once
 COLUMNS = ("x", "y", "z")
 
 
@@ -63,11 +66,74 @@ def roles(accessions: DataFrame, seeds: int, share: Callable[[int], tuple[int, i
     return known.where(~open_).select("seed", "accession", plain.alias("role")).unionByName(told)
 
 
+def _digests(name: str | None, seeds: int) -> list[bytes]:
+    """As roles() makes them; a null name adds nothing to the number."""
+    tail = b"" if name is None else b":" + name.encode()
+    return [sha256(b"%d%b" % (seed, tail)).digest() for seed in range(seeds)]
+
+
+def _first_bytes(batches, seeds: int) -> Iterator[pa.RecordBatch]:
+    """How many accessions' digests begin with each byte, by seed."""
+    total, offset = np.zeros(seeds * 256, np.int64), np.arange(seeds) * 256
+    for b in batches:
+        for name in b["name"].to_pylist():
+            total[offset + np.fromiter((d[0] for d in _digests(name, seeds)), np.int64, seeds)] += 1
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
+
+
+OPEN = ord("?")
+
+
 def role_bytes(accessions: DataFrame, seeds: int, share: Callable[[int], tuple[int, int]] = quarters) -> DataFrame:
-    """(accession, roles): a byte a seed, in the order of seeds."""
-    listed = F.sort_array(F.collect_list(F.struct("seed", "role")))
-    told = roles(accessions, seeds, share).groupBy("accession").agg(listed.alias("r"))
-    return told.select("accession", F.encode(F.array_join(F.transform("r", lambda r: r["role"].cast("string")), ""), "US-ASCII").alias("roles"))
+    """(accession, roles): a byte a seed, in the order of seeds; the roles are those of roles().
+
+    An accession's digests stay in its task, one row for all seeds; only the few in a range where a role ends travel as rows, to be ranked.
+    """
+    each = stored(accessions.select("accession").distinct().withColumn("name", F.col("accession").cast("string")), "names")
+    n = each.count()
+    found = each.mapInArrow(lambda it: _first_bytes(it, seeds), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
+    count = np.zeros((seeds, 256), np.int64)
+    count.ravel()[found["at"].to_numpy()] = found["n"].to_numpy()
+    upto, ends = count.cumsum(axis=1), share(n)
+    last = np.stack([((upto >= e) & (count > 0)).argmax(axis=1) for e in ends])  # the range in which each role ends
+    byte = np.arange(256)[None, :]
+    table = np.where(byte < last[0][:, None], TRAIN, np.where(byte < last[1][:, None], CALIBRATION, TEST)) + ord("0")
+    table = np.where((byte == last[0][:, None]) | (byte == last[1][:, None]), OPEN, table).astype(np.uint8)
+    before = (upto - count).astype(np.int64)
+
+    def told(batches):
+        every = np.arange(seeds)
+        for b in batches:
+            roles, open_ = [], []
+            for name in b["name"].to_pylist():
+                digests = _digests(name, seeds)
+                first = np.fromiter((d[0] for d in digests), np.int64, seeds)
+                mine = table[every, first]
+                roles.append(mine.tobytes())
+                open_.append([{"seed": s, "d": digests[s], "before": int(before[s, first[s]])} for s in np.flatnonzero(mine == OPEN).tolist()])
+            kind = pa.list_(pa.struct([("seed", pa.int32()), ("d", pa.binary()), ("before", pa.int64())]))
+            yield pa.RecordBatch.from_arrays([b["accession"], b["name"], pa.array(roles, pa.binary()), pa.array(open_, kind)], ["accession", "name", "roles", "open"])
+
+    schema = f"accession {each.schema['accession'].dataType.simpleString()}, name string, roles binary, open array<struct<seed int, d binary, before bigint>>"
+    known = stored(each.mapInArrow(told, schema), "known")
+    place = F.expr("row_number() over (partition by seed, before order by d, accession) - 1") + F.col("before")
+    ranked = known.select("accession", F.inline("open")).withColumn("_i", place)
+    role = F.when(F.col("_i") < ends[0], TRAIN).when(F.col("_i") < ends[1], CALIBRATION).otherwise(TEST)
+    settled = ranked.select("accession", "seed", role.alias("role")).groupBy("accession").agg(F.collect_list(F.struct("seed", "role")).alias("settled"))
+
+    def patched(batches):
+        for b in batches:
+            out = []
+            for roles, ranks in zip(b["roles"].to_pylist(), b["settled"].to_pylist(), strict=True):
+                mine = bytearray(roles)
+                for r in ranks or ():
+                    mine[r["seed"]] = ord("0") + r["role"]
+                out.append(bytes(mine))
+            yield pa.RecordBatch.from_arrays([b["accession"], pa.array(out, pa.binary())], ["accession", "roles"])
+
+    both = known.select("accession", "roles").join(settled.withColumnRenamed("accession", "_by"), F.col("accession").eqNullSafe(F.col("_by")), "left").select("accession", "roles", "settled")
+    return both.mapInArrow(patched, f"accession {each.schema['accession'].dataType.simpleString()}, roles binary")
 
 
 def chunks(rows: DataFrame, identity: list[str], seeds: int, share: Callable[[int], tuple[int, int]] = quarters) -> tuple[DataFrame, tuple[float, float], int]:
@@ -122,19 +188,52 @@ def _rows_of(strata: np.ndarray, stratum: int, whole: int) -> np.ndarray:
 class Targets:
     """The ranks that are sought: one a seed and target, and the nested ranges in which they lie."""
 
-    def __init__(self, stratum: list[int], levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rank: np.ndarray):
-        self.stratum, self.levels, self.rank = stratum, levels, rank  # a level is (low, scale, cell) by seed and target
+    def __init__(self, stratum: list[int], rank: np.ndarray):
+        self.stratum, self.levels, self.rank = stratum, [], rank  # a level is (low, scale, cell) by seed and target
+        self.low, self.high = np.full(rank.shape, -np.inf), np.full(rank.shape, np.inf)
 
     @staticmethod
     def cell(score: np.ndarray, low: np.ndarray, scale: np.ndarray) -> np.ndarray:
         """The range of a score: never falls as the score rises."""
-        return np.clip(np.floor((score - low) * scale), 0, CELLS - 1).astype(np.int64)
-
-    def inside(self, score: np.ndarray, seeds: np.ndarray, t: int) -> np.ndarray:
-        out = np.ones(score.shape, bool)
-        for low, scale, cell in self.levels:
-            out &= self.cell(score, low[seeds, t, None], scale[seeds, t, None]) == cell[seeds, t, None]
-        return out & (self.rank[seeds, t, None] > 0)
+        return np.clip((score - low) * scale, 0, CELLS - 1).astype(np.int64)
+
+    def narrow(self, low: np.ndarray, scale: np.ndarray, cell: np.ndarray):
+        """A further level. Its ends are kept too, a little wider than rounding can move a score, to pass over most rows at once."""
+        self.levels.append((low, scale, cell))
+        width = np.divide(1.0, scale, out=np.full(scale.shape, np.inf), where=scale > 0)
+        begin, end = (np.where((cell == k) | (scale <= 0), sign * np.inf, low + np.where(scale > 0, cell + (sign > 0), 0) * np.where(scale > 0, width, 0)) for k, sign in ((0, -1), (CELLS - 1, 1)))
+        slack = lambda x: np.where(np.isfinite(x), 1e-12 * (np.abs(x) + np.abs(low)) + 1e-6 * np.where(np.isfinite(width), width, 0), 0)
+        self.low, self.high = np.maximum(self.low, begin - slack(begin)), np.minimum(self.high, end + slack(end))
+
+    def hits(self, chunk: Chunk, seeds: np.ndarray, score: Score, g: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+        """(target, places i in seeds, rows, scores) of the rows whose scores lie in all ranges of their seed's target."""
+        s, sorted_of, whole = score(chunk, seeds), {}, max(self.stratum)
+        for t, stratum in enumerate(self.stratum):
+            sought = self.rank[seeds, t] > 0
+            if not sought.any():
+                continue
+            low, high = np.where(sought, self.low[seeds, t], np.inf), np.where(sought, self.high[seeds, t], -np.inf)
+            if stratum not in sorted_of:
+                rows = _rows_of(g, stratum, whole)
+                part = s[:, rows]
+                order = np.argsort(part[0], kind="stable") if len(s) == 1 else None
+                sorted_of[stratum] = rows, part, order
+            rows, part, order = sorted_of[stratum]
+            if order is not None:  # one score for all seeds
+                values = part[0, order]
+                begin, end = np.searchsorted(values, low, "left"), np.searchsorted(values, high, "right")
+                many = np.maximum(end - begin, 0)
+                i = np.repeat(np.arange(len(seeds)), many)
+                j = order[np.arange(len(i)) - np.repeat(np.cumsum(many) - many - begin, many)]
+                v = part[0, j]
+            else:
+                i, j = np.divmod(np.flatnonzero((part >= low[:, None]) & (part <= high[:, None])), max(1, len(rows)))
+                v = part[i, j]
+            inside = np.ones(len(v), bool)
+            for level in self.levels:
+                lo, scale, cell = (x[seeds[i], t] for x in level)
+                inside &= self.cell(v, lo, scale) == cell
+            yield t, i[inside], rows[j[inside]], v[inside]
 
 
 #: The splits, or replicates, in which a chunk takes part, in blocks: their numbers, and how often each row counts (None: once).
@@ -150,19 +249,18 @@ def of_role(role: int) -> Draws:
     return draws
 
 
-def _scores(chunk: Chunk, seeds: np.ndarray, score: Score) -> np.ndarray:
-    s = score(chunk, seeds)
-    return np.broadcast_to(s, (len(seeds), s.shape[-1]))
-
-
 def _often(values: np.ndarray, times: np.ndarray | None) -> np.ndarray:
     return values if times is None else np.repeat(values, times)
 
 
-def _counted(batches, size: int, positions: Callable[[Chunk], Iterator[np.ndarray]]) -> Iterator[pa.RecordBatch]:
+def _counted(batches, size: int, positions: Callable[[Chunk], Iterator]) -> Iterator[pa.RecordBatch]:
+    """positions gives flat places, each counted once, or (numbers of lines, counts along a line)."""
     total, held, n = np.zeros(size, np.int64), [], 0
     for chunk in _chunks(batches):
         for p in positions(chunk):
+            if isinstance(p, tuple):
+                total.reshape(-1, len(p[1]))[p[0]] += p[1]
+                continue
             held.append(p)
             n += len(p)
         if n > HELD:
@@ -170,17 +268,33 @@ def _counted(batches, size: int, positions: Callable[[Chunk], Iterator[np.ndarra
             held, n = [], 0
     if held:
         total += np.bincount(np.concatenate(held), minlength=size)
-    at = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["at", "n"])
-
-
-def _counts(table: DataFrame, shape: tuple[int, ...], positions: Callable[[Chunk], Iterator[np.ndarray]]) -> np.ndarray:
-    """Counts of flat positions within the shape, whose size the caller's parameters fix."""
-    size = int(np.prod(shape))
-    found = table.mapInArrow(lambda it: _counted(it, size, positions), "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toPandas()
-    out = np.zeros(size, np.int64)
-    out[found["at"].to_numpy()] = found["n"].to_numpy()
-    return out.reshape(shape)
+    size = -(-size // PACKED) * PACKED
+    lines = np.concatenate([total, np.zeros(size - len(total), np.int64)]).reshape(-1, PACKED)
+    block = np.flatnonzero(lines.any(axis=1))
+    yield pa.RecordBatch.from_arrays([pa.array(block), pa.array([lines[b].tobytes() for b in block], pa.binary())], ["block", "n"])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    total = np.zeros(PACKED, np.int64)
+    for n in group["n"]:
+        total += np.frombuffer(n.as_py(), np.int64)
+    return pa.table({"block": group["block"].slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+
+def _counts(table: DataFrame, shape: tuple[int, ...], positions: Callable[[Chunk], Iterator]) -> Iterator[tuple[slice, np.ndarray]]:
+    """Counts of flat positions within the shape, whose size the caller's parameters fix: by blocks of seeds, so that the driver holds few at once."""
+    size, each = int(np.prod(shape)), int(np.prod(shape[1:]))
+    found = table.mapInArrow(lambda it: _counted(it, size, positions), "block long, n binary").groupBy("block").applyInArrow(_added, "block long, n binary")
+    some = max(1, LOOKED // each)
+    if some < shape[0]:
+        found = stored(found, "counts")
+    for a in range(0, shape[0], some):
+        b = min(shape[0], a + some)
+        first, last = a * each // PACKED, (b * each - 1) // PACKED
+        out = np.zeros((last - first + 1) * PACKED, np.int64)
+        for block, n in found.where(F.col("block").between(first, last)).collect() if some < shape[0] else found.collect():
+            out[(block - first) * PACKED :][:PACKED] = np.frombuffer(n, np.int64)
+        yield slice(a, b), out[a * each - first * PACKED :][: (b - a) * each].reshape(b - a, *shape[1:])
 
 
 def select(table: DataFrame, n_seeds: int, draws: Draws, score: Score, bounds: tuple[float, float], ranks: Callable[[np.ndarray], np.ndarray], strata: Strata, n_strata: int) -> tuple[np.ndarray, np.ndarray]:
@@ -191,47 +305,56 @@ def select(table: DataFrame, n_seeds: int, draws: Draws, score: Score, bounds: t
     """
     low, high = bounds
     first_scale = CELLS / (high - low) if high > low else 0.0
-    whole = n_strata
 
-    def at_first(chunk: Chunk) -> Iterator[np.ndarray]:
+    def at_first(chunk: Chunk) -> Iterator:
         g = strata(chunk)
         for seeds, times in draws(chunk):
-            cell = Targets.cell(_scores(chunk, seeds, score), low, first_scale)
-            yield _often(((seeds[:, None] * n_strata + g[None, :]) * CELLS + cell).ravel(), None if times is None else times.ravel())
-
-    counts = _counts(table, (n_seeds, n_strata, CELLS), at_first)
-    counts = np.concatenate([counts, counts.sum(axis=1, keepdims=True)], axis=1)
-    n = counts.sum(axis=2)
-    wanted = ranks(n)
-    wanted = np.where(wanted <= n[:, :, None], wanted, 0)
-    each = wanted.shape[2]
-    stratum = [g for g in range(n_strata + 1) for _ in range(each)]
-    rank = wanted.reshape(n_seeds, -1)
-    targets, level_low, level_scale = Targets(stratum, [], rank), np.full(rank.shape, low), np.full(rank.shape, first_scale)
-    counts = np.repeat(counts, each, axis=1)
-    while True:
+            cell = Targets.cell(score(chunk, seeds), low, first_scale)
+            if len(cell) == 1 and times is None:
+                yield seeds, np.bincount(g * CELLS + cell[0], minlength=n_strata * CELLS)
+            else:
+                yield _often(((seeds[:, None] * n_strata + g[None, :]) * CELLS + cell).ravel(), None if times is None else times.ravel())
+
+    def located(block: slice, counts: np.ndarray):
+        """Which range holds each wanted rank, how many rows it has, and how many lie before."""
         upto = counts.cumsum(axis=2)
-        cell = np.minimum((upto < targets.rank[:, :, None]).sum(axis=2), CELLS - 1)
-        here = np.take_along_axis(counts, cell[:, :, None], 2)[:, :, 0]
-        before = np.take_along_axis(upto, cell[:, :, None], 2)[:, :, 0] - here
+        at = np.minimum((upto < targets.rank[block, :, None]).sum(axis=2), CELLS - 1)
+        cell[block] = at
+        here[block] = np.take_along_axis(counts, at[:, :, None], 2)[:, :, 0]
+        before[block] = np.take_along_axis(upto, at[:, :, None], 2)[:, :, 0] - here[block]
+
+    n, targets = np.zeros((n_seeds, n_strata + 1), np.int64), None
+    for block, counts in _counts(table, (n_seeds, n_strata, CELLS), at_first):
+        counts = np.concatenate([counts, counts.sum(axis=1, keepdims=True)], axis=1)
+        n[block] = counts.sum(axis=2)
+        wanted = ranks(n[block])
+        wanted = np.where(wanted <= n[block, :, None], wanted, 0)
+        if targets is None:
+            each = wanted.shape[2]
+            targets = Targets([g for g in range(n_strata + 1) for _ in range(each)], np.zeros((n_seeds, (n_strata + 1) * each), np.int64))
+            cell, here, before = (np.zeros(targets.rank.shape, np.int64) for _ in range(3))
+        targets.rank[block] = wanted.reshape(len(wanted), -1)
+        located(block, np.repeat(counts, each, axis=1))
+    stratum, rank = targets.stratum, targets.rank
+    level_low, level_scale = np.full(rank.shape, float(low)), np.full(rank.shape, first_scale)
+    while True:
         targets.rank = np.where(targets.rank > 0, targets.rank - before, 0)  # within the range
-        targets.levels.append((level_low, level_scale, cell))
+        targets.narrow(level_low, level_scale, cell)
         if np.where(targets.rank > 0, here, 0).sum() <= FETCHED or len(targets.levels) >= DEPTH:
             break
         width = np.divide(1.0, level_scale, out=np.zeros_like(level_scale), where=level_scale > 0)
         level_low, level_scale = level_low + cell * width, level_scale * CELLS
+        cell, here, before = (np.zeros_like(x) for x in (cell, here, before))
 
         def again(chunk: Chunk, low=level_low, scale=level_scale) -> Iterator[np.ndarray]:
             g = strata(chunk)
             for seeds, times in draws(chunk):
-                s = _scores(chunk, seeds, score)
-                for t, stratum_of in enumerate(targets.stratum):
-                    rows = _rows_of(g, stratum_of, whole)
-                    i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
-                    at = (seeds[i] * len(targets.stratum) + t) * CELLS + Targets.cell(s[i, rows[j]], low[seeds[i], t], scale[seeds[i], t])
-                    yield _often(at, None if times is None else times[i, rows[j]])
+                for t, i, rows, s in targets.hits(chunk, seeds, score, g):
+                    at = (seeds[i] * len(targets.stratum) + t) * CELLS + Targets.cell(s, low[seeds[i], t], scale[seeds[i], t])
+                    yield _often(at, None if times is None else times[i, rows])
 
-        counts = _counts(table, (n_seeds, len(stratum), CELLS), again)
+        for block, counts in _counts(table, (n_seeds, len(stratum), CELLS), again):
+            located(block, counts)
 
     # ranks of one range are fetched once, for the first of them
     first = np.broadcast_to(np.arange(len(stratum)), targets.rank.shape).copy()
@@ -256,14 +379,9 @@ def select(table: DataFrame, n_seeds: int, draws: Draws, score: Score, bounds: t
         for chunk in _chunks(batches):
             g = strata(chunk)
             for seeds, times in draws(chunk):
-                s = _scores(chunk, seeds, score)
-                for t, stratum_of in enumerate(targets.stratum):
-                    if not targets.rank[seeds, t].any():
-                        continue
-                    rows = _rows_of(g, stratum_of, whole)
-                    i, j = np.nonzero(targets.inside(s[:, rows], seeds, t))
-                    often = None if times is None else times[i, rows[j]]
-                    held.append((_often(seeds[i] * len(targets.stratum) + t, often), _often(s[i, rows[j]], often)))
+                for t, i, rows, s in targets.hits(chunk, seeds, score, g):
+                    often = None if times is None else times[i, rows]
+                    held.append((_often(seeds[i] * len(targets.stratum) + t, often), _often(s, often)))
                     size += len(held[-1][0])
                 if size > HELD:
                     yield batch()
@@ -283,13 +401,13 @@ def select(table: DataFrame, n_seeds: int, draws: Draws, score: Score, bounds: t
 
 
 def sums(table: DataFrame, n_keys: int, fields: list[str], part: Callable[[Chunk], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(key, *fields): sums over all chunks; part gives (keys, values by field) of a chunk, keys below n_keys."""
+    """(key, *fields): sums over all chunks; part gives (keys, values by field) of a chunk, keys below n_keys and without repeats."""
 
     def add(batches):
         total = np.zeros((n_keys, len(fields)))
         for chunk in _chunks(batches):
             for keys, values in part(chunk):
-                np.add.at(total, keys, values)
+                total[keys] += values
         at = np.flatnonzero(total.any(axis=1))
         yield pa.RecordBatch.from_arrays([pa.array(at), *[pa.array(total[at, i]) for i in range(len(fields))]], ["key", *fields])
 
