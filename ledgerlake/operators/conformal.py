@@ -130,25 +130,31 @@ def mondrian(e: Evaluation) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[n
     return np.where(own, mine - q, lo[:, None]), np.where(own, mine + q, hi[:, None]), ~own[:, :, 0], (lo, hi)
 
 
-def constant(lo: np.ndarray, hi: np.ndarray) -> Intervals:
-    def of(chunk: Chunk, s: np.ndarray, level: int):
-        return np.broadcast_to(lo[s, level, None], (len(s), len(chunk.y))), np.broadcast_to(hi[s, level, None], (len(s), len(chunk.y)))
+class Constant:
+    """Intervals with the same ends for all rows of a stratum: ends(seeds, level, stratum) gives two arrays of seeds."""
 
-    return of
+    def __init__(self, ends: Callable[[np.ndarray, int, int], tuple[np.ndarray, np.ndarray]]):
+        self.ends = ends
 
 
-def by_bin(lo: np.ndarray, hi: np.ndarray) -> Intervals:
-    def of(chunk: Chunk, s: np.ndarray, level: int):
-        b = bin_of(chunk.x)
-        return lo[s][:, b, level], hi[s][:, b, level]
+def constant(lo: np.ndarray, hi: np.ndarray) -> Constant:
+    return Constant(lambda s, level, _: (lo[s, level], hi[s, level]))
 
-    return of
+
+def by_bin(lo: np.ndarray, hi: np.ndarray) -> Constant:
+    """For runs() by bin."""
+    return Constant(lambda s, level, g: (lo[s, g, level], hi[s, g, level]))
+
+
+def _covered(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """How many of the sorted values lie from each lo to its hi, both included."""
+    return np.maximum(np.searchsorted(values, hi, "right") - np.searchsorted(values, lo, "left"), 0) * ~(np.isnan(lo) | np.isnan(hi))
 
 
 RUN_FIELDS = ["n_test", "covered", "width", "bias", "low"]
 
 
-def runs(e: Evaluation, intervals: Intervals, strata: Callable[[Chunk], np.ndarray] = lambda c: bin_of(c.x), n_strata: int = N_BINS, levels: tuple[int, ...] = tuple(range(len(LEVELS)))) -> DataFrame:
+def runs(e: Evaluation, intervals: Intervals | Constant, strata: Callable[[Chunk], np.ndarray] = lambda c: bin_of(c.x), n_strata: int = N_BINS, levels: tuple[int, ...] = tuple(range(len(LEVELS)))) -> DataFrame:
     """(seed, level, stratum, n_test, cov, width, bias, low_share) of test rows; strata without rows don't occur."""
 
     def part(chunk: Chunk):
@@ -159,12 +165,22 @@ def runs(e: Evaluation, intervals: Intervals, strata: Callable[[Chunk], np.ndarr
         has = np.eye(n_strata)[g]
         n, low = has.sum(axis=0), (chunk.y < 0.6) @ has
         at = np.flatnonzero(n)
+        keys = lambda i: ((s[:, None] * len(LEVELS) + i) * n_strata + at[None, :]).ravel()
+        if isinstance(intervals, Constant):
+            parts = [np.sort(chunk.y[g == stratum]) for stratum in at.tolist()]
+            for i in levels:
+                out = np.empty((len(s), len(at), len(RUN_FIELDS)))
+                for j, (stratum, y) in enumerate(zip(at.tolist(), parts, strict=True)):
+                    lo, hi = intervals.ends(s, i, stratum)
+                    for k, v in enumerate((len(y), _covered(y, lo, hi), (hi - lo) * len(y), y.sum() - (lo + hi) / 2 * len(y), low[stratum])):
+                        out[:, j, k] = v
+                yield keys(i), out.reshape(-1, len(RUN_FIELDS))
+            return
         for i in levels:
             lo, hi = intervals(chunk, s, i)
             inside = ((lo <= chunk.y) & (chunk.y <= hi)).astype(np.float64)
             fields = [np.broadcast_to(n, (len(s), n_strata)), inside @ has, (hi - lo) @ has, (chunk.y - (lo + hi) / 2) @ has, np.broadcast_to(low, (len(s), n_strata))]
-            keys = (s[:, None] * len(LEVELS) + i) * n_strata + at[None, :]
-            yield keys.ravel(), np.stack([f[:, at].ravel() for f in fields], axis=1)
+            yield keys(i), np.stack([f[:, at].ravel() for f in fields], axis=1)
 
     found = sums(e.table, e.seeds * len(LEVELS) * n_strata, RUN_FIELDS, part)
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.pmod(F.expr(f"key div {n_strata}"), F.lit(len(LEVELS))).cast("int") + 1)
@@ -402,9 +418,9 @@ def miss_concentration(spark, sf_dir):
         for b in batches:
             rows = []
             for accession, roles, y in zip(b["accession"].to_pylist(), b["roles"], b["y"], strict=True):
-                s, y = np.flatnonzero(np.frombuffer(roles.as_py(), np.uint8) - ord("0") == TEST), np.asarray(y.values)
-                hit = (lo[s, 0, None] <= y) & (y <= hi[s, 0, None])
-                rows.append((accession, hit.size, hit.size - int(hit.sum())))
+                s, y = np.flatnonzero(np.frombuffer(roles.as_py(), np.uint8) - ord("0") == TEST), np.sort(np.asarray(y.values))
+                tested = len(s) * len(y)
+                rows.append((accession, tested, tested - int(_covered(y, lo[s, 0], hi[s, 0]).sum())))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows, strict=True)], ["accession", "tested", "misses"])
 
