@@ -5,8 +5,10 @@ component are near copies. At 0.8 the bits of two fingerprints differ with proba
 more than the radius of op8 allows, so:
 
 1. A text has a fingerprint of BITS bits. Groups are made by samples of its bits, as many samples as a pair of just 0.8
-   needs to meet in MEETINGS groups on average; a group's texts within RADIUS bits are candidates. Pivot tables prune
-   nothing at this radius, since distances of unrelated fingerprints to a pivot vary by far less.
+   needs to meet in MEETINGS groups on average. In a group, a table holds each fingerprint's Hamming distances to PIVOTS
+   reference fingerprints, as in op8: pairs that differ by more than RADIUS in one of them are out, the others are
+   compared bit by bit, and those within RADIUS bits are candidates. The table prunes few pairs at this radius, since
+   distances of unrelated fingerprints to a pivot vary by less; it loses none.
 2. Candidates' components (a superset of those sought, as far as SimHash finds them) are dealt out with their texts, and
    all pairs of a component are compared by their shingle sets, exactly.
 
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, sized, skewed_left, written
 from .components import components
-from .simhash import _bit_counts, forest, shingle_hashes
+from .simhash import PIVOTS, _bit_counts, forest, shingle_hashes
 
 SHINGLE, LEAST, BITS, RADIUS, MEETINGS, CHUNK, TEXTS, SEED = 5, 0.8, 128, 32, 6, 1000, 250, 42
 BYTES = 2 << 20  # of text in a chunk, very long texts apart
@@ -70,15 +72,31 @@ def samples(n: int, least: float = LEAST) -> list[tuple[int, int]]:
     return [(signed(sum(1 << b for b in c if b < 64)), signed(sum(1 << b - 64 for b in c if b >= 64))) for c in chosen]
 
 
-def _candidates(group: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int):
+def pivots(n: int = PIVOTS) -> np.ndarray:
+    """Reference fingerprints: rows of (x, y)."""
+    return np.random.default_rng(SEED).integers(0, 1 << 64, (n, 2), np.uint64)
+
+
+def distances(x: np.ndarray, y: np.ndarray, refs: np.ndarray) -> np.ndarray:
+    """The pivot table: Hamming distances of fingerprints to references."""
+    return (np.bitwise_count(x[:, None] ^ refs[None, :, 0]) + np.bitwise_count(y[:, None] ^ refs[None, :, 1])).astype(np.int16)
+
+
+def _candidates(group: np.ndarray, x: np.ndarray, y: np.ndarray, radius: int, refs: np.ndarray):
     """Yield places (i, j) of texts of one group within the radius; rows are sorted by group."""
+    coords = distances(x, y, refs)
     left = np.arange(len(group))
     for d in range(1, len(group)):
         left = left[left + d < len(group)]
         left = left[group[left] == group[left + d]]
         if not len(left):
             return
-        i = left[np.bitwise_count(x[left] ^ x[left + d]) + np.bitwise_count(y[left] ^ y[left + d]) <= radius]
+        i = left
+        for p in range(len(refs)):
+            i = i[np.abs(coords[i, p] - coords[i + d, p]) <= radius]
+            if not len(i):
+                break
+        i = i[np.bitwise_count(x[i] ^ x[i + d]) + np.bitwise_count(y[i] ^ y[i + d]) <= radius]
         if len(i):
             yield i, i + d
 
@@ -89,11 +107,11 @@ def _joined(a: list, b: list) -> tuple[list, list]:
 
 
 def _candidate_batches(batches, radius: int):
-    kept = None
+    kept, refs = None, pivots()
 
     def solve(group, node, x, y):
         a, b, held = [], [], 0
-        for i, j in _candidates(group, x.view(np.uint64), y.view(np.uint64), radius):
+        for i, j in _candidates(group, x.view(np.uint64), y.view(np.uint64), radius, refs):
             a.append(node[i])
             b.append(node[j])
             held += len(i)
