@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ledgerlake.plans.registry import query
@@ -15,37 +17,56 @@ from ledgerlake.sources.tables import load
 DEEPEST = 100
 
 
-def kind_of(v: Column) -> Column:
-    """object, array, boolean, integer, number (with a fraction or exponent), string or null."""
-    t = F.schema_of_variant(v)
+def kind_of(t: Column) -> Column:
+    """object, array, boolean, integer, number (with a fraction or exponent), string or null, of the schema of a variant."""
     starts = lambda *names: reduce(lambda a, b: a | b, [t.startswith(n) for n in names])
     fraction = starts("DECIMAL", "DOUBLE", "FLOAT")
     return F.when(starts("OBJECT"), "object").when(starts("ARRAY"), "array").when(t == "BOOLEAN", "boolean").when(t == "BIGINT", "integer").when(fraction, "number").when(t == "VOID", "null").otherwise("string")
 
 
-def tree_rows(records: DataFrame, ids: list[str], column: str) -> DataFrame:
-    """(*ids, path, kind, text, number): a row for every node of a column of type variant; paths are $, $.key, $.key[0] and so on.
-
-    One level of all trees is opened at a time, so there are as many steps as the deepest tree has levels, each distributed by rows.
-    """
-    spark = records.sparkSession
-    level = records.select(*ids, F.lit("$").alias("path"), F.col(column).alias("v")).where("v is not null")
+def _nodes(level: DataFrame, by: list[str], kept: Callable[[DataFrame], DataFrame], opened: Column) -> DataFrame:
+    """(*by, path, kind, text, number) of trees (*by, path, v): a level of all trees is opened at a time, so there are as many steps as the deepest tree has levels, each distributed by rows."""
+    spark = level.sparkSession
     done = []
     for _ in range(DEEPEST + 1):
-        level = stored(level.withColumn("kind", kind_of(F.col("v"))), "level")
+        level = level.withColumn("_schema", F.schema_of_variant("v")).withColumn("kind", kind_of(F.col("_schema")))
+        level = stored(kept(level).drop("_schema"), "level")
         done.append(level)
-        open_ = level.where(F.col("kind").isin("object", "array"))
+        open_ = level.where(F.col("kind").isin("object", "array") & opened)
         if open_.isEmpty():
             break
         parts = spark.tvf.variant_explode(F.col("v").outer())
         step = F.when(F.col("kind") == "array", F.concat(F.lit("["), F.col("pos").cast("string"), F.lit("]"))).otherwise(F.concat(F.lit("."), F.col("key")))
-        level = open_.lateralJoin(parts).select(*ids, F.concat("path", step).alias("path"), F.col("value").alias("v"))
+        level = open_.lateralJoin(parts).select(*by, F.concat("path", step).alias("path"), F.col("value").alias("v"))
     else:
         raise ValueError(f"a tree of more than {DEEPEST} levels")
     rows = reduce(DataFrame.unionByName, done)
     plain = ~F.col("kind").isin("object", "array", "null")
     number = F.when(F.col("kind").isin("integer", "number"), F.try_variant_get("v", "$", "double"))
-    return rows.select(*ids, "path", "kind", F.when(plain, F.try_variant_get("v", "$", "string")).alias("text"), number.alias("number"))
+    return rows.select(*by, "path", "kind", F.when(plain, F.try_variant_get("v", "$", "string")).alias("text"), number.alias("number"))
+
+
+def tree_rows(records: DataFrame, ids: list[str], column: str) -> DataFrame:
+    """(*ids, path, kind, text, number): a row for every node of a column of type variant; paths are $, $.key, $.key[0] and so on."""
+    return _nodes(records.select(*ids, F.lit("$").alias("path"), F.col(column).alias("v")).where("v is not null"), ids, lambda level: level, F.lit(True))
+
+
+def differing_rows(a: DataFrame, b: DataFrame, ids: list[str], column: str) -> DataFrame:
+    """(side, *ids, path, kind, text, number): the nodes of two columns of type variant at whose path the sides may differ.
+
+    Where all values of a path, on both sides, are the same to the letter (numbers that are not finite never are),
+    neither they nor what lies below is looked at again; nor is what lies below a path that one side lacks.
+    """
+    sides = [d.select(F.lit(side).alias("side"), *ids, F.lit("$").alias("path"), F.col(column).alias("v")) for side, d in (("a", a), ("b", b))]
+    place = W.partitionBy(*ids, "path")
+
+    def unlike(level: DataFrame) -> DataFrame:
+        level = level.withColumn("_text", F.to_json("v")).withColumn("_all", F.sha2(F.concat_ws("|", "_schema", "_text"), 256)).withColumn("_odd", F.col("_text").rlike("NaN|Infinity")).drop("_text")
+        level = level.withColumn("_both", F.min("side").over(place) != F.max("side").over(place))
+        same = F.col("_both") & (F.min("_all").over(place) == F.max("_all").over(place)) & ~F.max("_odd").over(place)
+        return level.withColumn("_same", same).where(~F.col("_same")).drop("_all", "_odd", "_same")
+
+    return _nodes(sides[0].unionByName(sides[1]).where("v is not null"), ["side", *ids], unlike, F.col("_both"))
 
 
 def tolerance_of(path: Column, tolerances: dict[str, float], default: float) -> Column:
@@ -61,7 +82,8 @@ def deep_diff(stored_: DataFrame, recomputed: DataFrame, ids: list[str], toleran
     where one number has a fraction both must be finite and within the path's tolerance; booleans are no numbers. What
     lies below a node that is missing or of another kind is not told again.
     """
-    a, b = (tree_rows(d, ids, "doc") for d in (stored_, recomputed))
+    rows = stored(differing_rows(stored_, recomputed, ids, "doc"), "nodes")
+    a, b = (rows.where(F.col("side") == side).drop("side") for side in "ab")
     a, b = (d.withColumnsRenamed({c: f"{c}_{s}" for c in ("kind", "text", "number")}) for d, s in ((a, "a"), (b, "b")))
     both = a.join(b.withColumnsRenamed({c: f"_by_{c}" for c in [*ids, "path"]}), [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in [*ids, "path"]], "full")
     both = both.select(*[F.coalesce(c, f"_by_{c}").alias(c) for c in [*ids, "path"]], *[f"{c}_{s}" for s in "ab" for c in ("kind", "text", "number")])
