@@ -147,10 +147,22 @@ def _holders(grams: np.ndarray) -> np.ndarray:
     return np.repeat(n, n)
 
 
-def _shared(group: pa.Table) -> pa.Table:
+def _shared(group: pa.Table, buckets: int) -> pa.Table:
+    """How many of its first shingles each owner shares in a fragment, as a row for each bucket of owners."""
     grams, owners = _gathered(group)
     found, n = np.unique(owners[_holders(grams) > 1], return_counts=True)
-    return pa.table([pa.array(found), pa.array(n)], names=["half", "shared"])
+    order, bucket, runs = _runs(found % buckets)
+    cells = [[x[order[a:b]].tobytes() for a, b in runs] for x in (found, n)]
+    return pa.table([pa.array(bucket, pa.int64()), *(pa.array(c, pa.binary()) for c in cells)], names=["bucket", "owners", "counts"])
+
+
+def _added(group: pa.Table) -> pa.Table:
+    """The counts of a bucket's owners, summed over the fragments."""
+    owners, counts = (np.frombuffer(b"".join(group[c].to_pylist()), np.int64) for c in ("owners", "counts"))
+    found, at = np.unique(owners, return_inverse=True)
+    total = np.zeros(len(found), np.int64)
+    np.add.at(total, at, counts)
+    return pa.table([pa.array(found), pa.array(total)], names=["half", "shared"])
 
 
 def _ranked(group: pa.Table, buckets: int) -> pa.Table:
@@ -310,7 +322,8 @@ def classes_with_partners(texts: DataFrame, classes: DataFrame, total: int, size
     """Step 1: (class, n, text_key) of the classes that enough other classes share first shingles with."""
     fragments = max(parts(texts.sparkSession), total // (4 * GRAMS))
     dealt = texts.mapInArrow(lambda it: _first_dealt(it, size, percent, fragments), "fragment int, grams binary, owners binary")
-    shared = dealt.groupBy("fragment").applyInArrow(_shared, "half long, shared long").groupBy("half").agg(F.sum("shared").alias("shared"))
+    shared = dealt.groupBy("fragment").applyInArrow(lambda g: _shared(g, fragments), "bucket long, owners binary, counts binary")
+    shared = shared.groupBy("bucket").applyInArrow(_added, "half long, shared long")
     smaller = F.ceil(F.col("n") * percent / 100)  # the least size of a partner
     enough = F.col("shared") >= 1 + F.floor(smaller / 20)
     return classes.join(shared, "half").where(enough).select("class", "n", "text_key")

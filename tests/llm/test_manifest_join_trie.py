@@ -233,3 +233,26 @@ def test_places_cover_ties_and_hot_values(spark):
     got = numbered(spark.range(5000).select((F.col("id") % 3).alias("k")), F.asc("k")).collect()
     assert sorted(x.position for x in got) == list(range(5000))
     assert [x.k for x in sorted(got, key=lambda x: x.position)] == sorted(x.k for x in got)
+
+
+def test_shared_first_shingles_travel_as_a_row_a_bucket():
+    """What a fragment tells of its classes was a row a class; it is one for each bucket of them, and sums to the same."""
+    import numpy as np
+    import pyarrow as pa
+
+    from ledgerlake.llm import ngramjoin as j
+
+    r, told, want = np.random.default_rng(3), [], {}
+    for _ in range(5):
+        grams, owners = r.integers(0, 200, 900).astype(np.uint64), r.integers(-50, 50, 900)
+        pairs = sorted(set(zip(grams.tolist(), owners.tolist())))
+        for g, o in pairs:
+            if sum(x == g for x, _ in pairs) > 1:
+                want[o] = want.get(o, 0) + 1
+        told.append(j._shared(pa.table({"grams": [grams.tobytes()], "owners": [owners.astype(np.int64).tobytes()]}), 8))
+    assert all(t.num_rows <= 8 for t in told)
+    rows, got = pa.concat_tables(told), {}
+    for b in range(8):
+        t = j._added(rows.filter(pa.array(np.asarray(rows["bucket"]) == b)))
+        got |= dict(zip(t["half"].to_pylist(), t["shared"].to_pylist()))
+    assert got == want
