@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Chunk, chunks, of_role, role_bytes, select, sums
+from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Block, Chunk, Curves, blocks, chunks, of_role, role_bytes, select, sums
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import BINS, BINS_SQL, LEDGER_SQL, bins, ledger
 
@@ -146,6 +146,47 @@ def by_bin(lo: np.ndarray, hi: np.ndarray) -> Constant:
     return Constant(lambda s, level, g: (lo[s, g, level], hi[s, g, level]))
 
 
+class Beyond:
+    """Intervals that reach beyond two curves in x: those widened by q, by seed and level."""
+
+    def __init__(self, curves: Curves, q: np.ndarray):
+        self.curves, self.q = curves, q
+
+    def __call__(self, chunk: Chunk, s: np.ndarray, level: int):
+        lo, hi = self.curves(chunk.x, s, level)
+        return lo - self.q[s, level, None], hi + self.q[s, level, None]
+
+
+def _beyond(intervals: Beyond, levels: tuple[int, ...], by_chunk):
+    """Fields of runs() by bin for a block of test rows: searches by distinct x and split instead of a comparison by row and split."""
+
+    def part(block: Block):
+        if not block.few:
+            for chunk in block.chunks:
+                yield from by_chunk(chunk)
+            return
+        s = np.flatnonzero(block.of.any(axis=0))
+        if not len(s):
+            return
+        g = bin_of(block.x)
+        has, mine = np.eye(N_BINS)[g], block.of[:, s].T.astype(np.float64)
+        at = block.who * N_BINS + np.repeat(g, np.diff(block.ends))
+        total, low = (mine @ np.bincount(at, w, len(block.chunks) * N_BINS).reshape(-1, N_BINS) for w in (block.y, block.y < 0.6))
+        first, last = block.ends[:-1, None], block.ends[1:, None]
+        n = block.count(first, last, s).T
+        by_bin = n @ has
+        keep = by_bin > 0
+        for i in levels:
+            lo, hi = intervals.curves(block.x, s, i)
+            lo, hi = lo - intervals.q[s, i, None], hi + intervals.q[s, i, None]
+            inside = block.count(block.places(lo.T, "left"), block.places(hi.T, "right"), s).T * ~(np.isnan(lo) | np.isnan(hi))
+            fields = [by_bin, inside @ has, ((hi - lo) * n) @ has, total - ((lo + hi) / 2 * n) @ has, low]
+            keys = (s[:, None] * len(LEVELS) + i) * N_BINS + np.arange(N_BINS)
+            yield keys[keep], np.stack([f[keep] for f in fields], axis=1)
+
+    return part
+
+
 def _covered(values: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
     """How many of the sorted values lie from each lo to its hi, both included."""
     return np.maximum(np.searchsorted(values, hi, "right") - np.searchsorted(values, lo, "left"), 0) * ~(np.isnan(lo) | np.isnan(hi))
@@ -182,7 +223,12 @@ def runs(e: Evaluation, intervals: Intervals | Constant, strata: Callable[[Chunk
             fields = [np.broadcast_to(n, (len(s), n_strata)), inside @ has, (hi - lo) @ has, (chunk.y - (lo + hi) / 2) @ has, np.broadcast_to(low, (len(s), n_strata))]
             yield keys(i), np.stack([f[:, at].ravel() for f in fields], axis=1)
 
-    found = sums(e.table, e.seeds * len(LEVELS) * n_strata, RUN_FIELDS, part)
+    if isinstance(intervals, Beyond):
+        if n_strata != N_BINS:
+            raise ValueError("curves are counted by bin")
+        found = sums(e.table, e.seeds * len(LEVELS) * n_strata, RUN_FIELDS, _beyond(intervals, levels, part), lambda batches: blocks(batches, TEST))
+    else:
+        found = sums(e.table, e.seeds * len(LEVELS) * n_strata, RUN_FIELDS, part)
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.pmod(F.expr(f"key div {n_strata}"), F.lit(len(LEVELS))).cast("int") + 1)
     mean = lambda f: F.col(f) / F.col("n_test")
     return found.select(

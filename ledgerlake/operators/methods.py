@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.operators import quantreg
-from ledgerlake.operators.conformal import _HOLD, _RANK, _ROLES, LEVELS, SEEDS, Evaluation, constant, error, evaluated, everything, hold, marginal, of_parts, of_whole, paired, pooled, rank_needed, runs
+from ledgerlake.operators.conformal import _HOLD, _RANK, _ROLES, LEVELS, SEEDS, Beyond, Evaluation, _needed, constant, error, evaluated, hold, marginal, of_parts, paired, pooled, runs
 from ledgerlake.operators.scalar import _STATES, e_state
-from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Chunk, chunks, halves, of_role, select, sums
+from ledgerlake.operators.splits import CALIBRATION, TEST, TRAIN, Chunk, chunks, halves, of_role, select, select_beyond, sums
 from ledgerlake.operators.statistics import pava
 from ledgerlake.plans.registry import query
 from ledgerlake.sources.tables import LEDGER_SQL, ledger
@@ -65,16 +65,12 @@ def isotonic_conformal(spark, sf_dir):
     e = evaluated(spark, sf_dir)
     xs, fit = isotonic(e)
 
-    def centre(chunk: Chunk, s: np.ndarray) -> np.ndarray:
-        return fit[s][:, np.searchsorted(xs, chunk.x)]
+    def curves(x: np.ndarray, s: np.ndarray, level: int):
+        c = fit[s][:, np.searchsorted(xs, x)]
+        return c, c
 
-    q = e.quantiles(lambda chunk, s: np.abs(chunk.y - centre(chunk, s)))
-
-    def of(chunk: Chunk, s: np.ndarray, level: int):
-        c, half = centre(chunk, s), q[s, level, None]
-        return c - half, c + half
-
-    return hold(marginal(runs(e, of)), bool(np.isnan(q).any()))
+    q = select_beyond(e.table, e.seeds, len(LEVELS), curves, (0.0, e.bounds[1] - e.bounds[0]), _needed)
+    return hold(marginal(runs(e, Beyond(curves, q))), bool(np.isnan(q).any()))
 
 
 TAUS = tuple(t for level in LEVELS for t in (1.0 - level, level))  # lower and upper tail of each level
@@ -87,32 +83,12 @@ def cqr(e: Evaluation):
     beta = beta.reshape(e.seeds, len(LEVELS), 2, 3)
     fitted = ~np.isnan(beta).any(axis=(2, 3))
 
-    def ends(chunk: Chunk, s: np.ndarray, level: int):
-        X = quantreg.design(chunk.x).T
-        return beta[s, level, 0] @ X, beta[s, level, 1] @ X
+    def curves(x: np.ndarray, s: np.ndarray, level: int):
+        return quantreg.line(beta[s, level, 0], x), quantreg.line(beta[s, level, 1], x)
 
     span = 4 * (e.bounds[1] - e.bounds[0])
-    q = np.full((e.seeds, len(LEVELS)), np.nan)
-    for level in range(len(LEVELS)):
-
-        def draws(chunk: Chunk, level=level):
-            s = chunk.seeds(CALIBRATION)
-            if (s := s[fitted[s, level]]).size:
-                yield s, None
-
-        def score(chunk: Chunk, s: np.ndarray, level=level) -> np.ndarray:
-            lo, hi = ends(chunk, s, level)
-            return np.maximum(lo - chunk.y, chunk.y - hi)
-
-        needed = of_whole(lambda n, level=level: (rank_needed(n, LEVELS[level]) * (n > 0))[..., None])
-        got, _ = select(e.table, e.seeds, draws, score, (-span, span), needed, everything, 1)
-        q[:, level] = got[:, -1, 0]
-
-    def of(chunk: Chunk, s: np.ndarray, level: int):
-        lo, hi = ends(chunk, s, level)
-        return lo - q[s, level, None], hi + q[s, level, None]
-
-    return of, fitted
+    q = select_beyond(e.table, e.seeds, len(LEVELS), curves, (-span, span), lambda n: _needed(n) * fitted)
+    return Beyond(curves, q), fitted
 
 
 def fitted_runs(spark, e: Evaluation) -> tuple[DataFrame, DataFrame]:

@@ -8,11 +8,13 @@ their side; where there are any, the band is widened and the fit repeated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerlake.operators.splits import TRAIN, Chunk, _chunks
+from ledgerlake.operators.splits import TRAIN, Block, blocks, hashed
 
 START, STEP, WIDTH, SPREAD = 2000, 36, 6.0, 100.0  # rows of the first sample, growth, band in errors, scale of u
 PIVOTS = 2000
@@ -27,11 +29,10 @@ def design(x: np.ndarray) -> np.ndarray:
     return np.stack([np.ones_like(u), u, u * u], axis=-1)
 
 
-def _hashed(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """A number in [0, 1) for each row, the same wherever it is computed."""
-    h = np.ascontiguousarray(y).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.ascontiguousarray(x).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
-    return ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+def line(beta: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Fits (..., 3) at x, the same however many are taken at once."""
+    u = x / SPREAD
+    return beta[..., 0, None] + beta[..., 1, None] * u + beta[..., 2, None] * (u * u)
 
 
 def solve(x: np.ndarray, y: np.ndarray, tau: float, start: np.ndarray | None = None, above: np.ndarray | None = None, below: np.ndarray | None = None) -> np.ndarray | None:
@@ -40,7 +41,7 @@ def solve(x: np.ndarray, y: np.ndarray, tau: float, start: np.ndarray | None = N
     above, below: sums of the design over rows that are known to lie on that side.
     """
     rows, first, weight = np.unique(np.stack([x, y]), axis=1, return_index=True, return_counts=True)
-    X, y = design(rows[0]), rows[1] + TINY * (_hashed(rows[0], rows[1]) - 0.5)
+    X, y = design(rows[0]), rows[1] + TINY * (hashed(rows[0], rows[1]) - 0.5)
     outside = (0 if above is None else tau * above) - (0 if below is None else (1 - tau) * below)
     at = np.linalg.lstsq(X, y, rcond=None)[0] if start is None else start
     basis: list[int] = []
@@ -90,36 +91,34 @@ def fit(table, n_seeds: int, taus: tuple[float, ...], n_rows: int) -> tuple[np.n
         def gather(batches, beta=beta, half=half, share=share, done=done, first=first):
             sides, held, size = np.zeros((n_fits, 7)), [], 0
 
-            def batch(rows):
-                f, x, y, told = zip(*rows, strict=True)
-                return pa.RecordBatch.from_arrays([pa.array(f, pa.int64()), pa.array(x, FLOATS), pa.array(y, FLOATS), pa.array(told, FLOATS)], ["fit", "x", "y", "sides"])
-
-            for chunk in _chunks(batches):
-                x, y = _sampled(chunk, share)
-                if not len(x):
-                    continue
-                X = design(x)
-                f = (chunk.seeds(TRAIN)[:, None] * len(taus) + np.arange(len(taus))).ravel()
-                f = f[~done[f]]
-                sides[f, 6] += len(x)
-                if first:
-                    held += [(k, x, y, None) for k in f.tolist()]
-                    size += len(x) * len(f)
-                else:
-                    r = y - beta[f] @ X.T
-                    over, under = r > half[f, None], r < -half[f, None]
-                    sides[f, :3] += over @ X
-                    sides[f, 3:6] += under @ X
-                    keep = ~(over | under) & ~np.isnan(r)
-                    held += [(k, x[m], y[m], None) for k, m in zip(f.tolist(), keep, strict=True) if m.any()]
-                    size += int(keep.sum())
-                if size > HELD:
-                    yield batch(held)
-                    held, size = [], 0
+            def batch():
+                f, x, y = (np.concatenate(v) for v in zip(*held, strict=True))
+                order = np.argsort(f, kind="stable")
+                f = f[order]
+                new = np.flatnonzero(np.concatenate([[True], f[1:] != f[:-1]]))
+                ends = pa.array(np.append(new, len(f)), pa.int32())
+                return pa.RecordBatch.from_arrays([pa.array(f[new]), *[pa.ListArray.from_arrays(ends, pa.array(v[order])) for v in (x, y)], pa.nulls(len(new), FLOATS)], ["fit", "x", "y", "sides"])
+
+            def told(f):
+                none = pa.array([[]] * len(f), FLOATS)
+                return pa.RecordBatch.from_arrays([pa.array(f), none, none, pa.array(list(sides[f]), FLOATS)], ["fit", "x", "y", "sides"])
+
+            for block in blocks(batches, TRAIN, share):
+                for f, n, X, over, under, x, y, at in _split(block, len(taus), beta, half, done, first):
+                    sides[f, 6] += n
+                    if not first:
+                        sides[f, :3] += over @ X
+                        sides[f, 3:6] += under @ X
+                    if len(at):
+                        held.append((at, x, y))
+                        size += len(at)
+                    if size > HELD:
+                        yield batch()
+                        held, size = [], 0
             if held:
-                yield batch(held)
+                yield batch()
             if (seen := np.flatnonzero(sides[:, 6])).size:
-                yield batch([(f, [], [], sides[f]) for f in seen.tolist()])
+                yield told(seen)
 
         def solved(group: pa.Table) -> pa.Table:
             f = group["fit"][0].as_py()
@@ -146,13 +145,18 @@ def fit(table, n_seeds: int, taus: tuple[float, ...], n_rows: int) -> tuple[np.n
         # rows that were summed up must still lie on their side
         def strayed(batches, beta=beta, before=before, half=last_half, done=done):
             n = np.zeros(n_fits, np.int64)
-            for chunk in _chunks(batches):
-                X = design(chunk.x)
-                for s in chunk.seeds(TRAIN):
-                    f = np.arange(s * len(taus), (s + 1) * len(taus))
-                    f = f[~done[f] & ~np.isnan(beta[f, 0])]
-                    old, new = chunk.y[:, None] - X @ before[f].T, chunk.y[:, None] - X @ beta[f].T
-                    n[f] += (((old > half[f]) & (new < 0)) | ((old < -half[f]) & (new > 0))).sum(axis=0)
+            for block in blocks(batches, TRAIN):
+                f = _fits(block.of.any(axis=0), len(taus), done)
+                f = f[~np.isnan(beta[f, 0]) & ~np.isnan(before[f, 0])]
+                if block.few:
+                    old, new = line(before[f], block.x).T, line(beta[f], block.x).T
+                    n[f] += block.count(block.places(old + half[f], "right"), block.places(new, "left"), f // len(taus)).sum(axis=0)
+                    n[f] += block.count(block.places(new, "right"), block.places(old - half[f], "left"), f // len(taus)).sum(axis=0)
+                    continue
+                for chunk in block.chunks:
+                    g = f[chunk.roles[f // len(taus)] == TRAIN]
+                    old, new = line(before[g], chunk.x), line(beta[g], chunk.x)
+                    n[g] += (((chunk.y > old + half[g, None]) & (chunk.y < new)) | ((chunk.y < old - half[g, None]) & (chunk.y > new))).sum(axis=1)
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], ["fit", "n"])
 
@@ -168,8 +172,37 @@ def fit(table, n_seeds: int, taus: tuple[float, ...], n_rows: int) -> tuple[np.n
         beta[redo], half[redo] = before[redo], last_half[redo] * 3
 
 
-def _sampled(chunk: Chunk, share: float) -> tuple[np.ndarray, np.ndarray]:
-    if share >= 1:
-        return chunk.x, chunk.y
-    keep = _hashed(chunk.x, chunk.y) < share
-    return chunk.x[keep], chunk.y[keep]
+def _fits(seeds: np.ndarray, n_taus: int, done: np.ndarray) -> np.ndarray:
+    """Numbers of the fits, by seed and tau, that are still sought."""
+    f = (np.flatnonzero(seeds)[:, None] * n_taus + np.arange(n_taus)).ravel()
+    return f[~done[f]]
+
+
+def _split(block: Block, n_taus: int, beta: np.ndarray, half: np.ndarray, done: np.ndarray, first: bool) -> Iterator[tuple]:
+    """(fits, their rows, a design, how many rows lie above and below the bands at each of its lines, x, y and fit of the rows in the bands); at first all rows are in."""
+    if block.few:
+        f = _fits(block.of.any(axis=0), n_taus, done)
+        s, X = f // n_taus, design(block.x)
+        begin, end = (np.broadcast_to(e[:, None], (len(block.x), len(f))) for e in (block.ends[:-1], block.ends[1:]))
+        n, none = block.count(begin, end, s).sum(axis=0), np.zeros((len(f), len(block.x)))
+        if first:
+            _, i, r = block.rows(begin, end, s)
+            yield f, n, X, none, none, block.all_x[r], block.y[r], f[i]
+            return
+        yield f, n, X, none, none, np.zeros(0), np.zeros(0), np.zeros(0, np.int64)
+        g = f[~np.isnan(beta[f, 0])]  # a fit that failed before has no band
+        if len(g):
+            s, at = g // n_taus, line(beta[g], block.x).T
+            a, b = block.places(at - half[g], "left"), block.places(at + half[g], "right")
+            _, i, r = block.rows(a, b, s)
+            yield g, 0, X, block.count(b, end[:, : len(g)], s).T, block.count(begin[:, : len(g)], a, s).T, block.all_x[r], block.y[r], g[i]
+        return
+    for chunk in block.chunks:
+        f = _fits(chunk.roles == TRAIN, n_taus, done)
+        if first:
+            yield f, len(chunk.x), None, None, None, np.tile(chunk.x, len(f)), np.tile(chunk.y, len(f)), np.repeat(f, len(chunk.x))
+            continue
+        at = line(beta[f], chunk.x)
+        over, under = chunk.y > at + half[f, None], chunk.y < at - half[f, None]
+        i, r = np.nonzero(~(over | under) & ~np.isnan(at))
+        yield f, len(chunk.x), design(chunk.x), over, under, chunk.x[r], chunk.y[r], f[i]

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from hashlib import sha256
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -175,6 +176,224 @@ def _chunks(batches) -> Iterator[Chunk]:
             yield Chunk(b["roles"][i].as_py(), *(np.asarray(b[c][i].values, np.float64) for c in COLUMNS))
 
 
+BLOCK, FEW = 32_000, 16  # rows of a block, counted in 16 bits; rows an x of a block at least, on average
+SAMPLE, SIGMAS = 50_000, 5  # rows that first bracket a rank, and how many errors wide
+
+
+def hashed(x: np.ndarray, y: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
+    """A number in [0, 1) for each row, the same wherever it is computed."""
+    h = np.ascontiguousarray(y).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ np.ascontiguousarray(x).view(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = h + np.asarray(salt, np.uint64) * np.uint64(0xD1B54A32D192ED03)
+    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+    return ((h ^ (h >> np.uint64(32))) >> np.uint64(11)).astype(np.float64) / (1 << 53)
+
+
+def sampled(chunk: Chunk, share: float) -> Chunk:
+    """A share of a chunk's rows, drawn row by row: rows that are equal are drawn on their own, or copies would make a sample of few values."""
+    if share >= 1:
+        return chunk
+    keep = hashed(chunk.x, chunk.y, (crc32(chunk.raw) << 32) + np.arange(len(chunk.x), dtype=np.uint64)) < share
+    return Chunk(chunk.raw, chunk.x[keep], chunk.y[keep], chunk.z[keep])
+
+
+class Block:
+    """Chunks of a task taken together, for one role: rows sorted by x, then y, and how many rows of a split come before each.
+
+    What a split has between two values at an x is told by two searches and a difference of running counts, so that a row
+    costs a split one addition.
+    """
+
+    def __init__(self, chunks: list[Chunk], role: int):
+        self.chunks = chunks
+        self.of = np.stack([c.roles == role for c in chunks])  # by chunk and seed
+        who = np.repeat(np.arange(len(chunks)), [len(c.x) for c in chunks])
+        x, y = (np.concatenate([getattr(c, f) for c in chunks]) for f in "xy")
+        order = np.lexsort((y, x))
+        self.who, self.all_x, self.y = who[order], x[order], y[order]
+        begin = np.flatnonzero(np.concatenate([[True], self.all_x[1:] != self.all_x[:-1]]))
+        self.x, self.ends = self.all_x[begin], np.append(begin, len(order))
+        self.few = len(self.x) * FEW <= len(order) <= BLOCK
+        if self.few:
+            self.before = np.zeros((len(order) + 1, self.of.shape[1]), np.int16)
+            np.cumsum(self.of[self.who], axis=0, dtype=np.int16, out=self.before[1:])
+
+    def places(self, values: np.ndarray, side: str) -> np.ndarray:
+        """Places of values (by x, and anything) among the sorted rows of their x."""
+        return np.stack([a + np.searchsorted(self.y[a:b], v, side) for a, b, v in zip(self.ends[:-1], self.ends[1:], values, strict=True)])
+
+    def count(self, a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> np.ndarray:
+        """Rows of the seeds from places a to places b, both by x and seed; none where b lies before a."""
+        return self.before[np.maximum(a, b), seeds].astype(np.int64) - self.before[a, seeds]
+
+    def rows(self, a: np.ndarray, b: np.ndarray, seeds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of x, number in seeds, row) of those rows."""
+        many = np.maximum(b - a, 0).ravel()
+        at = np.repeat(np.arange(len(many)), many)
+        row = np.arange(len(at)) + np.repeat(a.ravel() - (np.cumsum(many) - many), many)
+        k, i = np.divmod(at, len(seeds))
+        mine = self.of[self.who[row], seeds[i]]
+        return k[mine], i[mine], row[mine]
+
+
+def blocks(batches, role: int, share: float = 1.0) -> Iterator[Block]:
+    held, n = [], 0
+    for chunk in _chunks(batches):
+        chunk = sampled(chunk, share)
+        if n + len(chunk.x) > BLOCK and held:
+            yield Block(held, role)
+            held, n = [], 0
+        if len(chunk.x):
+            held.append(chunk)
+            n += len(chunk.x)
+    if held:
+        yield Block(held, role)
+
+
+#: The lower and the upper curve of some seeds at a level: (x, seeds, level) to two arrays of seeds by x.
+Curves = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
+
+
+def select_beyond(table: DataFrame, n_seeds: int, n_levels: int, curves: Curves, span: tuple[float, float], ranks: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The wanted order statistic of max(lo - y, y - hi) over the calibration rows, by seed and level; NaN for a rank of 0 or beyond the count.
+
+    A sample brackets each rank. Then all rows are counted: below the bracket by searches in sorted blocks, within it by
+    CELLS ranges, until few values are left to fetch. A bracket that misses its rank is made wider.
+    """
+    n_targets, every = n_seeds * n_levels, np.arange(n_seeds)
+    low, high = (np.full((n_seeds, n_levels), float(v)) for v in span)
+
+    def scored(batches, share: float, low, high, sought):
+        """(targets of a block, counts below their brackets, target of each value within, these values)."""
+        for block in blocks(batches, CALIBRATION, share):
+            for level in range(n_levels):
+                s = every[sought[:, level] & block.of.any(axis=0)]
+                if not len(s):
+                    continue
+                if not block.few:
+                    for chunk in block.chunks:
+                        mine = s[chunk.roles[s] == CALIBRATION]
+                        lo, hi = curves(chunk.x, mine, level)
+                        v = np.maximum(lo - chunk.y, chunk.y - hi)
+                        i, j = np.nonzero((v >= low[mine, level, None]) & (v <= high[mine, level, None]))
+                        yield mine * n_levels + level, (v < low[mine, level, None]).sum(axis=1), mine[i] * n_levels + level, v[i, j]
+                    continue
+                lo, hi = (e.T for e in curves(block.x, s, level))
+                a, b = low[s, level], high[s, level]
+                slack = 1e-12 * (1 + np.abs(lo) + np.abs(hi) + np.abs(a) + np.abs(b))
+                first, last = block.places(lo - b - slack, "left"), block.places(hi + b + slack, "right")
+                inner = block.places(lo - a + slack, "left")
+                outer = np.maximum(block.places(hi + a - slack, "right"), inner)  # surely below from inner to outer
+                inner, outer = np.clip(inner, first, np.maximum(first, last)), np.clip(outer, first, np.maximum(first, last))
+                below = block.count(inner, outer, s).sum(axis=0)
+                (k1, i1, r1), (k2, i2, r2) = block.rows(first, inner, s), block.rows(outer, last, s)
+                k, i, r = np.concatenate([k1, k2]), np.concatenate([i1, i2]), np.concatenate([r1, r2])
+                v = np.maximum(lo[k, i] - block.y[r], block.y[r] - hi[k, i])
+                below += np.bincount(i[v < a[i]], minlength=len(s))
+                within = (v >= a[i]) & (v <= b[i])
+                yield s * n_levels + level, below, s[i[within]] * n_levels + level, v[within]
+
+    def counted(share: float, low, high, sought):
+        """Counts by target: below the bracket, and by range within it."""
+        scale = np.divide(CELLS, high - low, out=np.zeros_like(low), where=high > low).ravel()
+
+        def add(batches):
+            total = np.zeros((n_targets, CELLS + 1), np.int64)
+            for t, below, at, v in scored(batches, share, low, high, sought):
+                total[t, 0] += below
+                cell = np.clip((v - low.ravel()[at]) * scale[at], 0, CELLS - 1).astype(np.int64)
+                total += np.bincount(at * (CELLS + 1) + cell + 1, minlength=total.size).reshape(total.shape)
+            seen = np.flatnonzero(total.any(axis=1))
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array([total[t].tobytes() for t in seen], pa.binary())], ["at", "n"])
+
+        def merged(group: pa.Table) -> pa.Table:
+            total = sum(np.frombuffer(n.as_py(), np.int64) for n in group["n"])
+            return pa.table({"at": group["at"].slice(0, 1), "n": pa.array([total.tobytes()], pa.binary())})
+
+        out = np.zeros((n_targets, CELLS + 1), np.int64)
+        for at, n in table.mapInArrow(add, "at long, n binary").groupBy("at").applyInArrow(merged, "at long, n binary").collect():
+            out[at] = np.frombuffer(n, np.int64)
+        return out.reshape(n_seeds, n_levels, CELLS + 1)
+
+    def sizes(batches, share: float = 1.0):
+        total = np.zeros((n_seeds, 2), np.int64)
+        for chunk in _chunks(batches):
+            total[chunk.seeds(CALIBRATION)] += (len(chunk.x), len(sampled(chunk, share).x))
+        yield pa.RecordBatch.from_arrays([pa.array(every), pa.array(total[:, 0]), pa.array(total[:, 1])], ["seed", "n", "m"])
+
+    def sized(share: float) -> np.ndarray:
+        found = table.mapInArrow(lambda it: sizes(it, share), "seed long, n long, m long").groupBy("seed").agg(F.sum("n").alias("n"), F.sum("m").alias("m")).toPandas()
+        out = np.zeros((2, n_seeds), np.int64)
+        out[:, found["seed"].to_numpy()] = found[["n", "m"]].to_numpy().T
+        return out
+
+    n_rows = table.agg(F.sum(F.size("x"))).first()[0] or 0
+    share = min(1.0, SAMPLE / max(n_rows, 1))
+    n, m = sized(share)
+    rank = ranks(n)
+    rank = np.where(rank <= n[:, None], rank, 0)
+    out, sought = np.full(rank.shape, np.nan), rank > 0
+
+    def narrowed(share: float, wanted, margin):
+        """Brackets about a rank give or take a margin: whether they hold it, their ends, and how many rows lie within."""
+        counts = counted(share, low, high, sought)
+        upto = counts.cumsum(axis=2)
+        holds = (wanted - margin > upto[:, :, 0]) & (wanted + margin <= upto[:, :, -1])
+        lines = [np.clip((upto[:, :, 1:] < (wanted + d)[:, :, None]).sum(axis=2), 0, CELLS - 1) for d in (-margin, margin)]
+        width = (high - low) / CELLS
+        slack = 1e-6 * width + 1e-13 * (np.abs(low) + np.abs(high))
+        here = np.take_along_axis(upto, lines[1][:, :, None] + 1, 2)[:, :, 0] - np.take_along_axis(upto, lines[0][:, :, None], 2)[:, :, 0]
+        return holds, low + lines[0] * width - slack, low + (lines[1] + 1) * width + slack, here
+
+    if share < 1:
+        for _ in range(2):
+            wanted = np.clip(np.rint(rank * (m / np.maximum(n, 1))[:, None]), 1, np.maximum(m, 1)[:, None]).astype(np.int64)
+            p = wanted / np.maximum(m, 1)[:, None]
+            margin = np.ceil(SIGMAS * np.sqrt(m[:, None] * p * (1 - p)) + SIGMAS).astype(np.int64)
+            holds, a, b, _ = narrowed(share, wanted, margin)
+            low, high = np.where(holds, a, low), np.where(holds, b, high)
+    for depth in range(8 * DEPTH):
+        if not sought.any():
+            return out
+        holds, a, b, here = narrowed(1.0, rank, np.zeros_like(rank))
+        wider = (high - low) * 8 + 1e-9 * (1 + np.abs(low) + np.abs(high))
+        low, high = np.where(holds, a, low - wider), np.where(holds, b, high + wider)
+        if not (holds | ~sought).all() or (here[sought].sum() > FETCHED and depth < DEPTH):
+            continue
+
+        def fetched(batches, low=low, high=high, sought=sought):
+            """Values by target, equal ones of a task as one; those below a bracket as one that is less than any."""
+            held, below, size = [], np.zeros(n_targets, np.int64), 0
+
+            def batch():
+                at, v = (np.concatenate(x) for x in zip(*held, strict=True))
+                order = np.lexsort((v, at))
+                at, v = at[order], v[order]
+                new = np.flatnonzero(np.concatenate([[True], (at[1:] != at[:-1]) | (v[1:] != v[:-1])]))
+                return pa.RecordBatch.from_arrays([pa.array(at[new]), pa.array(v[new]), pa.array(np.diff(np.append(new, len(at))))], ["at", "v", "n"])
+
+            for t, less, at, v in scored(batches, 1.0, low, high, sought):
+                below[t] += less
+                if len(at):
+                    held.append((at, v))
+                    size += len(at)
+                if size > HELD:
+                    yield batch()
+                    held, size = [], 0
+            if size:
+                yield batch()
+            seen = np.flatnonzero(below)
+            yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(np.full(len(seen), -np.inf)), pa.array(below[seen])], ["at", "v", "n"])
+
+        at = np.flatnonzero(sought.ravel())
+        goal = table.sparkSession.createDataFrame(list(zip(at.tolist(), rank.ravel()[at].tolist(), strict=True)), "at long, k long")
+        values = table.mapInArrow(fetched, "at long, v double, n long").groupBy("at", "v").agg(F.sum("n").alias("n"))
+        hit = values.select("at", "v", "n", F.expr("sum(n) over (partition by at order by v)").alias("upto")).join(F.broadcast(goal), "at").where("upto >= k and upto - n < k and v > double('-inf')").select("at", "v").toPandas()
+        out.ravel()[hit["at"].to_numpy()] = hit["v"].to_numpy()
+        sought = sought & np.isnan(out)
+        low, high = low - wider, high + wider  # of those that a bracket missed by rounding
+    raise RuntimeError("a rank was not found")
+
+
 #: A score of a chunk's rows for some seeds: (chunk, seeds) to an array of rows, or of seeds by rows.
 Score = Callable[[Chunk, np.ndarray], np.ndarray]
 #: The stratum of each row of a chunk, from 0.
@@ -400,12 +619,12 @@ def select(table: DataFrame, n_seeds: int, draws: Draws, score: Score, bounds: t
     return out.reshape(n_seeds, n_strata + 1, each), n
 
 
-def sums(table: DataFrame, n_keys: int, fields: list[str], part: Callable[[Chunk], Iterator[tuple[np.ndarray, np.ndarray]]]) -> DataFrame:
-    """(key, *fields): sums over all chunks; part gives (keys, values by field) of a chunk, keys below n_keys and without repeats."""
+def sums(table: DataFrame, n_keys: int, fields: list[str], part: Callable[[Chunk], Iterator[tuple[np.ndarray, np.ndarray]]], of: Callable[..., Iterator] = _chunks) -> DataFrame:
+    """(key, *fields): sums over all chunks, or what else of makes of them; part gives (keys, values by field) of one, keys below n_keys and without repeats."""
 
     def add(batches):
         total = np.zeros((n_keys, len(fields)))
-        for chunk in _chunks(batches):
+        for chunk in of(batches):
             for keys, values in part(chunk):
                 total[keys] += values
         at = np.flatnonzero(total.any(axis=1))

@@ -223,3 +223,39 @@ def test_the_driver_looks_at_few_counters_at_once(spark, monkeypatch):
     got, n = splits.select(table, 40, splits.of_role(0), lambda c, s: c.y[None, :] + 0 * s[:, None], (0.0, 399.0), lambda n: (n > 0)[..., None] * np.array([1, 200, 400]), lambda c: (c.y % 2).astype(int), 2)
     assert (n == [200, 200, 400]).all() and max(asked) <= 5000 and len(asked) > 2
     assert (got[:, 2] == [0, 199, 399]).all() and (got[:, 0, :2] == [0, 398]).all() and np.isnan(got[:, 0, 2]).all()
+
+
+def copied(spark, n_accessions, each, copies):
+    """Few values, held by many accessions."""
+    draw = np.random.default_rng(5)
+    rows = [(f"a{a}", float(x), float(y), float(e), a * 1000 + i) for a in range(n_accessions) for i, (x, y, e) in enumerate(zip(draw.integers(1, 6, each) * 10, np.repeat(np.round(draw.normal(0.7, 0.2, each // copies), 2), copies), draw.integers(0, 2, each), strict=True))]
+    return spark.createDataFrame(rows, "accession string, x double, y double, z double, i int")
+
+
+def test_equal_rows_are_sampled_on_their_own():
+    chunk = splits.Chunk(b"012", np.full(4000, 2.0), np.full(4000, 0.5), np.zeros(4000))
+    assert 700 < len(splits.sampled(chunk, 0.2).x) < 900
+    assert splits.sampled(chunk, 1.0) is chunk
+
+
+@pytest.mark.parametrize(("sample", "fetched", "few"), [(1_000_000, 1_000_000, 16), (400, 0, 16), (400, 1_000_000, 16), (400, 0, 10**9)])
+def test_ranks_beyond_curves_are_those_of_numpy(spark, monkeypatch, sample, fetched, few):
+    for name, v in (("SAMPLE", sample), ("FETCHED", fetched), ("FEW", few)):
+        monkeypatch.setattr(splits, name, v)
+    rows = copied(spark, 12, 300, 5)
+    e = c.prepared(rows, ["i"], 4)
+    role = {(r.seed, r.accession): r.role for r in splits.roles(rows, 4).collect()}
+    pdf, shift = rows.toPandas(), np.arange(4) * 0.01
+
+    def curves(x, s, level):
+        lo = 0.5 + shift[s, None] + x[None, :] / 1000 * (level + 1)
+        return lo, lo + 0.05
+
+    q = splits.select_beyond(e.table, 4, 2, curves, (-2.0, 2.0), c._needed)
+    found = {(r.seed, r.level): (r.n, r.covered) for r in c.runs(e, c.Beyond(curves, q)).groupBy("seed", "level").agg(F.sum("n_test").alias("n"), F.sum("covered").alias("covered")).collect()}
+    for s, (i, level) in itertools.product(range(4), enumerate(c.LEVELS)):
+        cal, test = of(pdf, role, s, 1), of(pdf, role, s, 2)
+        lo, hi = (v[0] for v in curves(cal.x.to_numpy(), np.array([s]), i))
+        assert q[s, i] == order_stat(np.maximum(lo - cal.y.to_numpy(), cal.y.to_numpy() - hi), level)
+        lo, hi = (v[0] for v in curves(test.x.to_numpy(), np.array([s]), i))
+        assert found[s, level] == (len(test), ((lo - q[s, i] <= test.y) & (test.y <= hi + q[s, i])).sum())
