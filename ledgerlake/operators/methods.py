@@ -146,14 +146,55 @@ def class_quantiles(table: DataFrame, seeds: int) -> np.ndarray:
     return np.where(np.isnan(got[:, :2]), np.inf, got[:, :2])
 
 
-@query(f"""WITH {LEDGER_SQL}, {_ACCESSION_HALVES},
-m AS (SELECT seed, level, {", ".join(f"{v} AS {k}" for k, v in _METRICS_SQL.items())} FROM t GROUP BY ALL),
-l AS (UNPIVOT m ON {", ".join(SET_METRICS)} INTO NAME metric VALUE v)
-SELECT level, metric, count(*) AS r, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(stddev_samp(v) / sqrt(count(*)), 9) AS mcse, round(min(v), 9) AS least, round(max(v), 9) AS greatest FROM l GROUP BY ALL""")
-def classwise_sets(spark, sf_dir):
-    """Conformal sets by class over halves of the accessions: coverage, set sizes and rates, over 200 splits."""
-    table = class_chunks(spark, sf_dir)
-    q = class_quantiles(table, SEEDS)
+SHARES = 1000  # distinct x of which the driver holds counts by split, role and class
+
+
+def class_counts(table: DataFrame, seeds: int) -> tuple[np.ndarray, np.ndarray] | None:
+    """Distinct x, and the rows by role (calibration, test), seed, class and x; None where there are more than SHARES."""
+    xs = np.sort(np.array([r[0] for r in table.select(F.explode("x").alias("x")).distinct().limit(SHARES + 1).collect()], np.float64))
+    if len(xs) > SHARES:
+        return None
+    line = len(CLASSES) * len(xs)
+
+    def part(chunk: Chunk):
+        at, n = np.unique(chunk.y.astype(np.int64) * len(xs) + np.searchsorted(xs, chunk.x), return_counts=True)
+        for i, role in enumerate((CALIBRATION, TEST)):
+            s = chunk.seeds(role) + i * seeds
+            yield (s[:, None] * line + at).ravel(), np.tile(n, len(s))[:, None]
+
+    found = sums(table, 2 * seeds * line, ["n"], part).toPandas()
+    out = np.zeros(2 * seeds * line, np.int64)
+    out[found["key"].to_numpy()] = found["n"].to_numpy()
+    return xs, out.reshape(2, seeds, len(CLASSES), len(xs))
+
+
+def class_fields(xs: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What class_quantiles and class_hits find, from counts: rows of equal x are not told apart by any rank."""
+    cal, test = counts
+    q = np.full((cal.shape[0], len(CLASSES), len(LEVELS)), np.inf)
+    for c, scores in enumerate((1 - xs, xs)):
+        order = np.argsort(scores, kind="stable")
+        upto = cal[:, c, order].cumsum(axis=1)
+        for i, x in enumerate(LEVELS):
+            n = cal[:, c].sum(axis=1)
+            k = np.ceil((n + 1) * x).astype(np.int64)
+            has = (n > 0) & (k <= n)
+            q[has, c, i] = scores[order][(upto[has] < k[has, None]).sum(axis=1)]
+    fields = np.zeros((cal.shape[0], len(LEVELS), len(SET_FIELDS)))
+    n = test.sum(axis=(1, 2))
+    for i in range(len(LEVELS)):
+        ic, ie = (1 - xs) <= q[:, 0, i, None], xs <= q[:, 1, i, None]
+        every = test.sum(axis=1)
+        for j, v in enumerate((n, test[:, 0].sum(axis=1), (test[:, 0] * ic).sum(axis=1), (test[:, 1] * ie).sum(axis=1), (every * (ic & ie)).sum(axis=1), (every * (ic ^ ie)).sum(axis=1))):
+            fields[:, i, j] = v
+    return q, fields
+
+
+SET_FIELDS = ["n", "correct", "hit_correct", "hit_error", "both", "one"]
+
+
+def class_hits(table: DataFrame, q: np.ndarray) -> DataFrame:
+    """(key, *SET_FIELDS) by seed and level, from the rows."""
 
     def part(chunk: Chunk):
         s = chunk.seeds(TEST)
@@ -166,7 +207,22 @@ def classwise_sets(spark, sf_dir):
             fields = [n, n - error_row.sum(), (ic & ~error_row).sum(axis=1), (ie & error_row).sum(axis=1), (ic & ie).sum(axis=1), (ic ^ ie).sum(axis=1)]
             yield s * len(LEVELS) + i, np.stack(fields, axis=1)
 
-    f = sums(table, SEEDS * len(LEVELS), ["n", "correct", "hit_correct", "hit_error", "both", "one"], part)
+    return sums(table, len(q) * len(LEVELS), SET_FIELDS, part)
+
+
+@query(f"""WITH {LEDGER_SQL}, {_ACCESSION_HALVES},
+m AS (SELECT seed, level, {", ".join(f"{v} AS {k}" for k, v in _METRICS_SQL.items())} FROM t GROUP BY ALL),
+l AS (UNPIVOT m ON {", ".join(SET_METRICS)} INTO NAME metric VALUE v)
+SELECT level, metric, count(*) AS r, round(avg(v), 9) AS mean, round(stddev_samp(v), 9) AS sd, round(stddev_samp(v) / sqrt(count(*)), 9) AS mcse, round(min(v), 9) AS least, round(max(v), 9) AS greatest FROM l GROUP BY ALL""")
+def classwise_sets(spark, sf_dir):
+    """Conformal sets by class over halves of the accessions: coverage, set sizes and rates, over 200 splits."""
+    table = class_chunks(spark, sf_dir)
+    if counts := class_counts(table, SEEDS):
+        fields = class_fields(*counts)[1].reshape(SEEDS * len(LEVELS), len(SET_FIELDS))
+        rows = [(k, *map(float, v)) for k, v in enumerate(fields.tolist()) if v[0] > 0]
+        f = spark.createDataFrame(rows, "key long, " + ", ".join(f"{c} double" for c in SET_FIELDS))
+    else:
+        f = class_hits(table, class_quantiles(table, SEEDS))
     level = F.element_at(F.array(*map(F.lit, LEVELS)), F.pmod("key", F.lit(len(LEVELS))).cast("int") + 1)
     metrics = {
         "marginal": (F.col("hit_correct") + F.col("hit_error")) / F.col("n"), "coverage_correct": F.expr("try_divide(hit_correct, correct)"), "coverage_error": F.expr("try_divide(hit_error, n - correct)"),

@@ -259,3 +259,14 @@ def test_ranks_beyond_curves_are_those_of_numpy(spark, monkeypatch, sample, fetc
         assert q[s, i] == order_stat(np.maximum(lo - cal.y.to_numpy(), cal.y.to_numpy() - hi), level)
         lo, hi = (v[0] for v in curves(test.x.to_numpy(), np.array([s]), i))
         assert found[s, level] == (len(test), ((lo - q[s, i] <= test.y) & (test.y <= hi + q[s, i])).sum())
+
+
+def test_classes_of_few_shares_are_counted_and_not_fetched(spark, monkeypatch):
+    rows = copied(spark, 9, 200, 5).withColumn("x", F.col("x") / 100).withColumn("y", F.col("z"))
+    table = splits.chunks(rows, ["i"], 5, splits.halves)[0]
+    q, fields = methods.class_fields(*methods.class_counts(table, 5))
+    assert np.array_equal(q, methods.class_quantiles(table, 5))
+    hits = {r.key: tuple(r)[1:] for r in methods.class_hits(table, q).collect()}
+    assert hits == {k: tuple(v) for k, v in enumerate(fields.reshape(10, -1).tolist())}
+    monkeypatch.setattr(methods, "SHARES", 4)
+    assert methods.class_counts(table, 5) is None
