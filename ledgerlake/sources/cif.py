@@ -27,6 +27,9 @@ TOKEN = re.compile(
 )
 
 
+LONG, ROWS = 1 << 18, 5000  # characters of a text whose rows are not held until its end; rows handed on at once
+
+
 class CifError(ValueError):
     """The text is no CIF: a value is not closed, or a loop's values do not fill its rows."""
 
@@ -45,22 +48,21 @@ def tokens(text: str) -> Iterator[tuple[str, bool]]:
 
 
 def categories(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple[str, int, dict[str, str]]]:
-    """(category, row number, values by item) of loops and of single values, of which a category makes one row."""
+    """(category, row number, values by item) of loops and of single values, of which a category makes one row.
+
+    A row is handed on once it is full, so that an error may come after rows.
+    """
     wanted = None if wanted is None else {w.lower() for w in wanted}
     single: dict[str, dict[str, str]] = {}
     names: list[str] = []
     values: list[str] = []
     state = "free"  # free, names (of a loop), values (of a loop) or item (a value is due)
 
+    n = 0  # rows of the loop so far
+
     def closed():
-        if names and values and len(values) % len(names):
-            raise CifError(f"{len(values)} values do not fill rows of {len(names)}")
-        if names:
-            category = names[0].partition(".")[0].lower()
-            items = [n.partition(".")[2] for n in names]
-            if wanted is None or category in wanted:
-                for i in range(0, len(values), len(items)):
-                    yield category, i // len(items), dict(zip(items, values[i : i + len(items)], strict=True))
+        if names and values:
+            raise CifError(f"{n * len(names) + len(values)} values do not fill rows of {len(names)}")
         names.clear()
         values.clear()
 
@@ -71,18 +73,26 @@ def categories(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple
             single.setdefault(category.lower(), {})[name] = value
             state = "free"
         elif plain and (value == "loop_" or value == "stop_" or value.startswith("data_")):
-            yield from closed()
+            closed()
+            n = 0
             state = "names" if value == "loop_" else "free"
         elif plain and value.startswith("_"):
             if state == "names":
                 names.append(value)
             else:
-                yield from closed()
+                closed()
                 item, state = value, "item"
         elif state in ("names", "values"):
-            values.append(value)
             state = "values"
-    yield from closed()
+            if names:
+                values.append(value)
+                if len(values) == len(names):
+                    category = names[0].partition(".")[0].lower()
+                    if wanted is None or category in wanted:
+                        yield category, n, dict(zip([name.partition(".")[2] for name in names], values, strict=True))
+                    values.clear()
+                    n += 1
+    closed()
     for category, row in single.items():
         if wanted is None or category in wanted:
             yield category, 0, row
@@ -91,21 +101,29 @@ def categories(text: str, wanted: Iterable[str] | None = None) -> Iterator[tuple
 def _rows(batches, wanted: tuple[str, ...] | None):
     item = pa.map_(pa.string(), pa.string())
     schema = pa.schema([("path", pa.string()), ("category", pa.string()), ("row_no", pa.int64()), ("item", item), ("error", pa.string())])
+    batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
     for b in batches:
         out = []
         for path, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            begun = len(out)
+            text, begun = text.as_py() or "", len(out)
+            long = len(text) > LONG
             try:
-                for category, row_no, values in categories(text.as_py() or "", wanted):
+                if long:  # read once for errors, and again for rows, which need not be held then
+                    for _ in categories(text, ()):
+                        pass
+                for category, row_no, values in categories(text, wanted):
                     out.append((path, category, row_no, list(values.items()), None))
+                    if long and len(out) >= ROWS:
+                        yield batch(out)
+                        out, begun = [], 0
             except CifError as e:
                 del out[begun:]
                 out.append((path, None, None, None, str(e)))
-            if len(out) > 5000:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            if len(out) >= ROWS:
+                yield batch(out)
                 out = []
         if out:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
+            yield batch(out)
 
 
 def cif_rows(files: DataFrame, wanted: tuple[str, ...] | None = None) -> DataFrame:
