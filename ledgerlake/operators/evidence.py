@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerlake.plans.registry import query
-from ledgerlake.sources.tables import load
+from ledgerlake.sources.tables import load, parts_of
 
 #: The statuses, each with the kind of table that records it.
 VOCABULARY = (
@@ -76,11 +76,14 @@ def profile_evidence(rows: DataFrame, intervals: DataFrame) -> tuple[DataFrame,
     """Rows (scope, ordinal, number, gap, values, flags) and intervals (scope, first, last, start) to states by position, and by scope what was not mapped.
 
     A number that lies in one interval is mapped, in several ambiguous. A scope of which more than a fifth is not mapped is rejected.
+    Scopes are dealt over parts of bounded size, once for all joins; a row takes its state along, not what the state is told by.
     """
+    parts = parts_of(rows)
+    rows = rows.withColumn("s", profile_state(F.col("values"), F.col("flags"))).drop("values", "flags").repartition(parts, "scope")
+    intervals = intervals.repartition(parts, "scope")
     hit = rows.join(intervals, "scope").where((~F.col("gap")) & F.col("number").between(F.col("first"), F.col("last")))
     mapped = hit.groupBy("scope", "ordinal").agg(F.count("*").alias("hits"), F.first(F.col("start") + F.col("number") - F.col("first")).alias("position"))
     each = rows.join(mapped, ["scope", "ordinal"], "left").withColumn("hits", F.coalesce("hits", F.lit(0)))
-    each = each.withColumn("s", profile_state(F.col("values"), F.col("flags")))
     reason = F.when(F.col("gap"), "atlas_gap").when(F.col("hits") != 1, "missing_atlas_join").otherwise(F.col("s.reason"))
     states = each.select("scope", "ordinal", F.when(F.col("hits") == 1, F.col("position")).alias("position"), F.when(F.col("hits") == 1, F.col("s.state")).otherwise("U").alias("state"), reason.alias("reason"))
     t = each.groupBy("scope").agg(F.count("*").alias("n"), F.count_if(F.col("hits") != 1).alias("unmapped"), F.count_if("gap").alias("gaps"), F.count_if(F.col("hits") > 1).alias("ambiguous"))

@@ -13,6 +13,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+PART = 1_000_000  # rows of a part, about
+
+
+def parts_of(df: DataFrame) -> int:
+    """As many parts as keep all cores busy, each of bounded size; a number that is given to repartition is not coalesced."""
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-df.count() // PART))
+
+
 def ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(accession, entry, chain, pos, feature, label, channel_a, channel_b), a row a residue-like measurement."""
     return load(spark, sf_dir, "lineitem").select(
