@@ -13,7 +13,7 @@ from pyspark.sql.types import ArrayType, BooleanType, DataType, DoubleType, Long
 from ledgerlake.plans.registry import query
 from ledgerlake.sources import checkpoints
 from ledgerlake.sources.sinks import shared_path, stored
-from ledgerlake.sources.tables import BINS, LEDGER_SQL, ledger, load
+from ledgerlake.sources.tables import BINS, LEDGER_SQL, ledger, load, parts_of
 
 TOP_EDGE = 100.01
 
@@ -305,15 +305,17 @@ def mapping_segments(spark, sf_dir):
     """Entries as JSON of maps within maps, flattened again to a row a segment; unequal spans need an alignment."""
     from ledgerlake.operators.scalar import flatten_mappings
 
-    l = load(spark, sf_dir, "lineitem")
+    l = load(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    parts = parts_of(l)
+    l = l.repartition(parts, "l_orderkey")  # once, and before rows grow to segments
     bound = lambda c: F.struct(F.lit(None).cast("int").alias("author_residue_number"), c.cast("int").alias("residue_number"))
     span = F.round(F.col("l_quantity") / 5) * 5
     seg = F.struct(F.lit("A").alias("chain_id"), F.lit(100).alias("unp_start"), (100 + span).cast("int").alias("unp_end"), bound(F.lit(1)).alias("start"), bound(F.col("l_quantity") + 1).alias("end"))
     accs = l.groupBy("l_orderkey", "l_partkey").agg(F.collect_list(seg).alias("mappings"))
     maps = accs.groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct(F.col("l_partkey").cast("string"), F.struct("mappings")))).alias("UniProt"))
     payload = maps.select(F.to_json(F.create_map(F.col("l_orderkey").cast("string"), F.struct("UniProt"))).alias("payload"))
-    rows = flatten_mappings(payload)
-    return rows.groupBy(F.col("entry").cast("long").alias("l_orderkey")).agg(F.count("*").alias("segments"), F.count_distinct("accession").alias("accessions"), F.count_if("needs_alignment").alias("needing_alignment"))
+    rows = flatten_mappings(payload).withColumn("l_orderkey", F.col("entry").cast("long")).repartition(parts, "l_orderkey")
+    return rows.groupBy("l_orderkey").agg(F.count("*").alias("segments"), F.count_distinct("accession").alias("accessions"), F.count_if("needs_alignment").alias("needing_alignment"))
 
 
 #: Exposure classes by stratum.
