@@ -45,7 +45,7 @@ def write_tree(df: DataFrame, keys: list[str], path: str, ranges: int = RANGES)
     spark, levels, columns = df.sparkSession, depth(ranges), df.columns
     if RANGE in columns:
         raise ValueError(f"a column is named {RANGE}")
-    rows = df.withColumn(RANGE, range_of(keys, ranges)).repartitionByRange(RANGE, row_bits(columns)).sortWithinPartitions(RANGE)
+    rows = df.withColumn(RANGE, range_of(keys, ranges)).repartitionByRange(RANGE, F.xxhash64(*[F.col(f"`{c}`") for c in columns])).sortWithinPartitions(RANGE)
     write_once(rows, f"{path}/rows", [RANGE])
     level = leaves(read_ranges(spark, path, df.schema), columns).withColumn("level", F.lit(0)).select("level", "node", "n", "digest")
     tree = level
